@@ -141,6 +141,10 @@ def path_match_regex(pattern: str) -> str:
     return head + "/".join(segments) + "\\z"
 
 
+def _any_like(values: Column, regex: str) -> Column:
+    return F.exists(values, lambda v: v.rlike(regex))
+
+
 def excluded(path: Column, patterns: list[str], dialect: str = "glob") -> Column:
     """True when a relative path is excluded.
 
@@ -156,7 +160,7 @@ def excluded(path: Column, patterns: list[str], dialect: str = "glob") -> Column
             hit = hit | path.rlike(path_match_regex(pattern))
         if dialect == "glob":
             regex = glob_regex(pattern.rstrip("/"))
-            folders = F.exists(ancestors(path), lambda a, r=regex: a.rlike(r))
+            folders = _any_like(ancestors(path), regex)
             if pattern.endswith("/"):
                 hit = hit | folders
             else:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.operators.joins import lookup_join
+from folioscope.operators.joins import lookup_join, number_rows
 from folioscope.staging import Stage, stage
 
 
+MAX_LEVELS = 10_000
+
+
 def connected_components(
     edges: DataFrame, source: str, target: str, max_rounds: int = 200
 ) -> DataFrame:
@@ -30,12 +33,11 @@ def connected_components(
             roots = pairs.select(F.col("parent").alias("node"), F.col("parent").alias("component"))
             members = pairs.select(F.col("child").alias("node"), F.col("parent").alias("component"))
             return members.unionByName(roots.distinct())
-        rows = pairs.count()
-        pairs = table.write(_small_star(_large_star(pairs, rows), rows))
+        pairs = table.write(_small_star(_large_star(pairs)))
     raise RuntimeError(f"components not settled after {max_rounds} rounds")
 
 
-def _large_star(pairs: DataFrame, rows: int) -> DataFrame:
+def _large_star(pairs: DataFrame) -> DataFrame:
     """Connect every larger neighbour of a node to the node's least neighbour."""
     ends = pairs.select(
         F.explode(
@@ -47,14 +49,14 @@ def _large_star(pairs: DataFrame, rows: int) -> DataFrame:
     ).select("e.*")
     least = ends.groupBy("node").agg(F.min("other").alias("m"))
     lookup = least.select(F.col("node").alias("parent"), F.least("node", "m").alias("m"))
-    return lookup_join(pairs, lookup, "parent", "inner", rows=rows).select("child", F.col("m").alias("parent"))
+    return lookup_join(pairs, lookup, "parent", "inner", staged=True).select("child", F.col("m").alias("parent"))
 
 
-def _small_star(pairs: DataFrame, rows: int) -> DataFrame:
+def _small_star(pairs: DataFrame) -> DataFrame:
     """Connect every smaller neighbour of a node, and the node, to the least of them."""
     least = pairs.groupBy("child").agg(F.min("parent").alias("m"))
     moved = (
-        lookup_join(pairs, least, "child", "inner", rows=rows)
+        lookup_join(pairs, least, "child", "inner")
         .where(F.col("parent") != F.col("m"))
         .select(F.col("parent").alias("child"), F.col("m").alias("parent"))
     )
@@ -110,7 +112,7 @@ def ready_tasks(tasks: DataFrame, deps: DataFrame, done: DataFrame) -> DataFrame
     )
 
 
-def dependency_levels(tasks: DataFrame, deps: DataFrame, max_levels: int = 10_000) -> DataFrame:
+def dependency_levels(tasks: DataFrame, deps: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
     """Execution level per task, from 0; raises on a cycle or a missing task.
 
     One round per level; only the open dependencies are kept from round to round.
@@ -137,7 +139,9 @@ def dependency_levels(tasks: DataFrame, deps: DataFrame, max_levels: int = 10_00
             levels = out_table.write(levels)
         finished = done.select(F.col("id").alias("dep"), F.lit(True).alias("done"))
         edges = edge_table.write(
-            lookup_join(edges, finished, "dep", "left").where(F.col("done").isNull()).drop("done")
+            lookup_join(edges, finished, "dep", "left", staged=True)
+            .where(F.col("done").isNull())
+            .drop("done")
         )
         open_tasks = open_table.write(open_tasks.join(done.select("id"), "id", "left_anti"))
     if levels is None:
@@ -149,14 +153,13 @@ def order_in_level(tasks: DataFrame, levels: DataFrame) -> DataFrame:
     """Position inside a level: priority from high to low, then id.
 
     A level may hold a third of all tasks, so positions come from one range-partitioned
-    ordering over (level, priority, id) minus the position where the level starts.
+    ordering over (level, priority, id) minus the position where the level starts. There is
+    one start per level, at most ``MAX_LEVELS`` rows, so the starts may be broadcast.
     """
-    from folioscope.operators.joins import number_rows
-
     joined = tasks.join(levels, "id").withColumn("_down", -F.col("priority"))
-    numbered = number_rows(joined, ["level", "_down", "id"], "_at")
+    numbered = stage(number_rows(joined, ["level", "_down", "id"], "_at"), "numbered")
     starts = numbered.groupBy("level").agg(F.min("_at").alias("_start"))
-    return lookup_join(numbered, starts, "level", "inner").select(
+    return numbered.join(F.broadcast(starts), "level").select(
         "level", (F.col("_at") - F.col("_start") + 1).alias("position"), "id", "priority"
     )
 
@@ -168,7 +171,7 @@ def reduce_transitive(edges: DataFrame) -> DataFrame:
     end of higher degree, which bounds every fan-out by the square root of the edge count even
     around a module that everybody imports.
     """
-    base = edges.where(F.col("source") != F.col("target")).distinct()
+    base = stage(edges.where(F.col("source") != F.col("target")).distinct(), "edges")
     ends = base.select(F.explode(F.array("source", "target")).alias("node"))
     degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     ranked = lookup_join(
@@ -176,6 +179,7 @@ def reduce_transitive(edges: DataFrame) -> DataFrame:
         degree.select(F.col("node").alias("source"), F.col("degree").alias("ds")),
         "source",
         "inner",
+        staged=True,
     )
     ranked = lookup_join(
         ranked,
@@ -188,10 +192,11 @@ def reduce_transitive(edges: DataFrame) -> DataFrame:
     low = F.when(s < t, s).otherwise(t)
     high = F.when(s < t, t).otherwise(s)
     # One row per undirected pair, with the directions in which it occurs.
-    pairs = (
+    pairs = stage(
         ranked.select(low.alias("low"), high.alias("high"), (s < t).alias("up"))
         .groupBy("low", "high")
-        .agg(F.bool_or("up").alias("up"), F.bool_or(~F.col("up")).alias("down"))
+        .agg(F.bool_or("up").alias("up"), F.bool_or(~F.col("up")).alias("down")),
+        "pairs",
     )
     xy = pairs.select(
         F.col("low").alias("x"), F.col("high").alias("y"), F.struct("up", "down").alias("xy")

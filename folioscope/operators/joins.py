@@ -18,33 +18,40 @@ def lookup_join(
     on: str,
     how: str = "left",
     heavy_rows: int = HEAVY_ROWS,
-    rows: int | None = None,
+    staged: bool = False,
 ) -> DataFrame:
     """Join ``facts`` to ``lookup``, which holds one row per key, without a hot task.
 
-    Keys with at least a thousandth of all rows are counted exactly. Only their rows get a
-    salt, and only their lookup rows are repeated once per salt. The list of heavy keys has at
-    most ``HEAVY_SHARE`` rows whatever the size of the data, so it is safe to broadcast.
-    A caller that knows the number of ``rows`` spares the count when no key can be heavy.
+    The facts are narrow by the time they get here; they are written once (unless already
+    ``staged``), so that counting their keys does not compute them twice. Only rows of heavy
+    keys get a salt, and only their lookup rows are repeated once per salt. There are at most
+    ``HEAVY_SHARE`` heavy keys whatever the size of the data, so their list may be broadcast.
     """
-    if rows is not None and rows < heavy_rows:
+    if not staged:
+        facts = stage(facts, "facts")
+    rows = facts.count()
+    if rows < heavy_rows:
         return facts.join(lookup, on, how)
-    spark = facts.sparkSession
-    salts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    counts = facts.groupBy(on).agg(F.count(F.lit(1)).alias("_rows"))
-    total = counts.agg((F.sum("_rows") / HEAVY_SHARE)).scalar()
-    heavy = F.broadcast(
-        counts.where((F.col("_rows") >= heavy_rows) & (F.col("_rows") > total))
-        .select(F.col(on).alias("_hot"))
+    heavy = stage(
+        facts.groupBy(on)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .where((F.col("_rows") >= heavy_rows) & (F.col("_rows") > rows / HEAVY_SHARE))
+        .where(F.col(on).isNotNull())
+        .select(F.col(on).alias("_hot")),
+        "heavy",
     )
+    if heavy.isEmpty():
+        return facts.join(lookup, on, how)
+    salts = max(8, int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hot = F.broadcast(heavy)
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), F.lit(salts)).cast("int")
-    salted = facts.join(heavy, F.col(on) == F.col("_hot"), "left").select(
+    salted = facts.join(hot, F.col(on) == F.col("_hot"), "left").select(
         *facts.columns, F.when(F.col("_hot").isNotNull(), spread).otherwise(0).alias("_salt")
     )
     copies = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
         F.array(F.lit(0))
     )
-    repeated = lookup.join(heavy, F.col(on) == F.col("_hot"), "left").select(
+    repeated = lookup.join(hot, F.col(on) == F.col("_hot"), "left").select(
         *lookup.columns, F.explode(copies).alias("_salt")
     )
     return salted.join(repeated, [on, "_salt"], how).drop("_salt")

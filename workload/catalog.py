@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from workload import links  # noqa: F401
+from workload import links, quality, symbols  # noqa: F401

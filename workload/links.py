@@ -342,7 +342,7 @@ def wikilink_candidates(spark, sf):
 
 
 SUGGESTION_SQL = """
-SELECT target, row_number() OVER (PARTITION BY target ORDER BY name) AS rank, name
+SELECT target, (row_number() OVER (PARTITION BY target ORDER BY name))::INTEGER AS rank, name
 FROM (SELECT DISTINCT target FROM edges WHERE NOT valid) d
 JOIN (SELECT name FROM nodes WHERE present) n
   ON contains(lower(n.name), lower(d.target)) OR contains(lower(d.target), lower(n.name))
