@@ -100,8 +100,9 @@ def snippet(text: Column, limit: int = 200) -> Column:
 
 
 def display_name(stem: Column) -> Column:
-    """``user_guide`` to ``User Guide``."""
-    return F.initcap(F.replace(stem, F.lit("_"), F.lit(" ")))
+    """``user_guide`` to ``User Guide``; every run of letters starts with a capital."""
+    runs = matches(F.replace(stem, F.lit("_"), F.lit(" ")), r"\p{L}+|[^\p{L}]+")
+    return F.array_join(F.transform(runs, F.initcap), "")
 
 
 def occurrences(text: Column, literal: str) -> Column:
