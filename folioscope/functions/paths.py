@@ -103,7 +103,8 @@ def sanitise_filename(name: Column) -> Column:
     replaced = F.translate(name, INVALID_FILENAME_CHARS, "_" * len(INVALID_FILENAME_CHARS))
     trimmed = F.regexp_replace(replaced, r"^[. \t\n\r]+|[. \t\n\r]+\z", "")
     named = F.when(trimmed == "", F.lit(UNNAMED_FILE)).otherwise(trimmed)
-    extension = F.regexp_extract(named, r"^.*[^.].*?(\.[^.]*)\z", 1)
+    # Leading dots are gone, so the last dot always starts an extension.
+    extension = F.regexp_extract(named, r"(\.[^.]*)\z", 1)
     head = F.substring(
         F.substring(named, F.lit(1), F.length(named) - F.length(extension)),
         F.lit(1),

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from workload import links, pages, quality, symbols  # noqa: F401
+from workload import links, pages, quality, state, symbols  # noqa: F401
