@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -147,8 +147,8 @@ def state_upsert(spark, sf):
 
 @query("state_saved_and_loaded", f"SELECT path, size, hash FROM ({UPSERT})")
 def state_saved_and_loaded(spark, sf):
-    root = tempfile.mktemp(prefix="state-", dir="").lstrip("/")
-    table = StateTable(spark, f"{staging_root(spark)}/{root}", "file_state", FILE_STATE)
+    root = f"{staging_root(spark)}/folioscope/state-{uuid.uuid4().hex}"
+    table = StateTable(spark, root, "file_state", FILE_STATE)
     table.save(table.load())
     table.save(_upserted(spark, sf))
     return table.load().select("path", "size", "hash")
