@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from folioscope.functions import paths, python_source, text
 from folioscope.staging import stage
@@ -26,22 +28,28 @@ RECORDS = (
 )
 
 
-def extract(files: DataFrame) -> DataFrame:
+def extract(files: DataFrame, rows_per_batch: int = 5000) -> DataFrame:
     """All records of all files, written once."""
     # Executors need no copy of this package: the helper module travels with the task.
     cloudpickle.register_pickle_by_value(python_source)
-    columns = [c.split()[0] for c in RECORDS.split(", ")]
+    schema = to_arrow_schema(StructType.fromDDL(RECORDS))
+    maps = ["parameter_types", "variables", "constants"]
     parse = python_source.records
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                rows = [{"path": path, "ord": i} | r for i, r in enumerate(parse(content or ""))]
-                yield pd.DataFrame(rows, columns=columns).astype(
-                    {"line_number": "Int32", "ord": "int32"}
-                )
-
-    return stage(files.select("path", "content").mapInPandas(run, RECORDS), "symbol-records")
+                for i, record in enumerate(parse(content.as_py() or "")):
+                    pairs = {m: record[m] and list(record[m].items()) for m in maps if record[m] is not None}
+                    rows.append(record | {m: p or [] for m, p in pairs.items()} | {"path": path.as_py(), "ord": i})
+                if len(rows) >= rows_per_batch:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return stage(files.select("path", "content").mapInArrow(run, RECORDS), "symbol-records")
 
 
 def modules_of(records: DataFrame, files: DataFrame, project: str) -> DataFrame:

@@ -84,15 +84,39 @@ def latest_state(op_log: DataFrame) -> DataFrame:
         "op-events",
     )
     fills = (F.col("status") == "completed") & (F.coalesce("start_total", F.lit(0)) == 0)
-    sets = F.when(fills, 1).when(F.col("status") == "update", F.col("current"))
+    sets = F.when(F.col("status") == "update", F.col("current"))
     ends = F.col("status").isin("completed", "failed")
     marks = joined.groupBy("name").agg(
-        F.max(F.when(sets.isNotNull(), F.struct("seq", sets.alias("value")))).alias("last_set"),
+        F.max(
+            F.when(sets.isNotNull(), F.struct("seq", sets.cast("bigint").alias("value")))
+        ).alias("last_update_set"),
+        # Only the first completion fills: afterwards the operation has a total.
+        F.min(
+            F.when(fills, F.struct("seq", F.lit(1).cast("bigint").alias("value")))
+        ).alias("first_fill"),
         F.max(F.when(ends, F.struct("seq", "ts", "status"))).alias("last_end"),
-        F.min(F.when(F.col("status") == "cancelled", F.struct("seq", "ts"))).alias("first_cancel"),
+        F.min(F.when(ends, F.col("seq"))).alias("first_end"),
+        F.min(F.when(F.col("status") == "cancelled", F.struct("seq", "ts", "message"))).alias(
+            "first_cancel"
+        ),
         F.max(F.when(F.col("status") == "update", F.struct("seq", "ts"))).alias("last_update"),
-        F.max(F.when(F.col("message").isNotNull() & (F.col("status") == "update") | ends & F.col("message").isNotNull(), F.struct("seq", "message"))).alias("last_message"),
-        F.coalesce(F.bool_or(fills), F.lit(False)).alias("filled"),
+        F.max(
+            F.when(F.col("message").isNotNull() & (F.col("status") != "cancelled"), F.struct("seq", "message"))
+        ).alias("last_message"),
+    ).withColumns(
+        {
+            "last_set": F.greatest("last_update_set", "first_fill"),
+            "filled": F.col("first_fill").isNotNull(),
+            # A cancellation that came in time may bring the last message.
+            "last_message": F.greatest(
+                "last_message",
+                F.when(
+                    F.col("first_cancel.message").isNotNull()
+                    & (F.col("first_cancel.seq") < F.coalesce("first_end", F.col("first_cancel.seq") + 1)),
+                    F.struct(F.col("first_cancel.seq").alias("seq"), F.col("first_cancel.message").alias("message")),
+                ),
+            ),
+        }
     )
     adds = F.when(
         (F.col("status") == "update")

@@ -7,6 +7,8 @@ may repeat one file any number of times.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -200,6 +202,15 @@ def change_summary(changes: DataFrame) -> DataFrame:
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def is_timestamp(since: str) -> bool:
+    """Whether a job parameter is an ISO time stamp; ``Z`` is accepted."""
+    try:
+        datetime.fromisoformat(since.replace("Z", "+00:00"))
+    except ValueError:
+        return False
+    return True
+
+
 def changes_since(files: DataFrame, since: str | None) -> DataFrame:
     """Files modified after an ISO time stamp; without one, every file.
 
@@ -207,12 +218,9 @@ def changes_since(files: DataFrame, since: str | None) -> DataFrame:
     """
     if since is None:
         return files
-    return files.where(F.col("mtime") > F.try_to_timestamp(F.lit(since)))
-
-
-def is_timestamp(spark, since: str) -> bool:
-    """Whether a time stamp can be read."""
-    return spark.range(1).select(F.try_to_timestamp(F.lit(since)).isNotNull()).first()[0]
+    if not is_timestamp(since):
+        return files.where(F.lit(False))
+    return files.where(F.col("mtime") > F.lit(since).cast("timestamp"))
 
 
 def build_stats(

@@ -1,67 +1,114 @@
-"""File scans. Content is read only by plans that use it."""
+"""File scans over any file system that Arrow can open.
+
+Spark's own file sources skip every name that begins with ``_`` or ``.``, and with it each
+package's ``__init__.py``. Folders are therefore listed by tasks, one round per level of depth,
+and contents are read by tasks only where a plan asks for them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+from pathlib import Path
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import paths
+from folioscope.staging import stage
+
+LISTING = "path string, is_dir boolean, size long, mtime timestamp"
+
+
+def _uri(root: str) -> str:
+    return root if ":/" in root else Path(root).absolute().as_uri()
 
 
-def _relative(spark: SparkSession, root: str) -> Column:
-    """Path below the root, from the full path that the reader reports."""
-    inner = F.regexp_replace(F.col("_file"), r"\A[a-zA-Z][a-zA-Z0-9+.\-]*:(?://[^/]*)?(?=/)", "")
-    bare = root.split(":", 1)[1] if ":" in root.split("/")[0] else root
-    if bare.startswith("//"):
-        bare = "/" + bare[2:].split("/", 1)[1]
-    base = bare.rstrip("/") + "/"
-    return F.when(
-        inner.startswith(base), F.substring(inner, F.lit(len(base) + 1), F.length(inner))
-    ).otherwise(inner)
+def _tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def scan_files(
-    spark: SparkSession, root: str, pattern: str | None = None, hidden: bool = False
+    spark: SparkSession, root: str, suffix: str = "", hidden: bool = False, max_depth: int = 64
 ) -> DataFrame:
-    """(path, size, mtime, content): all files under a folder, hidden ones dropped.
+    """(path, size, mtime) of all files below a folder, without reading any of them.
 
-    Without ``content`` in the plan only the listing is read.
+    Files whose name starts with a dot are left out unless ``hidden``.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    files = reader.load(root).withColumnRenamed("path", "_file")
-    listed = files.select(
-        _relative(spark, root).alias("path"),
-        F.col("length").alias("size"),
-        F.col("modificationTime").alias("mtime"),
-        "content",
+    base = _uri(root).rstrip("/")
+
+    def list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, top = fs.FileSystem.from_uri(base)
+        for batch in batches:
+            for folder in batch["path"].to_pylist():
+                inside = system.get_file_info(fs.FileSelector(f"{top}/{folder}".rstrip("/")))
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "path": [f"{folder}/{i.base_name}".lstrip("/") for i in inside],
+                        "is_dir": [i.type == fs.FileType.Directory for i in inside],
+                        "size": [i.size or 0 for i in inside],
+                        "mtime": pa.array([(i.mtime_ns or 0) // 1000 for i in inside], pa.timestamp("us", "UTC")),
+                    }
+                )
+
+    level = spark.createDataFrame([("",)], "path string")
+    found = None
+    for _ in range(max_depth):
+        listed = stage(level.repartition(_tasks(spark)).mapInArrow(list_folders, LISTING), "listing")
+        here = listed.where("NOT is_dir").drop("is_dir")
+        found = here if found is None else found.unionByName(here)
+        level = listed.where("is_dir").select("path")
+        if level.isEmpty():
+            break
+    else:
+        raise ValueError(f"folders nest deeper than {max_depth} levels")
+    kept = found.where(F.col("path").endswith(suffix)) if suffix else found
+    return kept if hidden else kept.where(~paths.basename(F.col("path")).startswith("."))
+
+
+def with_content(files: DataFrame, root: str) -> DataFrame:
+    """Add ``content``, decoded with line ends as line feeds; null when it is not UTF-8."""
+    base = _uri(root).rstrip("/")
+    schema = files.select("path").schema.add("content", "binary")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, top = fs.FileSystem.from_uri(base)
+        for batch in batches:
+            for path in batch["path"].to_pylist():
+                with system.open_input_file(f"{top}/{path}") as handle:
+                    yield pa.RecordBatch.from_pydict({"path": [path], "content": [handle.readall()]})
+
+    spread = files.select("path").repartition(_tasks(files.sparkSession))
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    contents = spread.mapInArrow(read, schema).select(
+        "path", F.regexp_replace(text, r"\r\n?", "\n").alias("content")
     )
-    return listed if hidden else listed.where(~paths.basename(F.col("path")).startswith("."))
+    return files.join(contents, "path")
 
 
 def scan_sources(spark: SparkSession, root: str, exclude: list[str] = ()) -> DataFrame:
-    """Python files with the excluded ones dropped by path, before any content is read."""
-    found = scan_files(spark, root, "*.py", hidden=True)
+    """Python files, the excluded ones dropped by path before any content is read."""
+    found = scan_files(spark, root, ".py", hidden=True)
     return found.where(~paths.excluded(F.col("path"), list(exclude), "glob"))
 
 
 def scan_notes(spark: SparkSession, root: str) -> DataFrame:
-    """Markdown notes with decoded content; line ends become line feeds."""
-    found = scan_files(spark, root, "*.md", hidden=True)
-    content = F.regexp_replace(F.decode("content", "UTF-8"), r"\r\n?", "\n")
-    return found.withColumn("content", content)
+    """Markdown notes with content."""
+    return with_content(scan_files(spark, root, ".md", hidden=True), root)
 
 
 def scan_pages(spark: SparkSession, root: str) -> DataFrame:
     """HTML pages as the page conversion expects them."""
-    found = scan_files(spark, root, "*.html", hidden=True)
-    html = F.regexp_replace(F.decode("content", "UTF-8"), r"\r\n?", "\n")
-    return found.select(F.col("path").alias("rel_path"), html.alias("html"), "mtime")
+    found = with_content(scan_files(spark, root, ".html", hidden=True), root)
+    return found.select(F.col("path").alias("rel_path"), F.col("content").alias("html"), "mtime")
 
 
 def snapshot(files: DataFrame, algorithm: str = "sha256") -> DataFrame:
-    """(path, size, mtime, hash) of scanned files."""
+    """(path, size, mtime, hash) of files with content."""
     from folioscope.operators.state import content_hash
 
     return files.select("path", "size", "mtime", content_hash(F.col("content"), algorithm).alias("hash"))

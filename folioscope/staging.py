@@ -24,6 +24,17 @@ def staging_root(spark: SparkSession) -> str:
     return root
 
 
+def _home(spark: SparkSession) -> str:
+    return f"{staging_root(spark)}/folioscope/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> bool:
+    """Delete everything this application has staged. Call it once results are written."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_home(spark))
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.delete(folder, True)
+
+
 class Stage:
     """Writes successive versions of a table, keeping only the last two.
 
@@ -33,7 +44,7 @@ class Stage:
 
     def __init__(self, spark: SparkSession, name: str):
         self._spark = spark
-        self._base = f"{staging_root(spark)}/folioscope/{name}-{uuid.uuid4().hex}"
+        self._base = f"{_home(spark)}/{name}-{uuid.uuid4().hex}"
         self._version = 0
 
     def write(self, df: DataFrame) -> DataFrame:

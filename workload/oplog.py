@@ -56,8 +56,9 @@ SELECT name, min(seq) AS start_seq, arg_min(ts, seq) AS start_time, arg_min(tota
 FROM op_log WHERE status = 'start' GROUP BY name
 """
 ORACLE_VIEWS["op_events"] = """
-SELECT o.*, s.start_seq, s.start_total,
-  CASE WHEN o.status = 'completed' AND s.start_total = 0 THEN 1 WHEN o.status = 'update' THEN o.current END AS set_value
+SELECT o.*, s.start_seq, s.start_total, min(CASE WHEN o.status IN ('completed', 'failed', 'cancelled') THEN o.seq END) OVER (PARTITION BY o.name) AS first_done,
+  CASE WHEN o.status = 'completed' AND s.start_total = 0
+      AND row_number() OVER (PARTITION BY o.name, o.status ORDER BY o.seq) = 1 THEN 1 WHEN o.status = 'update' THEN o.current END AS set_value
 FROM op_log o JOIN op_starts s ON s.name = o.name WHERE o.status <> 'start' AND o.seq > s.start_seq
 """
 ORACLE_VIEWS["op_state"] = """
@@ -72,7 +73,7 @@ FROM op_starts s LEFT JOIN (
   SELECT name, max(seq) FILTER (set_value IS NOT NULL) AS set_seq, arg_max(set_value, seq) FILTER (set_value IS NOT NULL) AS set_value,
     arg_max(status, seq) FILTER (status IN ('completed', 'failed')) AS end_status, arg_max(ts, seq) FILTER (status IN ('completed', 'failed')) AS end_ts,
     arg_min(ts, seq) FILTER (status = 'cancelled') AS cancel_ts, arg_max(ts, seq) FILTER (status = 'update') AS update_ts,
-    arg_max(message, seq) FILTER (message IS NOT NULL AND status <> 'cancelled') AS message,
+    arg_max(message, seq) FILTER (message IS NOT NULL AND (status <> 'cancelled' OR seq = first_done)) AS message,
     bool_or(status = 'completed' AND start_total = 0) AS filled
   FROM op_events GROUP BY name) m ON m.name = s.name
 """

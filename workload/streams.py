@@ -49,12 +49,16 @@ def debounced_changes(spark, sf):
     )
 
 
-def _as_stream(df: DataFrame, parts: int, order: str) -> DataFrame:
-    """Replay a table as a file stream, in ``parts`` files read one after the other."""
+def _as_stream(df: DataFrame, slices: int, order: str) -> DataFrame:
+    """Replay a table as a file stream: slices in order, one micro-batch of four files each."""
     spark = df.sparkSession
     folder = f"{staging_root(spark)}/folioscope/replay-{uuid.uuid4().hex}"
-    df.repartitionByRange(parts, order).sortWithinPartitions(order).write.parquet(folder)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    cuts = df.approxQuantile(order, [i / slices for i in range(1, slices)], 0.01)
+    bounds = [float("-inf"), *cuts, float("inf")]
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        part = df.where((F.col(order) > low) & (F.col(order) <= high))
+        part.repartition(4).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(folder)
 
 
 def _drain(stream: DataFrame, schema) -> DataFrame:
@@ -84,9 +88,9 @@ GROUP BY ALL
 )
 def debounced_changes_stream(spark, sf):
     events = _scoped(render_spark(spark, sf, "file_events")).select(
-        "project", "path", F.col("ts").cast("timestamp").alias("ts")
+        "event_id", "project", "path", F.col("ts").cast("timestamp").alias("ts")
     )
-    sessions = C.debounce(_as_stream(events, 4, "ts"), "30 minutes", "1 hour")
+    sessions = C.debounce(_as_stream(events, 3, "event_id"), "30 minutes", "1 hour")
     rows = _drain(sessions, sessions.schema)
     return rows.select("project", F.unix_micros("session_start").alias("session_us"), "path")
 
