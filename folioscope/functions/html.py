@@ -40,7 +40,7 @@ ENTITIES = {
 }
 
 # Private-use stand-ins that carry characters through the conversion.
-_BREAK, _LESS, _MORE, _LINE, _BLANK = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
+_BREAK, _LESS, _MORE, _LINE, _BLANK, _HEAD = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004", "\ue005"
 
 
 def is_skipped(path: Column) -> Column:
@@ -57,38 +57,47 @@ def without_raw_text(html: Column) -> Column:
     )
 
 
-def _pieces(html: Column, tag: str) -> Column:
-    """The page cut in front of every opening and closing tag of one name."""
-    return F.split(html, rf"(?i)(?=</?{tag}[\s/>])", -1)
+def _pieces(html: Column, tags: str) -> Column:
+    """The page cut in front of every opening and closing tag of the given names."""
+    return F.split(html, rf"(?i)(?=</?(?:{tags})[\s/>])", -1)
 
 
-def _spans(pieces: Column, tag: str, pattern: str) -> Column:
-    """array<struct<first, last>>: pieces of the outermost elements whose tag fits."""
-    opens = rf"(?is)\A<{tag}[\s/>]"
-    closes = rf"(?is)\A</{tag}[\s>]"
+def _spans(pieces: Column, wanted: str) -> Column:
+    """array<struct<first, last>>: pieces of the outermost elements whose tag fits.
+
+    The scan sees only the tag in front of each piece. Inside an element it counts the tags
+    of the same name until the element closes.
+    """
+    heads = F.transform(
+        pieces,
+        lambda p: F.struct(
+            F.lower(F.regexp_extract(F.substring_index(p, ">", 1), r"\A<(/?[a-zA-Z0-9]+)", 1)).alias("tag"),
+            F.substring_index(p, ">", 1).rlike(wanted).alias("fits"),
+        ),
+    )
     start = F.struct(
         F.lit(0).alias("at"),
         F.lit(0).alias("depth"),
+        F.lit("").alias("tag"),
         F.lit(-1).alias("first"),
         F.array().cast("array<struct<first:int,last:int>>").alias("found"),
     )
 
     def step(s: Column, p: Column) -> Column:
-        opening, closing = p.rlike(opens), p.rlike(closes)
         inside = s["depth"] > 0
-        begins = ~inside & opening & p.rlike(pattern)
-        ends = inside & closing & (s["depth"] == 1)
-        depth = (
-            F.when(begins, 1)
-            .when(inside & opening, s["depth"] + 1)
-            .when(inside & closing, s["depth"] - 1)
-            .otherwise(s["depth"])
-        )
-        first = F.when(begins, s["at"]).otherwise(s["first"])
+        begins = ~inside & p["fits"]
+        opening = inside & (p["tag"] == s["tag"])
+        closing = inside & (p["tag"] == F.concat(F.lit("/"), s["tag"]))
         span = F.struct(s["first"].alias("first"), s["at"].alias("last"))
-        found = F.when(ends, F.concat(s["found"], F.array(span))).otherwise(s["found"])
+        depth = F.when(begins, 1).when(opening, s["depth"] + 1).when(closing, s["depth"] - 1)
         return F.struct(
-            (s["at"] + 1).alias("at"), depth.alias("depth"), first.alias("first"), found.alias("found")
+            (s["at"] + 1).alias("at"),
+            depth.otherwise(s["depth"]).alias("depth"),
+            F.when(begins, p["tag"]).otherwise(s["tag"]).alias("tag"),
+            F.when(begins, s["at"]).otherwise(s["first"]).alias("first"),
+            F.when(closing & (s["depth"] == 1), F.concat(s["found"], F.array(span)))
+            .otherwise(s["found"])
+            .alias("found"),
         )
 
     def finish(s: Column) -> Column:
@@ -96,37 +105,36 @@ def _spans(pieces: Column, tag: str, pattern: str) -> Column:
         rest = F.struct(s["first"].alias("first"), s["at"].alias("last"))
         return F.when(s["depth"] > 0, F.concat(s["found"], F.array(rest))).otherwise(s["found"])
 
-    return F.aggregate(pieces, start, step, finish)
+    return F.aggregate(heads, start, step, finish)
 
 
-def drop_elements(df: DataFrame, column: str, tag: str, pattern: str) -> DataFrame:
-    """Remove all ``tag`` elements whose opening tag fits the pattern, nested content too."""
+def drop_elements(df: DataFrame, column: str, tags: str, wanted: str) -> DataFrame:
+    """Remove the elements whose opening tag fits, nested content too."""
     html = F.col(column)
-    has = html.rlike(rf"(?is)<{tag}[\s/>]") & html.rlike(pattern.replace(r"\A", ""))
-    cut = (
-        df.withColumn("_pieces", F.when(has, _pieces(html, tag)))
-        .withColumn("_spans", F.when(has, _spans(F.col("_pieces"), tag, pattern)))
+    has = html.rlike(wanted.replace(r"\A", ""))
+    cut = df.withColumn("_pieces", F.when(has, _pieces(html, tags))).withColumn(
+        "_spans", F.when(F.col("_pieces").isNotNull(), _spans(F.col("_pieces"), wanted))
     )
 
     def keep(p: Column, i: Column) -> Column:
         within = F.exists(F.col("_spans"), lambda s: (i >= s["first"]) & (i < s["last"]))
         at_end = F.exists(F.col("_spans"), lambda s: i == s["last"])
-        tail = F.regexp_replace(p, rf"(?is)\A</{tag}[^>]*>", "")
+        tail = F.regexp_replace(p, r"\A<[^>]*>", "")
         return F.when(within, F.lit("")).when(at_end, tail).otherwise(p)
 
     rest = F.array_join(F.transform(F.col("_pieces"), keep), "")
     return cut.withColumn(
-        column, F.when(has & (F.size("_spans") > 0), rest).otherwise(html)
+        column, F.when(F.size("_spans") > 0, rest).otherwise(html)
     ).drop("_pieces", "_spans")
 
 
 def main_content(df: DataFrame, column: str) -> DataFrame:
     """Keep the first ``div`` with ``role="main"``, else the body, else the whole page."""
     html = F.col(column)
-    pattern = r"(?is)\A<div\b[^>]*\brole\s*=\s*[\"']?main\b"
-    has = html.rlike(pattern.replace(r"\A", ""))
+    wanted = r"(?is)\A<div\b[^>]*\brole\s*=\s*[\"']?main\b"
+    has = html.rlike(wanted.replace(r"\A", ""))
     cut = df.withColumn("_pieces", F.when(has, _pieces(html, "div"))).withColumn(
-        "_spans", F.when(has, _spans(F.col("_pieces"), "div", pattern))
+        "_spans", F.when(F.col("_pieces").isNotNull(), _spans(F.col("_pieces"), wanted))
     )
     first = F.get("_spans", F.lit(0))
     main = F.array_join(
@@ -135,9 +143,7 @@ def main_content(df: DataFrame, column: str) -> DataFrame:
     body = F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)", 1)
     return cut.withColumn(
         column,
-        F.when(has & (F.size("_spans") > 0), main)
-        .when(html.rlike(r"(?i)<body\b"), body)
-        .otherwise(html),
+        F.when(F.size("_spans") > 0, main).when(html.rlike(r"(?i)<body\b"), body).otherwise(html),
     ).drop("_pieces", "_spans")
 
 
@@ -147,13 +153,11 @@ def cleaned(df: DataFrame, column: str) -> DataFrame:
     Code blocks stay, whatever their class.
     """
     df = main_content(df.withColumn(column, without_raw_text(F.col(column))), column)
-    for tag in DROPPED_ELEMENTS:
-        df = drop_elements(df, column, tag, rf"(?is)\A<{tag}\b")
+    plain, classed = "|".join(DROPPED_ELEMENTS), "|".join(CLASSED_ELEMENTS)
     classes = "|".join(DROPPED_CLASSES)
-    for tag in CLASSED_ELEMENTS:
-        attribute = rf"\bclass\s*=\s*(?:\"[^\"]*(?:{classes})|'[^']*(?:{classes}))"
-        df = drop_elements(df, column, tag, rf"(?is)\A<{tag}\s[^>]*{attribute}")
-    return df
+    attribute = rf"\bclass\s*=\s*(?:\"[^\">]*(?:{classes})|'[^'>]*(?:{classes}))"
+    wanted = rf"(?is)\A<(?:(?:{plain})\b|(?:{classed})\s[^>]*?{attribute})"
+    return drop_elements(df, column, f"{plain}|{classed}", wanted)
 
 
 def _protected_whitespace(html: Column) -> Column:
@@ -188,40 +192,47 @@ def code_blocks(html: Column) -> Column:
     )
 
 
-def unescape(text: Column) -> Column:
-    """Named and numeric character references; ``&amp;`` comes last."""
+def named_entities(text: Column) -> Column:
     for name, char in ENTITIES.items():
         text = F.replace(text, F.lit(name), F.lit(char))
+    return text
+
+
+def numeric_entities(text: Column) -> Column:
+    """Decimal and hexadecimal character references."""
     numeric = r"&#(?:[xX]([0-9a-fA-F]{1,6})|([0-9]{1,7}));"
-    parts = F.split(text, numeric, -1)
-    found = F.transform(
-        matches(text, numeric),
-        lambda m: F.decode(
-            F.unhex(
-                F.lpad(
-                    F.when(m.rlike("^&#[xX]"), F.regexp_extract(m, numeric, 1)).otherwise(
-                        F.hex(F.try_to_number(F.regexp_extract(m, numeric, 2), F.lit("9999999")).cast("bigint"))
-                    ),
-                    8,
-                    "0",
-                )
-            ),
-            "UTF-32",
+
+    def decode(m: Column) -> Column:
+        decimal = F.try_to_number(F.regexp_extract(m, numeric, 2), F.lit("9999999"))
+        digits = F.when(m.rlike("^&#[xX]"), F.regexp_extract(m, numeric, 1)).otherwise(
+            F.hex(decimal.cast("bigint"))
+        )
+        return F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
+
+    found = F.transform(matches(text, numeric), decode)
+    joined = F.array_join(
+        F.transform(
+            F.split(text, numeric, -1), lambda p, i: F.concat(p, F.coalesce(F.get(found, i), F.lit("")))
         ),
+        "",
     )
-    joined = F.array_join(
-        F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(found, i), F.lit("")))), ""
+    return F.when(text.contains("&#"), joined).otherwise(text)
+
+
+def unescaped(df: DataFrame, column: str) -> DataFrame:
+    """Character references to characters; ``&amp;`` comes last."""
+    text = F.col(column)
+    return (
+        df.withColumn(column, F.when(text.contains("&"), named_entities(text)).otherwise(text))
+        .withColumn(column, numeric_entities(text))
+        .withColumn(column, F.replace(text, F.lit("&amp;"), F.lit("&")))
     )
-    text = F.when(text.contains("&#"), joined).otherwise(text)
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
 
 
 def to_markdown(df: DataFrame, column: str) -> DataFrame:
     """Convert cleaned HTML to markdown. Unpaired inline marks are dropped."""
-    h = F.col(column)
-    df = df.withColumn(column, _protected_whitespace(h)).withColumn(column, code_blocks(h))
-    steps = [(rf"(?is)<h{n}\b[^>]*>\s*(.*?)\s*</h{n}\s*>", "\n\n" + "#" * n + " $1\n\n") for n in range(1, 7)]
-    steps += [
+    steps = [
+        (r"(?is)<h([1-6])\b[^>]*>\s*(.*?)\s*</h\1\s*>", f"\n\n{_HEAD}$1 $2\n\n"),
         (r"(?i)<br\s*/?>", _BREAK),
         (r"(?i)<hr\b[^>]*>", "\n\n---\n\n"),
         (r"(?is)<(b|strong)\b[^>]*>\s*(.*?)\s*</\1\s*>", "**$2**"),
@@ -241,10 +252,16 @@ def to_markdown(df: DataFrame, column: str) -> DataFrame:
         (r"[ \t]*\n[ \t]*", "\n"),
         (rf"{_BREAK}[ \t]*", "  \n"),
     ]
+    out = F.col(column)
     for pattern, into in steps:
-        df = df.withColumn(column, F.regexp_replace(h, pattern, into))
+        out = F.regexp_replace(out, pattern, into)
+    for level in range(1, 7):
+        out = F.replace(out, F.lit(f"{_HEAD}{level}"), F.lit("#" * level))
+    df = df.withColumn(column, _protected_whitespace(F.col(column)))
+    df = df.withColumn(column, code_blocks(F.col(column)))
+    df = unescaped(df.withColumn(column, out), column)
     return df.withColumn(
-        column, F.translate(unescape(h), _LESS + _MORE + _LINE + _BLANK, "<>\n ")
+        column, F.translate(F.col(column), _LESS + _MORE + _LINE + _BLANK, "<>\n ")
     )
 
 

@@ -13,6 +13,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from folioscope.functions import paths
 from folioscope.staging import stage
@@ -71,23 +72,23 @@ def scan_files(
 def with_content(files: DataFrame, root: str) -> DataFrame:
     """Add ``content``, decoded with line ends as line feeds; null when it is not UTF-8."""
     base = _uri(root).rstrip("/")
-    schema = files.select("path").schema.add("content", "binary")
+    schema = StructType([*files.schema.fields, StructField("content", BinaryType())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         system, top = fs.FileSystem.from_uri(base)
         for batch in batches:
-            for path in batch["path"].to_pylist():
+            for i, path in enumerate(batch["path"].to_pylist()):
                 with system.open_input_file(f"{top}/{path}") as handle:
-                    yield pa.RecordBatch.from_pydict({"path": [path], "content": [handle.readall()]})
+                    body = pa.array([handle.readall()], pa.binary())
+                yield batch.slice(i, 1).append_column("content", body)
 
-    spread = files.select("path").repartition(_tasks(files.sparkSession))
-    text = F.try_validate_utf8(F.col("content").cast("string"))
-    contents = spread.mapInArrow(read, schema).select(
-        "path", F.regexp_replace(text, r"\r\n?", "\n").alias("content")
+    spread = files.repartition(_tasks(files.sparkSession))
+    decoded = F.try_validate_utf8(F.col("content").cast("string"))
+    return spread.mapInArrow(read, schema).withColumn(
+        "content", F.regexp_replace(decoded, r"\r\n?", "\n")
     )
-    return files.join(contents, "path")
 
 
 def scan_sources(spark: SparkSession, root: str, exclude: list[str] = ()) -> DataFrame:

@@ -13,17 +13,16 @@ from folioscope.staging import staging_root
 def write_notes(notes: DataFrame, path: str | None = None, name: str = "notes") -> DataFrame:
     """Write notes partitioned by folder and return the table.
 
-    Rows are spread by folder and a hash of the path, so that a folder with a third of all
-    notes is written by several tasks and a small folder by few.
+    Rebalancing brings a folder's rows together, splits a folder with a third of all notes
+    over several tasks by size, and merges small ones.
     """
     spark = notes.sparkSession
     target = path or f"{staging_root(spark)}/folioscope/{name}-{uuid.uuid4().hex}"
-    spread = F.pmod(F.xxhash64("path"), F.lit(8))
     columns = [c for c in notes.columns if c != "folder"]
     # An empty folder name cannot be told from a missing one in a partition path.
     (
         notes.withColumn("folder", F.when(F.col("folder") == "", ".").otherwise(F.col("folder")))
-        .repartition("folder", spread)
+        .hint("rebalance", F.col("folder"))
         .write.mode("overwrite")
         .partitionBy("folder")
         .parquet(target)

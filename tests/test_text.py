@@ -159,7 +159,8 @@ def test_skipped_pages(spark, path, skipped):
 
 
 def test_unescape(spark):
-    assert one(spark, html.unescape(C), v="a &amp;lt; &lt;b&gt; &#233; &#x1F600; &copy;") == "a &lt; <b> é 😀 ©"
+    df = spark.createDataFrame([("a &amp;lt; &lt;b&gt; &#233; &#x1F600; &copy;",)], "v string")
+    assert html.unescaped(df, "v").first().v == "a &lt; <b> é 😀 ©"
 
 
 PAGE = """<html><head><title>t</title></head><body><header>top</header>
