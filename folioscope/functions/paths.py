@@ -113,6 +113,11 @@ def sanitise_filename(name: Column) -> Column:
     return F.when(F.length(named) > MAX_FILENAME, F.concat(head, extension)).otherwise(named)
 
 
+def backup_name(path: Column, at: Column) -> Column:
+    """File name of a backup taken at a time."""
+    return F.concat(path, F.lit(".backup."), F.date_format(at, "yyyyMMdd_HHmmss"))
+
+
 def glob_regex(pattern: str) -> str:
     """Shell glob as an anchored Java pattern; ``*`` also crosses ``/``."""
     out, i = [], 0

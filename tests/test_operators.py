@@ -297,6 +297,14 @@ def test_latest_state(spark):
     assert {(r.name, r.rejected) for r in O.rejected_starts(log).collect()} == {("b", "already exists"), ("b", "not found"), ("d", "not found")}
 
 
+def test_metadata_merges_per_key(spark):
+    log = spark.createDataFrame(
+        [("a", 1, {"x": "1", "y": "2"}), ("a", 2, {"x": "3"}), ("b", 1, {"z": "9"})], "name string, seq long, metadata map<string,string>"
+    )
+    got = {r.name: r.metadata for r in O.metadata_maps(O.merged_metadata(log)).collect()}
+    assert got == {"a": {"x": "3", "y": "2"}, "b": {"z": "9"}}
+
+
 def test_sessions_are_half_open_and_cross_buckets(spark):
     base = dt.datetime(2024, 1, 1)
     at = [0, 1.9, 3.8, 5.8, 9.9, 10.1, 30]

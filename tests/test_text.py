@@ -193,3 +193,12 @@ def test_page_conversion(spark):
 @pytest.mark.parametrize(("value", "shown"), [(12.25, "12.2"), (66.666, "66.7"), (1234.5, "1234.5"), (0.0, "0.0")])
 def test_fixed_rounds_ties_to_even(spark, value, shown):
     assert one(spark, rules.fixed(C), v=value) == shown
+
+
+def test_note_header_and_backup_name(spark):
+    head = P.note_header(C, F.array(F.lit("a"), F.lit("b")), F.lit("2024-01-01T00:00:00"), F.lit("m.py"))
+    assert one(spark, head, v="My Note") == (
+        "---\ncreated: '2024-01-01T00:00:00'\nsource: m.py\ntags:\n- a\n- b\ntitle: My Note\n---\n"
+    )
+    at = F.lit("2024-03-05 06:07:08").cast("timestamp")
+    assert one(spark, paths.backup_name(C, at), v="n.md") == "n.md.backup.20240305_060708"
