@@ -29,7 +29,11 @@ RECORDS = (
 
 
 def extract(files: DataFrame, rows_per_batch: int = 5000) -> DataFrame:
-    """All records of all files, written once."""
+    """All records of all files, written once.
+
+    Parsing costs far more than moving the text, so files are dealt out evenly first; a few
+    large input splits would otherwise leave most cores idle.
+    """
     # Executors need no copy of this package: the helper module travels with the task.
     cloudpickle.register_pickle_by_value(python_source)
     schema = to_arrow_schema(StructType.fromDDL(RECORDS))
@@ -49,7 +53,9 @@ def extract(files: DataFrame, rows_per_batch: int = 5000) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return stage(files.select("path", "content").mapInArrow(run, RECORDS), "symbol-records")
+    slots = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = files.select("path", "content").repartition(slots)
+    return stage(dealt.mapInArrow(run, RECORDS), "symbol-records")
 
 
 def modules_of(records: DataFrame, files: DataFrame, project: str) -> DataFrame:
