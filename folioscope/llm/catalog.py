@@ -1,4 +1,4 @@
 """Imports every module of this subpackage that registers queries."""
 
-from folioscope.llm import language, maxscore, token_counts  # noqa: F401
+from folioscope.llm import language, maxscore, packing, quality_rules, token_counts, toxicity  # noqa: F401
 from folioscope.llm.registry import ORACLES, QUERIES  # noqa: F401
