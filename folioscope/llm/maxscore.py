@@ -15,74 +15,80 @@ from folioscope.llm.shared import table
 #: Vectors of a shard, and queries of a block, on average.
 SHARD_ROWS = 4096
 BLOCK_ROWS = 1024
-#: Postings of a list that are traversed between two looks at the threshold.
-STRIDE = 256
+#: Queries of a block that a shard answers at once.
+QUERIES_AT_ONCE = 256
+#: Heads of lists whose rows set the first threshold: so many lists, so many rows of each.
+HEAD_LISTS, HEAD_ROWS = 4, 8
+#: Lists count as essential until the bounds of the others sum to less than this share of the
+#: threshold. At 1 the split is the least one; vectors without zeros have every row in nearly
+#: every list, and a few lists more leave far fewer rows to be probed.
+SPLIT_SHARE = 0.25
+#: Terms that are probed between two looks at the threshold.
+STRIDE = 8
 
 
 class Shard:
-    """Postings of one shard: a list of rows by falling weight for each signed dimension.
-
-    A term is a dimension with a sign. A query has the term of each dimension's own sign,
-    whose contributions are positive and bounded by the list's first weight, and rows of the
-    other sign lose by it, with 0 as their bound.
-    """
+    """One shard's vectors and, for each dimension, its rows by weight: a list for either sign."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], np.ascontiguousarray(vectors[order])
-        self.columns = np.ascontiguousarray(self.vectors.T)
-        self.falling = np.argsort(-self.columns, axis=1, kind="stable")
-        self.top = self.columns.max(axis=1)
-        self.low = self.columns.min(axis=1)
-
-    def search(self, own: int, q: np.ndarray, k: int, floor: int) -> list[tuple[int, int]]:
-        """The k best (score, id), ties to the smaller id, of rows that can reach ``floor``."""
-        bound = np.maximum(np.maximum(q * self.top, q * self.low), 0)
-        terms = np.argsort(-bound, kind="stable")
-        rest = np.concatenate((np.cumsum(bound[terms][::-1])[::-1], [0]))
-        seen = np.zeros(len(self.ids), bool)
-        seen[np.searchsorted(self.ids, own) : np.searchsorted(self.ids, own, "right")] = True
-        best: list[tuple[int, int]] = []
-        least = floor
-        # A list is essential as long as the lists from it on could still lift a row to the threshold.
-        for at, d in enumerate(terms):
-            if rest[at] < least or bound[d] == 0:
-                break
-            rows = self.falling[d] if q[d] > 0 else self.falling[d][::-1]
-            for begin in range(0, len(rows), STRIDE):
-                block = rows[begin : begin + STRIDE]
-                # Rows met here first gain nothing from the lists before, or were found too weak there.
-                head = int(q[d]) * int(self.columns[d, block[0]])
-                if head <= 0 or head + rest[at + 1] < least:
-                    break
-                block = block[~seen[block]]
-                if not len(block):
-                    continue
-                seen[block] = True
-                best, least = self._probe(block, terms, rest, q, k, best, least)
-        if len(best) < k or least <= 0:
-            block = np.flatnonzero(~seen)
-            if len(block):
-                best, least = self._probe(block, terms, rest, q, k, best, least)
-        return best
-
-    def _probe(self, rows, terms, rest, q, k, best, least):
-        """Add the terms by falling bound, dropping rows that can no longer compete."""
-        score = np.zeros(len(rows), np.int64)
-        for begin in range(0, len(terms), 8):
-            few = terms[begin : begin + 8]
-            score += self.vectors[np.ix_(rows, few)] @ q[few]
-            alive = score + rest[min(begin + 8, len(terms))] >= least
-            if not alive.all():
-                rows, score = rows[alive], score[alive]
-                if not len(rows):
-                    return best, least
-        if len(rows) > k:
-            kth = np.partition(score, len(score) - k)[len(score) - k]
-            rows, score = rows[score >= kth], score[score >= kth]
-        pool = best + list(zip(score.tolist(), self.ids[rows].tolist(), strict=True))
-        best = sorted(pool, key=lambda x: (-x[0], x[1]))[:k]
-        return best, max(least, best[-1][0]) if len(best) == k else least
+        self.ids = ids[order]
+        self.vectors = np.ascontiguousarray(vectors[order], dtype=np.float64)
+        rows = np.argsort(self.vectors, axis=0, kind="stable")
+        self.low_heads, self.high_heads = rows[:HEAD_ROWS], rows[::-1][:HEAD_ROWS]
+        self.top, self.low = self.vectors.max(axis=0), self.vectors.min(axis=0)
+
+    def _first_thresholds(self, own: np.ndarray, q: np.ndarray, terms: np.ndarray, k: int) -> np.ndarray:
+        """For each query the k-th best score among the rows that head its strongest lists."""
+        lead = terms[:, :HEAD_LISTS]
+        up = np.take_along_axis(q, lead, axis=1) > 0
+        rows = np.where(up[None], self.high_heads[:, lead], self.low_heads[:, lead])
+        rows = np.sort(rows.transpose(1, 0, 2).reshape(len(q), -1), axis=1)
+        score = np.einsum("qrd,qd->qr", self.vectors[rows], q)
+        score[self.ids[rows] == own[:, None]] = -np.inf
+        score[:, 1:][rows[:, 1:] == rows[:, :-1]] = -np.inf
+        if score.shape[1] < k:
+            return np.full(len(q), -np.inf)
+        return np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+
+    def search(self, own: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the query, id, score) of the k best rows of each query; ties to the smaller id.
+
+        The bound of a term is the largest product any row has with the query there. Terms by
+        falling bound are essential until the rest cannot lift a row to the threshold. The
+        essential lists are traversed for all queries of the block at once; only rows that the
+        rest may still lift to the threshold are probed there, a few terms at a time.
+        """
+        q = q.astype(np.float64)
+        bound = np.maximum(q * self.top, q * self.low)
+        terms = np.argsort(-bound, axis=1, kind="stable")
+        falling = np.take_along_axis(bound, terms, axis=1)
+        # rest[:, j]: the most that the terms from the j-th on can add; it may be below 0.
+        rest = np.concatenate((np.cumsum(falling[:, ::-1], axis=1)[:, ::-1], np.zeros((len(q), 1))), axis=1)
+        least = self._first_thresholds(own, q, terms, k)
+        split = (rest > SPLIT_SHARE * np.maximum(least, 0)[:, None]).argmin(axis=1)
+        split[np.isneginf(least)] = q.shape[1]
+        place = np.argsort(terms, axis=1)
+        essential = np.where(place < split[:, None], q, 0)
+        score = essential @ self.vectors.T
+        left = np.take_along_axis(rest, split[:, None], axis=1)
+        of, row = np.nonzero(score + left >= least[:, None])
+        score = score[of, row]
+        keep = self.ids[row] != own[of]
+        of, row, score = of[keep], row[keep], score[keep]
+        for begin in range(int(split.min()), q.shape[1], STRIDE):
+            end = min(begin + STRIDE, q.shape[1])
+            few = terms[of, begin:end]
+            weight = np.where(np.arange(begin, end)[None] >= split[of][:, None], np.take_along_axis(q[of], few, axis=1), 0)
+            score = score + np.einsum("pt,pt->p", weight, self.vectors[row[:, None], few])
+            reached = np.maximum(split[of], end)
+            alive = score + rest[of, reached] >= least[of]
+            of, row, score = of[alive], row[alive], score[alive]
+        order = np.lexsort((self.ids[row], -score, of))
+        of, row, score = of[order], row[order], score[order]
+        rank = np.arange(len(of)) - np.searchsorted(of, of)
+        best = rank < k
+        return of[best], self.ids[row[best]], score[best].astype(np.int64)
 
 
 def _packed(rows: DataFrame, groups: int, name: str) -> DataFrame:
@@ -144,7 +150,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     empty result.
 
     Vectors form shards of some 4,096 rows and queries blocks of some 1,024, both packed into
-    one row each. Every block meets every shard in a task step that holds one of each; it
+    one row each. Every block meets every shard in a task step that holds one of each and
+    computes in doubles, which are exact up to 2**53; it
     returns k rows per query and shard, which are merged, first in part, by query.
     """
     n, m = vectors.count(), queries.count()
@@ -168,14 +175,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                     size: Shard(*part)
                     for size, part in _unpacked(here["ids"], here["sizes"], here["flat"]).items()
                 }
-                out: list[tuple[int, int, int]] = []
+                out = [(np.zeros(0, np.int64),) * 3]
                 for size, (ids, vs) in _unpacked(here["q_ids"], here["q_sizes"], here["q_flat"]).items():
                     if size in mine:
-                        for own, q in zip(ids.tolist(), vs, strict=True):
-                            found = mine[size].search(own, q, k, -(2**62))
-                            out.extend((own, i, s) for s, i in found)
+                        for begin in range(0, len(ids), QUERIES_AT_ONCE):
+                            own = ids[begin : begin + QUERIES_AT_ONCE]
+                            of, found, score = mine[size].search(own, vs[begin : begin + QUERIES_AT_ONCE], k)
+                            out.append((own[of], found, score))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[j] for x in out], pa.int64()) for j in range(3)],
+                    [pa.array(np.concatenate([x[j] for x in out]), pa.int64()) for j in range(3)],
                     ["query_id", "vec_id", "score"],
                 )
 
