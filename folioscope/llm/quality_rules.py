@@ -205,6 +205,18 @@ def judge(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FIELDS)
 
 
+def kept_only(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose verdict is to keep them."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield part.filter(judged(part, held.value).column("kept"))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fitted(spark: SparkSession, sf_dir: str, docs: DataFrame) -> Model:
     """The model for ``docs``, from those of them that have a quality label."""
     return fit(labelled_texts(docs, table(spark, sf_dir, "labels"), "quality", F.lit(True), FIT_ROWS))

@@ -424,6 +424,17 @@ def link_documents(docs: DataFrame) -> DataFrame:
     )
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each component of ``docs``, that of the smallest doc_id, with all its columns.
+
+    Repeated rows of an id leave one; rows without doc_id link with nothing and all stay.
+    """
+    first = link_documents(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    named = docs.where(F.col("doc_id").isNotNull())
+    stay = named.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return stay.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 @query("op8_shingle_join")
 def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under links of 0.8 Jaccard similarity on five-word shingles."""

@@ -309,6 +309,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     )
 
 
+def clean_only(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are not predicted to be toxic."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(held.value)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                clean = [reader.score(t) < TOXIC_FROM for t in part.column("text").to_pylist()]
+                yield part.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fitted(spark: SparkSession, sf_dir: str, docs: DataFrame) -> Model:
     """The model for ``docs``, from those of them that are labelled and not held out (fold 2 of 4)."""
     labels = table(spark, sf_dir, "labels")
