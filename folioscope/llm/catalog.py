@@ -1,4 +1,4 @@
 """Imports every module of this subpackage that registers queries."""
 
-from folioscope.llm import hidden_markov, language, maxscore, packing, quality_rules, shingle_join, token_counts, toxicity  # noqa: F401
+from folioscope.llm import hidden_markov, language, maxscore, packing, piece_transducer, quality_rules, shingle_join, token_counts, toxicity  # noqa: F401
 from folioscope.llm.registry import ORACLES, QUERIES  # noqa: F401
