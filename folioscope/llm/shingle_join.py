@@ -30,6 +30,8 @@ SIMILAR = 80
 CHUNK, BUCKET = 2_000_000, 100_000
 #: Blocks of index lists span sizes that differ by less than this factor.
 BLOCK_RATIO = 1.03
+#: Narrow tables of at most so many counted rows (some 30 MB) are broadcast, larger ones shuffled.
+BROADCAST_ROWS = 500_000
 
 _MANY = np.iinfo(np.int64).min
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -214,12 +216,18 @@ def _full_sets(texts: DataFrame) -> DataFrame:
     )
 
 
+def _if_small(narrow: DataFrame) -> DataFrame:
+    """A staged table of ids, marked for broadcast if its counted rows are few enough."""
+    return F.broadcast(narrow) if narrow.count() <= BROADCAST_ROWS else narrow
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the number of hashes they have in common and their sizes."""
+    """Staged pairs (a, b) with the number of hashes they have in common and their sizes."""
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
+    asked = stage(pairs.select("b").distinct(), "shingle-asked")
     return (
-        pairs.join(side("a"), "a")
-        .join(side("b"), "b")
+        side("a").join(_if_small(pairs), "a")
+        .join(side("b").join(_if_small(asked), "b", "left_semi"), "b")
         .select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).cast("long").alias("common"))
     )
 
@@ -247,7 +255,7 @@ def _stars(sets: DataFrame) -> DataFrame:
         .agg(F.max(F.struct("k", (-F.col("centre")).alias("minus"))).alias("best"))
         .select(F.col("doc_id").alias("a"), (-F.col("best.minus")).alias("b"))
     )
-    return _verified(beside, sets).select(
+    return _verified(stage(beside, "shingle-beside"), sets).select(
         F.col("a").alias("doc_id"),
         F.col("b").alias("centre"),
         (F.col("na") + F.col("nb") - 2 * F.col("common")).alias("difference"),
@@ -255,6 +263,37 @@ def _stars(sets: DataFrame) -> DataFrame:
     )
 
 
+def _grouped(sets: DataFrame, stars: DataFrame) -> DataFrame:
+    """Sets with grp: a centre that they link to, or themselves."""
+    own = stars.where("linked").groupBy("doc_id").agg(F.min("centre").alias("own"))
+    with_own = sets.join(_if_small(stage(own, "shingle-groups")), "doc_id", "left")
+    return with_own.withColumn("grp", F.coalesce("own", "doc_id")).drop("own")
+
+
+def _crossing(sets: DataFrame, tokens: str) -> DataFrame:
+    """(doc_id, u): how many of the hashes in ``tokens`` each set shares with another group."""
+    flat = sets.select("doc_id", "grp", F.explode(tokens).alias("token"))
+    several = (
+        flat.groupBy("token")
+        .agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"))
+        .where(F.col("lo") != F.col("hi"))
+        .select("token")
+    )
+    return flat.select("doc_id", "token").join(several, "token").groupBy("doc_id").agg(F.countDistinct("token").alias("u"))
+
+
+def _still_open(sets: DataFrame) -> DataFrame:
+    """The sets that may have a partner in another group: the least hashes are counted first."""
+    n = F.col("n")
+    few = _crossing(sets, "head").join(sets.select("doc_id", "n"), "doc_id")
+    looked = F.least(n, _spare("n") + 1 + F.floor(n / 10))
+    few = _if_small(stage(few.where(F.col("u") >= looked - _spare("n")).select("doc_id").distinct(), "shingle-open"))
+    sets = sets.join(few, "doc_id", "left_semi")
+    all_ = _crossing(sets, "tokens").join(sets.select("doc_id", "n"), "doc_id")
+    left = _if_small(stage(all_.where(F.col("u") >= n - _spare("n")).select("doc_id").distinct(), "shingle-open"))
+    return sets.join(left, "doc_id", "left_semi")
+
+
 def _open_tokens(sets: DataFrame) -> DataFrame:
     """(doc_id, n, grp, lists, u): the hashes of each set that another group holds too.
 
@@ -287,13 +326,13 @@ def _cross_pairs(opened: DataFrame) -> DataFrame:
     A set is listed under the first of its open hashes, as many as it may lack and one, less
     the hashes that no other group holds. Each list is cut into blocks by set size. In each
     list, sets of its largest group wait; the others visit the blocks of the sizes that a
-    partner can have: at least the share of its own size, at most what the number of its open
-    hashes allows. A set that has lost too much to its own changes has no such block.
+    partner can have: at least the share of its own size, at most what its open hashes from
+    this place on allow. A set that has lost too much to its own changes has no such block.
     """
     listed = opened.select(
         "doc_id", "n", "grp", "u",
-        F.explode(F.slice("lists", F.lit(1), (_spare("n") + 1 - (F.col("n") - F.col("u"))).cast("int"))).alias("e"),
-    ).select("doc_id", "n", "grp", "u", F.col("e.token").alias("token"))
+        F.posexplode(F.slice("lists", F.lit(1), (_spare("n") + 1 - (F.col("n") - F.col("u"))).cast("int"))).alias("i", "e"),
+    ).select("doc_id", "n", "grp", (F.col("u") - F.col("i")).alias("left"), F.col("e.token").alias("token"))
     largest = (
         listed.groupBy("token", "grp")
         .agg(F.count("*").alias("k"))
@@ -303,31 +342,26 @@ def _cross_pairs(opened: DataFrame) -> DataFrame:
         .select("token", F.col("most.grp").alias("waiting"))
     )
     listed = listed.join(largest, "token")
-    n, u = F.col("n"), F.col("u")
+    n = F.col("n")
     least = F.ceil(n * SIMILAR / 100)
-    most = F.least(
-        F.floor(n * 100 / SIMILAR), F.floor(u * (100 + SIMILAR) / SIMILAR) - n
-    )
+    # Of two sets whose first common open hash stands here, no more than what is left is common.
+    most = F.least(F.floor(n * 100 / SIMILAR), F.floor(F.col("left") * (100 + SIMILAR) / SIMILAR) - n)
     visits = (
         listed.where(F.col("grp") != F.col("waiting"))
-        .select("doc_id", "grp", "token", least.alias("least"), most.alias("most"))
+        .select("doc_id", "n", "grp", "token", least.alias("least"), most.alias("most"))
         .where(F.col("least") <= F.col("most"))
         .select(
-            F.col("doc_id").alias("a"), F.col("grp").alias("ga"), "token", "least", "most",
+            F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("grp").alias("ga"), "token", "least", "most",
             F.explode(F.sequence(_block(F.col("least")), _block(F.col("most")))).alias("block"),
         )
     )
     index = listed.select(
-        F.col("doc_id").alias("b"), F.col("grp").alias("gb"), "token", "n", "u", _block(n).alias("block"),
+        F.col("doc_id").alias("b"), F.col("grp").alias("gb"), "token", "n", _block(n).alias("block"),
         least.alias("b_least"), most.alias("b_most"),
     )
-    sizes = opened.select(F.col("doc_id").alias("a"), F.col("n").alias("na"))
     return (
         visits.join(index, ["token", "block"])
         .where((F.col("ga") != F.col("gb")) & F.col("n").between(F.col("least"), F.col("most")))
-        .select("a", "b", "b_least", "b_most")
-        .distinct()
-        .join(sizes, "a")
         .where(F.col("na").between(F.col("b_least"), F.col("b_most")))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
@@ -341,15 +375,16 @@ def _answers(pairs: DataFrame, sets: DataFrame, stars: DataFrame) -> DataFrame:
     and the sum of theirs from it; only pairs that this leaves undecided are looked at.
     """
     beside = stars.select("doc_id", "centre", "difference").unionByName(
-        stars.select(F.col("centre").alias("doc_id"), "centre", F.lit(0).cast("long").alias("difference")).distinct()
+        stars.select(F.col("centre").alias("doc_id"), "centre", F.lit(0).cast("long").alias("difference"))
     )
+    beside = beside.groupBy("doc_id").agg(F.min_by(F.struct("centre", "difference"), "difference").alias("x"))
+    beside = beside.select("doc_id", "x.centre", "x.difference")
     side = lambda x: beside.select(F.col("doc_id").alias(x), "centre", F.col("difference").alias(f"d{x}"))
     size = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"))
     bounds = (
         pairs.join(side("a"), "a")
         .join(side("b"), ["b", "centre"])
-        .groupBy("a", "b")
-        .agg(F.max(F.abs(F.col("da") - F.col("db"))).alias("low"), F.min(F.col("da") + F.col("db")).alias("high"))
+        .select("a", "b", F.abs(F.col("da") - F.col("db")).alias("low"), (F.col("da") + F.col("db")).alias("high"))
     )
     room = (F.col("na") + F.col("nb")) * (100 - SIMILAR) / (100 + SIMILAR)
     judged = stage(
@@ -359,7 +394,7 @@ def _answers(pairs: DataFrame, sets: DataFrame, stars: DataFrame) -> DataFrame:
         .select("a", "b", F.when(F.col("high") <= room, True).when(F.col("low") > room, False).alias("links")),
         "shingle-pairs",
     )
-    checked = _verified(judged.where(F.col("links").isNull()).select("a", "b"), sets)
+    checked = _verified(stage(judged.where(F.col("links").isNull()).select("a", "b"), "shingle-pairs"), sets)
     return (
         judged.where("links").select("a", "b")
         .unionByName(checked.where(_links("na", "nb", F.col("common"))).select("a", "b"))
@@ -397,20 +432,16 @@ def link_documents(docs: DataFrame) -> DataFrame:
         .select("doc_id", (F.col("shared") / looked).alias("central")),
         "shingle-survivors",
     )
-    sets = stage(_full_sets(known.join(survivors, "doc_id")), "shingle-full")
+    sets = stage(_full_sets(known.join(_if_small(survivors), "doc_id")), "shingle-full")
     first = stage(_stars(sets), "shingle-stars")
-    linked = first.where("linked").select("doc_id", "centre")
-    touched = linked.select("doc_id").unionByName(linked.select(F.col("centre").alias("doc_id"))).distinct()
-    second = stage(_stars(sets.join(touched, "doc_id", "left_anti")), "shingle-stars")
+    opened = stage(_still_open(_grouped(sets, first)), "shingle-open")
+    # Variants of one another that are far from the first centres get centres of their own.
+    ends = F.explode(F.array("doc_id", "centre")).alias("doc_id")
+    touched = _if_small(stage(first.where("linked").select(ends).distinct(), "shingle-touched"))
+    second = stage(_stars(opened.join(touched, "doc_id", "left_anti")), "shingle-stars")
     stars = first.unionByName(second)
     direct = stars.where("linked").select(F.col("doc_id").alias("a"), F.col("centre").alias("b"))
-    grouped = sets.join(
-        direct.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("own")), "doc_id", "left"
-    ).select("doc_id", "n", "tokens", F.coalesce("own", "doc_id").alias("grp"))
-    opened = stage(_open_tokens(grouped), "shingle-open")
-    again = opened.select("doc_id", "n", "grp", F.col("lists.token").alias("tokens"))
-    # A second look counts only what sets that passed the first one hold.
-    opened = stage(_open_tokens(again), "shingle-open")
+    opened = stage(_open_tokens(_grouped(opened.drop("grp"), stars)), "shingle-lists")
     pairs = stage(_cross_pairs(opened), "shingle-pairs")
     edges = direct.unionByName(_answers(pairs, sets, stars))
     components = connected_components(edges, "a", "b")
