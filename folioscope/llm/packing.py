@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import string
 import zlib
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -20,15 +22,52 @@ from folioscope.llm.vectext import slices
 from folioscope.staging import stage
 
 #: Stretches of text whose ids a task remembers, and characters of the longest of them.
-REMEMBERED, LONG_STRETCH = 500_000, 64
+REMEMBERED, LONG_STRETCH = 800_000, 64
 
+_MARKS = string.punctuation
 _STRETCH = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 #: White space beyond the six ASCII bytes; texts that hold any are encoded whole.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 
 
+def _byte_signs() -> dict[int, int]:
+    """The sign that stands for each byte: printable ones for themselves, the others from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = (b for b in range(256) if b not in set(plain))
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
+
+
+class _Known(dict):
+    """Ids of stretches; one that is missing is encoded when it is asked for.
+
+    Punctuation at the end of a stretch, behind a letter, is split off by the tokenizer whatever
+    follows, and so is a line break in front; so a word is encoded once with and without them.
+    A word of letters, with a blank in front or not, is merged as it is.
+    """
+
+    def __init__(self, model):
+        self._model, self._merges = model, model.model
+        self._added = [t.content for t in model.get_added_tokens_decoder().values()]
+        self._signs = _byte_signs()
+
+    def __missing__(self, stretch: str) -> bytes:
+        word = stretch.rstrip(_MARKS)
+        if word != stretch and word[-1:].isalpha() and not any(t in stretch for t in self._added):
+            ids = self[word] + self[stretch[len(word) :]]
+        elif stretch[:1] == "\n" and stretch[1:].isalpha():
+            ids = self["\n"] + self[stretch[1:]]
+        elif stretch.removeprefix(" ").isalpha():
+            signs = stretch.encode().decode("latin-1").translate(self._signs)
+            ids = array("I", [t.id for t in self._merges.tokenize(signs)]).tobytes()
+        else:
+            ids = array("I", self._model.encode(stretch, add_special_tokens=False).ids).tobytes()
+        if len(stretch) <= LONG_STRETCH:
+            self[stretch] = ids
+        return ids
+
+
 class Encoder:
-    """Ids of texts by a byte-level BPE tokenizer, as little-endian 32-bit words.
+    """Ids of texts by a byte-level BPE tokenizer, as 32-bit words of the machine, little-endian.
 
     The tokenizer splits a text before it merges, and always where white space begins behind
     other characters; so stretches of white space with what follows are encoded on their own,
@@ -39,23 +78,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._model = Tokenizer.from_file(path)
-        self._known: dict[str, bytes] = {}
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        found = self._model.encode_batch(texts, add_special_tokens=False)
-        return [np.array(f.ids, "<u4").tobytes() for f in found]
+        self._known = _Known(self._model)
+        sample = "It's a\nsample, isn't it?!\n\n  Größe 12 word\tend."
+        if self.encode(sample) != array("I", self._model.encode(sample, add_special_tokens=False).ids).tobytes():
+            raise ValueError("the tokenizer does not split texts like a byte-level BPE")
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, text: str) -> bytes:
         if len(self._known) > REMEMBERED:
-            self._known = {}
-        known, passing = self._known, {}
-        cut = [[t] if _ODD_SPACE.search(t) else _STRETCH.findall(t) for t in texts]
-        fresh = list({s for parts in cut for s in parts if s not in known})
-        for s, ids in zip(fresh, self._encoded(fresh), strict=True):
-            (known if len(s) <= LONG_STRETCH else passing)[s] = ids
-        if passing:
-            known = {**known, **passing}
-        return [b"".join(map(known.__getitem__, parts)) for parts in cut]
+            self._known.clear()
+        parts = [text] if not text.isascii() and _ODD_SPACE.search(text) else _STRETCH.findall(text)
+        return b"".join(map(self._known.__getitem__, parts))
 
 
 class Pattern(NamedTuple):
@@ -158,9 +190,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, room: int) -> DataF
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = []
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
-                    ids += end
+                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    ids = encoder.encode(text or "") + end
                     total = len(ids) // 4
                     head = (total - 1) % room + 1
                     for piece, start in enumerate([0, *range(head, total, room)]):
