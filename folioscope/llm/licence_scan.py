@@ -137,7 +137,7 @@ def lines(column: pa.Array) -> tuple[np.ndarray, Lines]:
     w = words(_PLAIN[data], cuts)
     owner = np.searchsorted(bounds, cuts[:-1], "right") - 1
     # A cut at a text's end repeats as the next text's start; lines without words drop out below.
-    number = np.arange(len(cuts) - 1) - np.searchsorted(cuts[:-1], bounds[:-1])[np.clip(owner, 0, max(0, len(bounds) - 2))]
+    number = np.arange(len(cuts) - 1) - (np.searchsorted(cuts[:-1], bounds[:-1], "right") - 1)[np.clip(owner, 0, max(0, len(bounds) - 2))]
     h = word_hashes(_PLAIN[data], w.start, w.end)
     pairs, at = chained(h, 2, w.first) if len(h) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     first_pair = np.searchsorted(at, w.first)
@@ -264,11 +264,19 @@ def _templates() -> list[_Template]:
     return out
 
 
+#: A line of fewer words than this is measured against as many of a template's.
+FRAGMENT = 8
+
+
 def _likeness(line: str, t: _Template) -> float:
-    """Share of the template's words and neighbouring words that the line has, evenly weighed."""
+    """Share of the words and neighbouring words of a template that the line has, evenly weighed.
+
+    A line shorter than the template is taken as a fragment of it, and measured by its own length.
+    """
     w = _words(line)
-    pairs = set(zip(w, w[1:], strict=False))
-    return 0.5 * len(t.words & set(w)) / len(t.words) + 0.5 * len(t.pairs & pairs) / max(1, len(t.pairs))
+    own, pairs = set(w), set(zip(w, w[1:], strict=False))
+    share = lambda a, b: len(a & b) / max(1, min(len(a), max(FRAGMENT, len(b))))
+    return 0.5 * share(t.words, own) + 0.5 * share(t.pairs, pairs)
 
 
 FIELDS = "doc_id long, line int, start long, end long, family string, chance double, likeness double, template string"
