@@ -6,6 +6,9 @@ positions of the elements found, never a growing copy of the page.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,12 +35,8 @@ EXTERNAL_SCHEMES = ["http://", "https://", "mailto:", "ftp://"]
 # Elements that may carry one of the dropped classes.
 CLASSED_ELEMENTS = ["div", "section", "aside", "form", "table", "dl", "ul", "ol", "p", "span", "a"]
 
-ENTITIES = {
-    "&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&copy;": "\u00a9",
-    "&reg;": "\u00ae", "&middot;": "\u00b7", "&para;": "\u00b6", "&hellip;": "\u2026", "&mdash;": "\u2014",
-    "&ndash;": "\u2013", "&laquo;": "\u00ab", "&raquo;": "\u00bb", "&bull;": "\u2022", "&times;": "\u00d7",
-    "&lsquo;": "\u2018", "&rsquo;": "\u2019", "&ldquo;": "\u201c", "&rdquo;": "\u201d",
-}
+# Character references by name, as HTML defines them, those that end in a semicolon.
+ENTITIES = {f"&{name}": chars for name, chars in html5.items() if name.endswith(";")}
 
 # Private-use stand-ins that carry characters through the conversion.
 _BREAK, _LESS, _MORE, _LINE, _BLANK, _HEAD = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004", "\ue005"
@@ -192,41 +191,41 @@ def code_blocks(html: Column) -> Column:
     )
 
 
-def named_entities(text: Column) -> Column:
-    for name, char in ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
-
+_REFERENCE = r"&(?:#[xX][0-9a-fA-F]+|#[0-9]+|[a-zA-Z][a-zA-Z0-9]*);"
 
-def numeric_entities(text: Column) -> Column:
-    """Decimal and hexadecimal character references."""
-    numeric = r"&#(?:[xX]([0-9a-fA-F]{1,6})|([0-9]{1,7}));"
 
-    def decode(m: Column) -> Column:
-        decimal = F.try_to_number(F.regexp_extract(m, numeric, 2), F.lit("9999999"))
-        digits = F.when(m.rlike("^&#[xX]"), F.regexp_extract(m, numeric, 1)).otherwise(
-            F.hex(decimal.cast("bigint"))
-        )
-        return F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
+def _numbered(reference: Column) -> Column:
+    """The character of a decimal or hexadecimal reference.
 
-    found = F.transform(matches(text, numeric), decode)
-    joined = F.array_join(
-        F.transform(
-            F.split(text, numeric, -1), lambda p, i: F.concat(p, F.coalesce(F.get(found, i), F.lit("")))
-        ),
-        "",
-    )
-    return F.when(text.contains("&#"), joined).otherwise(text)
+    What is no character (0, surrogates, beyond the last code point) is the replacement
+    character, so that no page can fail a job.
+    """
+    hexadecimal = reference.rlike("^&#[xX]")
+    digits = F.regexp_extract(reference, r"^&#[xX]?0*([0-9a-fA-F]*);", 1)
+    short = F.length(digits).between(1, F.when(hexadecimal, 6).otherwise(7))
+    point = F.when(short, F.conv(digits, 16, 10).cast("bigint")).otherwise(0)
+    point = F.when(hexadecimal, point).when(short, F.try_to_number(digits, F.lit("9999999")).cast("bigint")).otherwise(0)
+    real = (point > 0) & (point < 0xD800) | (point > 0xDFFF) & (point <= 0x10FFFF)
+    safe = F.when(real, point).otherwise(0xFFFD)
+    return F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
 
 
 def unescaped(df: DataFrame, column: str) -> DataFrame:
-    """Character references to characters; ``&amp;`` comes last."""
+    """Character references to characters, each once; names that HTML does not know stay."""
     text = F.col(column)
-    return (
-        df.withColumn(column, F.when(text.contains("&"), named_entities(text)).otherwise(text))
-        .withColumn(column, numeric_entities(text))
-        .withColumn(column, F.replace(text, F.lit("&amp;"), F.lit("&")))
+    names = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")
+
+    def char(reference: Column) -> Column:
+        return F.when(reference.startswith("&#"), _numbered(reference)).otherwise(
+            F.coalesce(F.try_element_at(names, reference), reference)
+        )
+
+    found = F.transform(matches(text, _REFERENCE), char)
+    between = F.split(text, _REFERENCE, -1)
+    joined = F.array_join(
+        F.transform(between, lambda p, i: F.concat(p, F.coalesce(F.get(found, i), F.lit("")))), ""
     )
+    return df.withColumn(column, F.when(text.contains("&"), joined).otherwise(text))
 
 
 def to_markdown(df: DataFrame, column: str) -> DataFrame:

@@ -108,8 +108,11 @@ def inferred_category(exc_type: Column, message: Column, operation: Column) -> C
 
 
 def classify(error_log: DataFrame, rules: list[ErrorRule] = ERROR_RULES) -> DataFrame:
-    """Add error_id, title, description, severity, category; the first matching rule wins."""
-    kind, message = F.col("exc_type"), F.col("message")
+    """Add error_id, title, description, severity, category; the first matching rule wins.
+
+    A missing type or message counts as empty text.
+    """
+    kind, message = F.coalesce("exc_type", F.lit("")), F.coalesce("message", F.lit(""))
     chosen = None
     for rule in rules:
         hit = F.lower(message).contains(rule.pattern.lower()) | (kind == rule.pattern)

@@ -9,17 +9,13 @@ from folioscope.operators.joins import lookup_join, number_rows
 from folioscope.staging import Stage, stage
 
 
-MAX_LEVELS = 10_000
-
-
-def connected_components(
-    edges: DataFrame, source: str, target: str, max_rounds: int = 200
-) -> DataFrame:
+def connected_components(edges: DataFrame, source: str, target: str) -> DataFrame:
     """Components of an undirected graph: (node, component), component being its least node.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): each round moves every
-    edge towards the least neighbour, until the edges form stars. Minimums are aggregated
-    before they are joined back, and hot nodes are salted.
+    edge towards the least neighbour, until the edges form stars, which they always come to.
+    Minimums are aggregated before they are joined back, and hot nodes are salted. Both steps
+    of a round are written to the two folders of one stage in turn.
     """
     table = Stage(edges.sparkSession, "components")
     a, b = F.col(source), F.col(target)
@@ -28,13 +24,11 @@ def connected_components(
         .select(F.greatest(a, b).alias("child"), F.least(a, b).alias("parent"))
         .distinct()
     )
-    for _ in range(max_rounds):
-        if _is_star_forest(pairs):
-            roots = pairs.select(F.col("parent").alias("node"), F.col("parent").alias("component"))
-            members = pairs.select(F.col("child").alias("node"), F.col("parent").alias("component"))
-            return members.unionByName(roots.distinct())
-        pairs = table.write(_small_star(_large_star(pairs)))
-    raise RuntimeError(f"components not settled after {max_rounds} rounds")
+    while not _is_star_forest(pairs):
+        pairs = table.write(_small_star(table.write(_large_star(pairs))))
+    roots = pairs.select(F.col("parent").alias("node"), F.col("parent").alias("component"))
+    members = pairs.select(F.col("child").alias("node"), F.col("parent").alias("component"))
+    return members.unionByName(roots.distinct())
 
 
 def _large_star(pairs: DataFrame) -> DataFrame:
@@ -56,7 +50,7 @@ def _small_star(pairs: DataFrame) -> DataFrame:
     """Connect every smaller neighbour of a node, and the node, to the least of them."""
     least = pairs.groupBy("child").agg(F.min("parent").alias("m"))
     moved = (
-        lookup_join(pairs, least, "child", "inner")
+        lookup_join(pairs, least, "child", "inner", staged=True)
         .where(F.col("parent") != F.col("m"))
         .select(F.col("parent").alias("child"), F.col("m").alias("parent"))
     )
@@ -112,54 +106,96 @@ def ready_tasks(tasks: DataFrame, deps: DataFrame, done: DataFrame) -> DataFrame
     )
 
 
-def dependency_levels(tasks: DataFrame, deps: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
+def _chains(tasks: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, root, hops): tasks of one dependency each, followed down to a task of none or several.
+
+    Pointer doubling: a chain of n tasks takes log2(n) rounds. Raises if a chain is a circle.
+    """
+    table = Stage(tasks.sparkSession, "chains")
+    single = edges.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("dep").alias("up"))
+    single = single.where("n = 1").select("id", "up")
+    known = table.write(
+        tasks.join(single, "id", "left").select("id", "up", F.when(F.col("up").isNull(), 0).otherwise(1).alias("hops"))
+    )
+    length, total = 1, known.count()
+    while True:
+        ahead = known.where(F.col("up").isNotNull()).select(
+            F.col("id").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("more")
+        )
+        if known.join(ahead.select("up"), "up", "left_semi").isEmpty():
+            return known.select("id", F.coalesce("up", "id").alias("root"), "hops")
+        if length > total:
+            raise UnresolvedTasksError(edges)
+        length *= 2
+        moved = lookup_join(known, ahead, "up", "left", staged=True)
+        known = table.write(
+            moved.select(
+                "id", F.coalesce("up2", "up").alias("up"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")
+            )
+        )
+
+
+def dependency_levels(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     """Execution level per task, from 0; raises on a cycle or a missing task.
 
-    One round per level; only the open dependencies are kept from round to round.
+    Chains of tasks that wait for one task each are folded by pointer doubling. What is left are
+    tasks of several dependencies, which are placed in rounds, as many as there are of them on
+    the longest path; each round keeps only the open dependencies.
     """
     spark = tasks.sparkSession
-    open_table, edge_table, out_table = (
-        Stage(spark, "open-tasks"),
-        Stage(spark, "open-deps"),
-        Stage(spark, "levels"),
+    tasks = stage(tasks.select("id").distinct(), "tasks")
+    edges = stage(deps.select("id", "dep").join(tasks, "id", "left_semi").distinct(), "deps")
+    lost = edges.join(tasks.select(F.col("id").alias("dep")), "dep", "left_anti").select("id", "dep")
+    if not lost.isEmpty():
+        raise UnresolvedTasksError(lost)
+    chains = stage(_chains(tasks, edges), "chains")
+    roots = chains.where("id = root").select("id")
+    folded = lookup_join(
+        edges.join(roots, "id", "left_semi"),
+        chains.select(F.col("id").alias("dep"), "root", "hops"),
+        "dep",
+        "inner",
     )
-    open_tasks = open_table.write(tasks.select("id").distinct())
-    edges = edge_table.write(deps.select("id", "dep").distinct())
-    levels = None
-    for level in range(max_levels):
-        ready = open_tasks.join(edges.select("id").distinct(), "id", "left_anti")
-        placed = ready.withColumn("level", F.lit(level))
-        done = stage(placed, "level")
-        if done.isEmpty():
-            if open_tasks.isEmpty():
-                break
-            raise UnresolvedTasksError(edges)
-        levels = done if levels is None else levels.unionByName(done)
-        if level % 20 == 19:
-            levels = out_table.write(levels)
-        finished = done.select(F.col("id").alias("dep"), F.lit(True).alias("done"))
-        edges = edge_table.write(
-            lookup_join(edges, finished, "dep", "left", staged=True)
-            .where(F.col("done").isNull())
-            .drop("done")
+    edge_table, open_table, placed_table = (Stage(spark, n) for n in ("open-deps", "open-tasks", "placed"))
+    waiting = edge_table.write(folded.groupBy("id", "root").agg((F.max("hops") + 1).alias("hops")))
+    # Of each open task, the level that the dependencies placed so far call for.
+    several = waiting.select("id").distinct()
+    placed = placed_table.write(roots.join(several, "id", "left_anti").withColumn("level", F.lit(0)))
+    fresh = placed
+    open_tasks = open_table.write(several.withColumn("level", F.lit(0)))
+    while not open_tasks.isEmpty():
+        level = fresh.select(F.col("id").alias("root"), F.col("level").alias("below"))
+        joined = stage(lookup_join(waiting, level, "root", "left", staged=True), "placing")
+        called = joined.where(F.col("below").isNotNull()).groupBy("id").agg(F.max(F.col("below") + F.col("hops")).alias("called"))
+        waiting = edge_table.write(joined.where(F.col("below").isNull()).drop("below").select("id", "root", "hops"))
+        raised = stage(
+            open_tasks.join(called, "id", "left")
+            .select("id", F.greatest("level", F.coalesce("called", F.lit(0))).alias("level"))
+            .join(waiting.select("id", F.lit(True).alias("still")).distinct(), "id", "left"),
+            "placing",
         )
-        open_tasks = open_table.write(open_tasks.join(done.select("id"), "id", "left_anti"))
-    if levels is None:
-        return tasks.select("id").where("false").withColumn("level", F.lit(0))
-    return levels
+        fresh = stage(raised.where(F.col("still").isNull()).select("id", F.col("level").cast("int").alias("level")), "placing")
+        if fresh.isEmpty():
+            raise UnresolvedTasksError(waiting.select("id", F.col("root").alias("dep")))
+        placed = placed_table.write(placed.unionByName(fresh))
+        open_tasks = open_table.write(raised.where("still").select("id", "level"))
+    level = placed.select(F.col("id").alias("root"), "level")
+    return lookup_join(chains, level, "root", "inner", staged=True).select(
+        "id", (F.col("level") + F.col("hops")).cast("int").alias("level")
+    )
 
 
 def order_in_level(tasks: DataFrame, levels: DataFrame) -> DataFrame:
     """Position inside a level: priority from high to low, then id.
 
     A level may hold a third of all tasks, so positions come from one range-partitioned
-    ordering over (level, priority, id) minus the position where the level starts. There is
-    one start per level, at most ``MAX_LEVELS`` rows, so the starts may be broadcast.
+    ordering over (level, priority, id) minus the position where the level starts, which is
+    looked up by level, of which a long chain may have as many as there are tasks.
     """
     joined = tasks.join(levels, "id").withColumn("_down", -F.col("priority"))
     numbered = stage(number_rows(joined, ["level", "_down", "id"], "_at"), "numbered")
     starts = numbered.groupBy("level").agg(F.min("_at").alias("_start"))
-    return numbered.join(F.broadcast(starts), "level").select(
+    return lookup_join(numbered, starts, "level", "inner", staged=True).select(
         "level", (F.col("_at") - F.col("_start") + 1).alias("position"), "id", "priority"
     )
 
@@ -244,55 +280,63 @@ def without_dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def operation_tree(operations: DataFrame, root: str | None = None, max_rounds: int = 64) -> DataFrame:
-    """(name, root, depth, tree_path) for a forest given as (name, parent).
+    """(name, root, depth, parent) for a forest given as (name, parent).
 
-    Pointer doubling: every round doubles the length of the known path to the top, so a tree
-    of depth d takes log2(d) rounds. A parent that is not an operation counts as none.
+    Pointer doubling: every round doubles the height that is known, so a tree of depth d takes
+    log2(d) rounds, and only rows that are not yet at the top are joined. More rounds than any
+    tree can need (``max_rounds``) mean a circle. A parent that is not an operation counts as
+    none. With ``root``, only that operation and those below it, with ``tree_path`` from it on;
+    paths of a whole forest would be as long as its depth for every row.
     """
     table = Stage(operations.sparkSession, "tree")
     known = operations.select(F.col("name").alias("parent"), F.lit(True).alias("known")).distinct()
     linked = lookup_join(operations.select("name", "parent"), known, "parent", "left")
-    up = F.when(F.col("known"), F.col("parent"))
-    paths = table.write(
+    parent = F.when(F.col("known"), F.col("parent"))
+    at_root = F.lit(False) if root is None else F.coalesce((F.col("name") == root) | (parent == root), F.lit(False))
+    tree = table.write(
         linked.select(
             "name",
-            up.alias("up"),
-            F.coalesce(up, F.col("name")).alias("top"),
-            F.when(up.isNull(), 0).otherwise(1).alias("depth"),
-            F.when(up.isNull(), F.array()).otherwise(F.array(up)).cast("array<string>").alias("above"),
+            parent.alias("parent"),
+            parent.alias("up"),
+            F.coalesce(parent, F.col("name")).alias("top"),
+            F.when(parent.isNull(), 0).otherwise(1).alias("depth"),
+            at_root.alias("below"),
         )
     )
     for _ in range(max_rounds):
-        if paths.where(F.col("up").isNotNull()).isEmpty():
+        rising = tree.where(F.col("up").isNotNull())
+        if rising.isEmpty():
             break
-        nxt = paths.select(
-            F.col("name").alias("up"),
-            F.col("up").alias("up2"),
-            F.col("top").alias("top2"),
-            F.col("depth").alias("depth2"),
-            F.col("above").alias("above2"),
+        above = tree.select(
+            F.col("name").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"),
+            F.col("depth").alias("depth2"), F.col("below").alias("below2"),
         )
-        joined = lookup_join(paths, nxt, "up", "left")
-        moved = F.col("up").isNotNull()
-        paths = table.write(
-            joined.select(
-                "name",
-                F.col("up2").alias("up"),
-                F.when(moved, F.col("top2")).otherwise(F.col("top")).alias("top"),
-                (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"),
-                F.when(moved, F.concat("above2", "above")).otherwise(F.col("above")).alias("above"),
-            )
+        moved = lookup_join(rising, above, "up", "inner", staged=True).select(
+            "name", "parent", F.col("up2").alias("up"), F.col("top2").alias("top"),
+            (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("below") | F.col("below2")).alias("below"),
         )
+        tree = table.write(tree.where(F.col("up").isNull()).unionByName(moved))
     else:
         raise ValueError("operations refer to each other in a circle")
-    out = paths.select(
-        "name",
-        F.col("top").alias("root"),
-        "depth",
-        F.array_join(F.concat("above", F.array("name")), "/").alias("tree_path"),
-        "above",
+    out = tree.select("name", F.col("top").alias("root"), "depth", "parent", "below")
+    if root is None:
+        return out.drop("below")
+    return _with_paths(out.where("below").drop("below"), root)
+
+
+def _with_paths(tree: DataFrame, root: str) -> DataFrame:
+    """Add tree_path, the names from ``root`` down to each operation of its tree."""
+    table = Stage(tree.sparkSession, "paths")
+    up = F.when(F.col("name") != root, F.col("parent"))
+    paths = table.write(
+        tree.select("*", up.alias("up"), F.when(up.isNull(), F.array()).otherwise(F.array(up)).cast("array<string>").alias("above"))
     )
-    if root is not None:
-        below = F.array_contains("above", root) | (F.col("name") == root)
-        out = out.where(below)
-    return out.drop("above")
+    while not paths.where(F.col("up").isNotNull()).isEmpty():
+        ahead = paths.select(F.col("name").alias("up"), F.col("up").alias("up2"), F.col("above").alias("above2"))
+        rising = lookup_join(paths.where(F.col("up").isNotNull()), ahead, "up", "inner", staged=True)
+        moved = rising.select(
+            "name", "root", "depth", "parent", F.col("up2").alias("up"), F.concat("above2", "above").alias("above")
+        )
+        paths = table.write(paths.where(F.col("up").isNull()).unionByName(moved))
+    path = F.array_join(F.concat("above", F.array("name")), "/")
+    return paths.select("name", "root", "depth", "parent", path.alias("tree_path"))

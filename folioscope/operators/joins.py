@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from folioscope.staging import stage
 
-# A key is heavy from this share of all rows on, so there are never more than 1,000 heavy keys.
-HEAVY_SHARE = 1000
-HEAVY_ROWS = 200_000
+# A key is heavy when it has more rows than one task should read.
+TASK_ROWS = 1_000_000
+# Heavy keys that are named, at most: the heaviest. All others have fewer rows than these.
+HEAVY_KEYS = 100_000
 
 
 def lookup_join(
@@ -17,44 +18,49 @@ def lookup_join(
     lookup: DataFrame,
     on: str,
     how: str = "left",
-    heavy_rows: int = HEAVY_ROWS,
+    heavy_rows: int = TASK_ROWS,
     staged: bool = False,
 ) -> DataFrame:
     """Join ``facts`` to ``lookup``, which holds one row per key, without a hot task.
 
     The facts are narrow by the time they get here; they are written once (unless already
-    ``staged``), so that counting their keys does not compute them twice. Only rows of heavy
-    keys get a salt, and only their lookup rows are repeated once per salt. There are at most
-    ``HEAVY_SHARE`` heavy keys whatever the size of the data, so their list may be broadcast.
+    ``staged``), so that counting their keys does not compute them twice. Rows without a key
+    match nothing and pass by the join. Rows of a key with more than ``heavy_rows`` rows are
+    dealt to one salt for each so many rows, and only that key's lookup row is repeated as
+    often. The list of heavy keys is bounded by ``HEAVY_KEYS`` and so may be broadcast.
     """
     if not staged:
         facts = stage(facts, "facts")
-    rows = facts.count()
-    if rows < heavy_rows:
-        return facts.join(lookup, on, how)
-    heavy = stage(
-        facts.groupBy(on)
+    heavy = (
+        facts.where(F.col(on).isNotNull())
+        .groupBy(F.col(on).alias("_hot"))
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .where((F.col("_rows") >= heavy_rows) & (F.col("_rows") > rows / HEAVY_SHARE))
-        .where(F.col(on).isNotNull())
-        .select(F.col(on).alias("_hot")),
-        "heavy",
+        .where(F.col("_rows") > heavy_rows)
+        .orderBy(F.desc("_rows"))
+        .limit(HEAVY_KEYS)
     )
-    if heavy.isEmpty():
-        return facts.join(lookup, on, how)
-    salts = max(8, int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    hot = F.broadcast(heavy)
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns]), F.lit(salts)).cast("int")
-    salted = facts.join(hot, F.col(on) == F.col("_hot"), "left").select(
-        *facts.columns, F.when(F.col("_hot").isNotNull(), spread).otherwise(0).alias("_salt")
-    )
-    copies = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    repeated = lookup.join(hot, F.col(on) == F.col("_hot"), "left").select(
-        *lookup.columns, F.explode(copies).alias("_salt")
-    )
-    return salted.join(repeated, [on, "_salt"], how).drop("_salt")
+    found = heavy.collect()
+    named = facts.where(F.col(on).isNotNull())
+    if not found:
+        joined = named.join(lookup, on, how)
+    else:
+        hot = facts.sparkSession.createDataFrame(found, heavy.schema).select(
+            "_hot", F.ceil(F.col("_rows") / heavy_rows).cast("int").alias("_salts")
+        )
+        hot = F.broadcast(hot)
+        salted = named.withColumn("_turn", F.monotonically_increasing_id()).join(
+            hot, F.col(on) == F.col("_hot"), "left"
+        )
+        turn = F.pmod(F.col("_turn"), F.col("_salts")).cast("int")
+        salted = salted.select(*facts.columns, F.coalesce(turn, F.lit(0)).alias("_salt"))
+        copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+        repeated = lookup.join(hot, F.col(on) == F.col("_hot"), "left").select(
+            *lookup.columns, F.explode(copies).alias("_salt")
+        )
+        joined = salted.join(repeated, [on, "_salt"], how).drop("_salt")
+    if how in ("inner", "left_semi"):
+        return joined
+    return joined.unionByName(facts.where(F.col(on).isNull()), allowMissingColumns=True)
 
 
 def one_row(*parts: DataFrame) -> DataFrame:

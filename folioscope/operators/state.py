@@ -202,25 +202,32 @@ def change_summary(changes: DataFrame) -> DataFrame:
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def is_timestamp(since: str) -> bool:
-    """Whether a job parameter is an ISO time stamp; ``Z`` is accepted."""
+def parsed_time(since: str) -> datetime | None:
+    """An ISO time stamp given as a job parameter, None if it is none; ``Z`` is accepted."""
     try:
-        datetime.fromisoformat(since.replace("Z", "+00:00"))
+        return datetime.fromisoformat(since.replace("Z", "+00:00"))
     except ValueError:
-        return False
-    return True
+        return None
+
+
+def is_timestamp(since: str) -> bool:
+    """Whether a job parameter is an ISO time stamp."""
+    return parsed_time(since) is not None
 
 
 def changes_since(files: DataFrame, since: str | None) -> DataFrame:
     """Files modified after an ISO time stamp; without one, every file.
 
-    A time stamp that cannot be read gives no file; see ``is_timestamp``.
+    A time stamp that cannot be read gives no file; see ``is_timestamp``. One without a zone is
+    in that of the session.
     """
     if since is None:
         return files
-    if not is_timestamp(since):
+    at = parsed_time(since)
+    if at is None:
         return files.where(F.lit(False))
-    return files.where(F.col("mtime") > F.lit(since).cast("timestamp"))
+    # Text that Spark reads in the session's zone, whatever form the parameter had.
+    return files.where(F.col("mtime") > F.lit(at.isoformat(" ")).cast("timestamp"))
 
 
 def build_stats(

@@ -18,6 +18,8 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from folioscope.functions import paths
 from folioscope.staging import stage
 
+# Entries of a folder that make one batch.
+LISTED_AT_ONCE = 10_000
 LISTING = "path string, is_dir boolean, size long, mtime timestamp"
 
 
@@ -30,7 +32,7 @@ def _tasks(spark: SparkSession) -> int:
 
 
 def scan_files(
-    spark: SparkSession, root: str, suffix: str = "", hidden: bool = False, max_depth: int = 64
+    spark: SparkSession, root: str, suffix: str = "", hidden: bool = False
 ) -> DataFrame:
     """(path, size, mtime) of all files below a folder, without reading any of them.
 
@@ -44,33 +46,37 @@ def scan_files(
         system, top = fs.FileSystem.from_uri(base)
         for batch in batches:
             for folder in batch["path"].to_pylist():
-                inside = system.get_file_info(fs.FileSelector(f"{top}/{folder}".rstrip("/")))
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "path": [f"{folder}/{i.base_name}".lstrip("/") for i in inside],
-                        "is_dir": [i.type == fs.FileType.Directory for i in inside],
-                        "size": [i.size or 0 for i in inside],
-                        "mtime": pa.array([(i.mtime_ns or 0) // 1000 for i in inside], pa.timestamp("us", "UTC")),
-                    }
-                )
+                everything = system.get_file_info(fs.FileSelector(f"{top}/{folder}".rstrip("/")))
+                for begin in range(0, len(everything), LISTED_AT_ONCE):
+                    inside = everything[begin : begin + LISTED_AT_ONCE]
+                    times = [(i.mtime_ns or 0) // 1000 for i in inside]
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "path": [f"{folder}/{i.base_name}".lstrip("/") for i in inside],
+                            "is_dir": [i.type == fs.FileType.Directory for i in inside],
+                            "size": [i.size or 0 for i in inside],
+                            "mtime": pa.array(times, pa.timestamp("us", "UTC")),
+                        }
+                    )
 
     level = spark.createDataFrame([("",)], "path string")
     found = None
-    for _ in range(max_depth):
+    while True:
         listed = stage(level.repartition(_tasks(spark)).mapInArrow(list_folders, LISTING), "listing")
         here = listed.where("NOT is_dir").drop("is_dir")
         found = here if found is None else found.unionByName(here)
         level = listed.where("is_dir").select("path")
         if level.isEmpty():
             break
-    else:
-        raise ValueError(f"folders nest deeper than {max_depth} levels")
     kept = found.where(F.col("path").endswith(suffix)) if suffix else found
     return kept if hidden else kept.where(~paths.basename(F.col("path")).startswith("."))
 
 
 def with_content(files: DataFrame, root: str) -> DataFrame:
-    """Add ``content``, decoded with line ends as line feeds; null when it is not UTF-8."""
+    """Add ``content``, decoded with line ends as line feeds.
+
+    It is null when the file is not UTF-8 or is gone since it was listed.
+    """
     base = _uri(root).rstrip("/")
     schema = StructType([*files.schema.fields, StructField("content", BinaryType())])
 
@@ -80,8 +86,11 @@ def with_content(files: DataFrame, root: str) -> DataFrame:
         system, top = fs.FileSystem.from_uri(base)
         for batch in batches:
             for i, path in enumerate(batch["path"].to_pylist()):
-                with system.open_input_file(f"{top}/{path}") as handle:
-                    body = pa.array([handle.readall()], pa.binary())
+                try:
+                    with system.open_input_file(f"{top}/{path}") as handle:
+                        body = pa.array([handle.readall()], pa.binary())
+                except FileNotFoundError:
+                    body = pa.array([None], pa.binary())
                 yield batch.slice(i, 1).append_column("content", body)
 
     spread = files.repartition(_tasks(files.sparkSession))

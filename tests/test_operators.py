@@ -35,6 +35,36 @@ def test_lookup_join_salts_hot_keys_only(spark, how):
     assert "_salt" in salted._jdf.queryExecution().analyzed().toString()
 
 
+@pytest.mark.parametrize("heavy", ["nulls", "one in two thousand"])
+def test_lookup_join_has_no_hot_task(spark, heavy):
+    if heavy == "nulls":
+        key = F.when(F.col("id") % 10 == 0, (F.col("id") % 997).cast("string"))
+    else:
+        key = F.when(F.col("id") % 40 == 0, "hot").otherwise(F.col("id").cast("string"))
+    facts = spark.range(80_000).select(key.alias("k"), "id")
+    lookup = facts.where("k is not null").select("k").distinct().withColumn("v", F.lit(1))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = J.lookup_join(facts, lookup, "k", "left", heavy_rows=500)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 80_000 and max(sizes) <= 3 * sum(sizes) / len(sizes)
+
+
+def test_components_leave_two_folders(spark):
+    from pathlib import Path
+
+    from folioscope.staging import _home, release
+
+    release(spark)
+    chain = spark.range(400).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    found = G.connected_components(chain, "a", "b")
+    assert found.where("component = 0").count() == 401
+    assert len(list(Path(_home(spark)).glob("components-*/slot*"))) == 2
+    assert not list(Path(_home(spark)).glob("facts-*"))
+
+
 def test_number_rows(spark):
     df = spark.range(1000).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("k"))
     got = [r.k for r in J.number_rows(df, ["k"]).orderBy("position").collect()]
@@ -102,6 +132,25 @@ def test_levels_and_priorities(spark):
     assert rows(G.order_in_level(tasks, levels)) == [(0, 1, "b", 5), (0, 2, "a", 1), (1, 1, "c", 2), (2, 1, "d", 2)]
 
 
+def test_levels_of_a_long_chain(spark):
+    n = 12_000
+    tasks = spark.range(n).select(F.col("id").cast("string").alias("id"), F.lit(1).alias("priority"))
+    deps = spark.range(1, n).select(F.col("id").cast("string").alias("id"), (F.col("id") - 1).cast("string").alias("dep"))
+    levels = G.dependency_levels(tasks, deps)
+    assert levels.count() == n and levels.where("level <> cast(id as int)").isEmpty()
+
+
+def test_levels_where_chains_meet(spark):
+    pick = random.Random(6)
+    want, pairs = {}, []
+    for i in range(60):
+        own = sorted({pick.randrange(i) for _ in range(pick.choice([0, 1, 1, 2]))}) if i else []
+        pairs += [(str(i), str(d)) for d in own]
+        want[str(i)] = max((want[str(d)] + 1 for d in own), default=0)
+    tasks = spark.createDataFrame([(k, 1) for k in want], TASKS)
+    assert {r.id: r.level for r in G.dependency_levels(tasks, spark.createDataFrame(pairs, DEPS)).collect()} == want
+
+
 @pytest.mark.parametrize("deps", [[("a", "b"), ("b", "a")], [("a", "nowhere")]])
 def test_levels_refuse_cycles_and_missing_tasks(spark, deps):
     tasks = spark.createDataFrame([("a", 1), ("b", 1)], TASKS)
@@ -113,9 +162,11 @@ def test_operation_tree(spark):
     ops = spark.createDataFrame([("r", None), ("a", "r"), ("b", "a"), ("c", "b"), ("x", "gone")], "name string, parent string")
     tree = G.operation_tree(ops)
     assert rows(tree) == [
-        ("a", "r", 1, "r/a"), ("b", "r", 2, "r/a/b"), ("c", "r", 3, "r/a/b/c"), ("r", "r", 0, "r"), ("x", "x", 0, "x"),
+        ("a", "r", 1, "r"), ("b", "r", 2, "a"), ("c", "r", 3, "b"), ("r", "r", 0, None), ("x", "x", 0, None),
     ]
-    assert {r.name for r in G.operation_tree(ops, root="a").collect()} == {"a", "b", "c"}
+    assert {(r.name, r.depth, r.tree_path) for r in G.operation_tree(ops, root="a").collect()} == {
+        ("a", 1, "a"), ("b", 2, "a/b"), ("c", 3, "a/b/c"),
+    }
     circle = spark.createDataFrame([("a", "b"), ("b", "a")], "name string, parent string")
     with pytest.raises(ValueError, match="circle"):
         G.operation_tree(circle, max_rounds=6)
@@ -374,3 +425,15 @@ def test_source_inventory(spark):
     assert sorted(r.import_name for r in imports.collect()) == ["os", "sys", "typing", "typing"]
     assert rows(I.from_imports(imports)) == [("p.m", "typing", "Any"), ("p.m", "typing", "List")]
     assert [r.path for r in I.parse_errors(records).collect()] == ["bad.py"]
+
+
+@pytest.mark.parametrize("since", ["20240101", "2024-W01-1", "20240101T000000", "2024-01-01T00:00:00Z", "2024-01-01 00:00:00+00:00"])
+def test_changes_since_any_iso_form(spark, since):
+    files = spark.sql("SELECT * FROM VALUES ('a', TIMESTAMP '2024-01-02 00:00:00'), ('b', TIMESTAMP '2023-12-31 00:00:00') t(path, mtime)")
+    assert [r.path for r in T.changes_since(files, since).collect()] == ["a"]
+
+
+def test_errors_without_type_or_message(spark):
+    log = spark.createDataFrame([(None, None, None), ("ValueError", None, None)], "exc_type string, message string, operation string")
+    got = E.classify(log).collect()
+    assert all(r.error_id and r.title for r in got)

@@ -202,3 +202,19 @@ def test_note_header_and_backup_name(spark):
     )
     at = F.lit("2024-03-05 06:07:08").cast("timestamp")
     assert one(spark, paths.backup_name(C, at), v="n.md") == "n.md.backup.20240305_060708"
+
+
+@pytest.mark.parametrize(
+    ("written", "read"),
+    [
+        ("a &amp;lt; b", "a &lt; b"),
+        ("&eacute;&euro;&rarr;&nbsp;|", "é€→\u00a0|"),
+        ("&#65;&#x41;&#00000065;&#X000041;", "AAAA"),
+        ("&#9999999;&#xFFFFFF;&#xD800;&#0;&#99999999999999;&#xfffffffffff;", "\ufffd" * 6),
+        ("&#x1F642;&#128578;", "\U0001f642" * 2),
+        ("&nosuch; & &; &#; &#x;", "&nosuch; & &; &#; &#x;"),
+    ],
+)
+def test_character_references(spark, written, read):
+    df = spark.createDataFrame([(written,)], "v string")
+    assert html.unescaped(df, "v").first()[0] == read

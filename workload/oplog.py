@@ -21,9 +21,11 @@ SELECT 'op_' || CAST(CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS STRIN
   CASE WHEN event_type = 'signup' AND user_id % 3 <> 0 THEN 'op_' || CAST(user_id - user_id % 3 AS STRING) END AS parent
 FROM events
 """
+# Trees of five thousand operations, four thousand deep, with a side branch every fifty.
 VIEWS["operations"] = """
 SELECT 'o_' || CAST(event_id AS STRING) AS name,
-  CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_id % 3 = 1 THEN 'o_' || CAST(event_id - event_id % 10 AS STRING) ELSE 'o_' || CAST(event_id - 1 AS STRING) END AS parent
+  CASE WHEN event_id % 5000 = 0 THEN NULL WHEN event_id % 50 = 0 THEN 'o_' || CAST(event_id - 11 AS STRING)
+    WHEN event_id % 50 > 40 THEN 'o_' || CAST(event_id - event_id % 50 + 40 AS STRING) ELSE 'o_' || CAST(event_id - 1 AS STRING) END AS parent
 FROM events
 """
 VIEWS["task_results"] = """
@@ -154,23 +156,28 @@ def operation_metadata(spark, sf):
 
 
 TREE = """
-WITH RECURSIVE t(name, root, depth, tree_path) AS (
-  SELECT name, name, 0, name FROM operations WHERE parent IS NULL
-  UNION ALL SELECT o.name, t.root, t.depth + 1, t.tree_path || '/' || o.name FROM operations o JOIN t ON o.parent = t.name)
+WITH RECURSIVE t(name, root, depth, parent) AS (
+  SELECT name, name, 0, parent FROM operations WHERE parent IS NULL
+  UNION ALL SELECT o.name, t.root, t.depth + 1, o.parent FROM operations o JOIN t ON o.parent = t.name)
 """
 
 
-@query("operation_tree", TREE + "SELECT name, root, depth::INTEGER AS depth, tree_path FROM t")
+@query("operation_tree", TREE + "SELECT name, root, depth::INTEGER AS depth, parent FROM t")
 def operation_tree(spark, sf):
     return G.operation_tree(render_spark(spark, sf, "operations"))
 
 
 @query(
     "operation_subtree",
-    TREE + "SELECT name, root, depth::INTEGER AS depth, tree_path FROM t WHERE '/' || tree_path || '/' LIKE '%/o_10/%'",
+    TREE
+    + """, s(name, tree_path) AS (
+  SELECT name, name FROM operations WHERE name = 'o_840'
+  UNION ALL SELECT o.name, s.tree_path || '/' || o.name FROM operations o JOIN s ON o.parent = s.name)
+SELECT name, root, depth::INTEGER AS depth, parent, tree_path FROM t JOIN s USING (name)
+""",
 )
 def operation_subtree(spark, sf):
-    return G.operation_tree(render_spark(spark, sf, "operations"), root="o_10")
+    return G.operation_tree(render_spark(spark, sf, "operations"), root="o_840")
 
 
 def _results(spark, sf):

@@ -15,18 +15,19 @@ from workload.registry import query
 
 NOW = "TIMESTAMP '2024-01-03 00:00:00'"
 
+# Both snapshots hold every document; another name on one side makes it deleted here and new there.
 VIEWS["snapshot_prev"] = """
-SELECT 'doc_' || CAST(doc_id AS STRING) || '.md' AS path, n_chars AS size,
+SELECT CASE WHEN doc_id % 10 = 3 THEN 'old_' ELSE 'doc_' END || CAST(doc_id AS STRING) || '.md' AS path, n_chars AS size,
   TIMESTAMP '2024-01-01 00:00:00' + doc_id * INTERVAL '1' MINUTE AS mtime, md5(text) AS hash,
   TIMESTAMP '2024-01-02 00:00:00' AS last_build
-FROM documents WHERE doc_id % 10 <> 3
+FROM documents
 """
 VIEWS["snapshot_cur"] = """
-SELECT 'doc_' || CAST(doc_id AS STRING) || '.md' AS path,
+SELECT CASE WHEN doc_id % 10 = 7 THEN 'new_' ELSE 'doc_' END || CAST(doc_id AS STRING) || '.md' AS path,
   n_chars + CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END AS size,
   TIMESTAMP '2024-01-01 00:00:00' + (doc_id + CASE WHEN doc_id % 21 = 0 THEN 5 ELSE 0 END) * INTERVAL '1' MINUTE AS mtime,
   md5(CASE WHEN doc_id % 9 = 0 THEN text || '!' ELSE text END) AS hash
-FROM documents WHERE doc_id % 10 <> 7
+FROM documents
 """
 VIEWS["file_deps"] = """
 SELECT 'doc_' || CAST(doc_id AS STRING) || '.md' AS path, 'doc_' || CAST(doc_id - 1 AS STRING) || '.md' AS dep
@@ -51,9 +52,9 @@ SELECT CASE doc_id % 8 WHEN 0 THEN 'src/mod_' || CAST(doc_id AS STRING) || '.py'
 FROM documents
 """
 VIEWS["existing_notes"] = """
-SELECT 'doc_' || CAST(doc_id AS STRING) || '.md' AS path,
+SELECT CASE WHEN doc_id % 10 = 3 THEN 'own_' ELSE 'doc_' END || CAST(doc_id AS STRING) || '.md' AS path,
   text || CASE doc_id % 7 WHEN 0 THEN '<!-- manual edit -->' WHEN 1 THEN '<!-- added by user -->' WHEN 2 THEN '**Note:** x' WHEN 3 THEN '**Important:**' ELSE '' END AS content
-FROM documents WHERE doc_id % 10 <> 3
+FROM documents
 """
 ORACLE_VIEWS["snapshot_diff"] = """
 SELECT coalesce(c.path, p.path) AS path,
