@@ -31,9 +31,11 @@ from folioscope.llm.vectext import slices
 FIT_ROWS = 12_000
 #: Stems kept, at most: the strongest. Labelled texts a stem must occur in.
 STEMS, SUPPORT = 20_000, 3
+#: A stem in this share of the toxic texts is common; others count only by texts without one.
+COMMON = 0.02
 SHORTEST, LONGEST = 3, 10
 #: Chance, under the share of toxic texts, of a stem as one-sided as the ones that are kept.
-CHANCE = 1e-4
+CHANCE = 1e-5
 #: From this score on, a text is toxic.
 TOXIC_FROM = 0.3
 
@@ -209,14 +211,22 @@ class Reader:
 PRIOR_WEIGHTS = np.array([*(2.0 * s for s in SHARES), 0.5, -4.0])
 
 
-def _stem_counts(sample: DataFrame) -> DataFrame:
-    """(stem, toxic, clean): labelled texts that hold a word with that stem."""
+def _stem_counts(sample: DataFrame, explained: dict[str, float]) -> DataFrame:
+    """(stem, toxic, clean): labelled texts that hold a word with that stem.
+
+    Toxic texts with one of the stems in ``explained`` are not counted, so that words which
+    copies of a toxic text merely share with each other gain nothing from them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
+        lexicon = Lexicon(explained)
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                found = {w + "$" for w in set(_TOKEN.findall(text.lower()))}
+                own = set(_TOKEN.findall(text.lower()))
+                if label and explained and any((lexicon.symbol(w) or " ")[0] == INSULT for w in own):
+                    continue
+                found = {w + "$" for w in own}
                 counts[1 if label else 0].update(
                     {w[:n] for w in found for n in range(SHORTEST, min(len(w), LONGEST) + 1)}
                 )
@@ -263,14 +273,17 @@ def fit(sample: DataFrame) -> Model:
     fixed = {w: PRIOR for w in INSULTS}
     if not toxic or not clean:
         return Model(fixed, PRIOR_WEIGHTS)
-    rows = (
-        _stem_counts(sample)
-        .where((F.col("toxic") >= SUPPORT) & (F.col("clean") <= 0.1 * F.col("toxic")))
-        .orderBy(F.desc(F.col("toxic") - 10 * F.col("clean")), "stem")
-        .limit(STEMS)
-        .collect()
-    )
-    stems = fixed | _strong_stems(rows, toxic, clean)
+    common = {}
+    for least in (max(SUPPORT, COMMON * toxic), SUPPORT):
+        rows = (
+            _stem_counts(sample, common)
+            .where((F.col("toxic") >= least) & (F.col("clean") <= 0.1 * F.col("toxic")))
+            .orderBy(F.desc(F.col("toxic") - 10 * F.col("clean")), "stem")
+            .limit(STEMS)
+            .collect()
+        )
+        common |= _strong_stems(rows, toxic, clean)
+    stems = fixed | common
     first = Model(stems, PRIOR_WEIGHTS)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
