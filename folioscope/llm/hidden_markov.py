@@ -27,7 +27,8 @@ from folioscope.staging import stage
 STATES = 8
 #: Word classes; class 0 holds only the end of a text.
 CLASSES = 8192
-ROUNDS = 3
+#: Rounds on a bounded sample of training texts, for a start; and over all of them, after that.
+WARM_ROUNDS, WARM_ROWS, ROUNDS = 6, 2_000, 1
 #: Words whose counts every task holds; the others are joined.
 FREQUENT = 1 << 16
 #: Words of up to so many bytes have a class of their own hash, longer ones of their ending.
@@ -155,26 +156,47 @@ def _blocks(bounds: np.ndarray) -> Iterator[np.ndarray]:
         begin = end
 
 
-#: Steps whose scaled forward values are kept; beyond, the sequence goes on from the last one.
+#: Steps whose forward values are kept at once on the way back.
 SPAN = 4096
 
 
+class _Group:
+    """Sequences of like length side by side: states in rows, sequences in columns, longest first."""
+
+    def __init__(self, model: Hmm, cls: np.ndarray, bounds: np.ndarray, members: np.ndarray):
+        self.members = members[::-1]
+        self._size = (bounds[self.members + 1] - bounds[self.members])[::-1]
+        self._base, self._cls = bounds[self.members], cls
+        self.longest = int(self._size[-1]) if len(self._size) else 0
+        self._emit, self._onward = model.emit.T.copy(), np.ascontiguousarray(model.step.T)
+        self.start = np.repeat(model.start[:, None], len(members), axis=1)
+
+    def classes(self, t: int) -> np.ndarray:
+        """Classes at step t of the sequences that are longer than t."""
+        live = len(self._size) - np.searchsorted(self._size, t, "right")
+        return self._cls[self._base[:live] + t]
+
+    def ahead(self, alpha: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Scaled forward values at step t, their scales, and what was seen there."""
+        own = self.classes(t)
+        seen = self._emit[own].T
+        a = alpha[:, : len(own)]
+        a = (self._onward @ a if t else a) * seen
+        scale = a.sum(axis=0)
+        a /= scale
+        return a, scale, own, seen
+
+
 def forward(model: Hmm, cls: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Natural log likelihood of each class sequence cls[bounds[i]:bounds[i + 1]], by the scaled forward recursion."""
     out = np.zeros(len(bounds) - 1)
-    emit = np.ascontiguousarray(model.emit.T)
-    for group in _blocks(bounds):
-        size = bounds[group + 1] - bounds[group]
-        alpha = np.tile(model.start, (len(group), 1))
-        for t in range(int(size.max())):
-            live = np.searchsorted(size, t, "right")
-            a = alpha[live:]
-            if t:
-                a = a @ model.step
-            a = a * emit[cls[bounds[group[live:]] + t]]
-            scale = a.sum(axis=1)
-            out[group[live:]] += np.log(scale)
-            alpha[live:] = a / scale[:, None]
+    for members in _blocks(bounds):
+        group = _Group(model, cls, bounds, members)
+        alpha, total = group.start, np.zeros(len(members))
+        for t in range(group.longest):
+            alpha, scale, _, _ = group.ahead(alpha, t)
+            total[: len(scale)] += np.log(scale)
+        out[group.members] = total
     return out
 
 
@@ -188,65 +210,49 @@ class Expected(NamedTuple):
 def expected(model: Hmm, cls: np.ndarray, bounds: np.ndarray) -> Expected:
     """Expected counts of Baum-Welch over whole class sequences.
 
-    The forward pass keeps its state at every SPAN-th step only and is run again within each
+    The forward pass keeps its values at every SPAN-th step only and is run again within each
     span on the way back, so that a very long text takes little more memory than a short one.
     """
     k = len(model.start)
-    emit = np.ascontiguousarray(model.emit.T)
     out = Expected(np.zeros(k), np.zeros((k, k)), np.zeros((CLASSES, k)), 0.0)
     loglik = 0.0
-    for group in _blocks(bounds):
-        size = bounds[group + 1] - bounds[group]
-        base = bounds[group]
-        longest = int(size.max())
-
-        def ahead(alpha: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, int]:
-            live = np.searchsorted(size, t, "right")
-            a = alpha[live:] @ model.step if t else alpha[live:]
-            a = a * emit[cls[base[live:] + t]]
-            scale = a.sum(axis=1)
-            new = alpha.copy()
-            new[live:] = a / scale[:, None]
-            return new, scale, live
-
-        marks = {0: np.tile(model.start, (len(group), 1))}
-        alpha = marks[0]
-        for t in range((longest - 1) // SPAN * SPAN):
+    for members in _blocks(bounds):
+        group = _Group(model, cls, bounds, members)
+        marks, alpha = {0: group.start}, group.start
+        for t in range((group.longest - 1) // SPAN * SPAN):
             if t % SPAN == 0:
                 marks[t] = alpha
-            alpha, _, _ = ahead(alpha, t)
-        if longest > SPAN:
-            marks[(longest - 1) // SPAN * SPAN] = alpha
-        beta = np.ones((len(group), k))
+            alpha = group.ahead(alpha, t)[0]
+        if group.longest > SPAN:
+            marks[(group.longest - 1) // SPAN * SPAN] = alpha
+        beta = np.ones((k, len(members)))
         for begin in sorted(marks, reverse=True):
-            until = min(begin + SPAN, longest)
-            alphas, scales = [marks[begin]], []
-            for t in range(begin, until):
-                a, scale, live = ahead(alphas[-1], t)
+            alphas, steps = [marks[begin]], []
+            for t in range(begin, min(begin + SPAN, group.longest)):
+                a, *rest = group.ahead(alphas[-1], t)
                 alphas.append(a)
-                scales.append((scale, live))
-                loglik += float(np.log(scale).sum())
-            gammas, owns = [], []
-            for t in range(until - 1, begin - 1, -1):
-                scale, live = scales[t - begin]
-                own = cls[base[live:] + t]
-                gamma = alphas[t - begin + 1][live:] * beta[live:]
-                gammas.append(gamma)
-                owns.append(own)
-                if t == 0:
-                    out.start[:] += (gamma / gamma.sum(axis=1, keepdims=True)).sum(axis=0)
+                steps.append(rest)
+                loglik += float(np.log(rest[0]).sum())
+            gammas = []
+            for i in range(len(steps) - 1, -1, -1):
+                scale, own, seen = steps[i]
+                live = beta[:, : len(own)]
+                gammas.append(alphas[i + 1] * live)
+                if begin + i == 0:
+                    out.start[:] += (gammas[-1] / gammas[-1].sum(axis=0)).sum(axis=1)
                     continue
-                onward = emit[own] * beta[live:] / scale[:, None]
-                out.step[:] += model.step * (alphas[t - begin][live:].T @ onward)
-                beta[live:] = onward @ model.step.T
-            _added(out.emit, np.concatenate(owns), np.concatenate(gammas))
+                onward = seen * live
+                onward /= scale
+                out.step[:] += model.step * (alphas[i][:, : len(own)] @ onward.T)
+                beta[:, : len(own)] = model.step @ onward
+            _added(out.emit, np.concatenate([x[1] for x in reversed(steps)]), np.concatenate(gammas, axis=1))
     return out._replace(loglik=loglik)
 
 
-def _added(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    rows = rows / rows.sum(axis=1, keepdims=True)
-    for j in range(rows.shape[1]):
-        to[:, j] += np.bincount(at, weights=rows[:, j], minlength=len(to))
+def _added(to: np.ndarray, at: np.ndarray, columns: np.ndarray) -> None:
+    columns = columns / columns.sum(axis=0)
+    for j in range(len(columns)):
+        to[:, j] += np.bincount(at, weights=columns[j], minlength=len(to))
 
 
 def updated(parts: Expected, counts: Counts) -> Hmm:
@@ -260,15 +266,17 @@ def updated(parts: Expected, counts: Counts) -> Hmm:
     )
 
 
-def baum_welch(sequences: DataFrame, counts: Counts, rounds: int = ROUNDS, states: int = STATES) -> Hmm:
-    """Train on staged (classes) rows, all of them in every round.
+def baum_welch(sequences: DataFrame, counts: Counts, states: int = STATES) -> Hmm:
+    """Train on staged rows (row, classes): first on a bounded sample of them, then on all.
 
-    A task returns one row of counts of fixed size per kind and block of classes; rows are
-    summed by key before the driver reads them.
+    A task returns a row of counts for each class it has seen, each state and the start, which
+    are summed by key before the driver reads them. Their number does not grow with the corpus.
     """
     model = initial(counts, states)
     spark = sequences.sparkSession
-    for _ in range(rounds):
+    few = sequences.orderBy(F.xxhash64("row"), "row").limit(WARM_ROWS).repartition(spark.sparkContext.defaultParallelism)
+    few = stage(few, "word-sample").select("classes")
+    for sequences in [few] * WARM_ROUNDS + [sequences.select("classes")] * ROUNDS:
         held = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,7 +397,7 @@ def score(docs: DataFrame, held_out: str) -> DataFrame:
     counted = stage(count_words(docs.where(~F.col("held_out"))), "word-counts")
     counts = summarised(counted)
     prepared = stage(_prepared(docs, counts), "word-classes")
-    model = baum_welch(prepared.where(~F.col("held_out")).select("classes"), counts)
+    model = baum_welch(prepared.where(~F.col("held_out")).select("row", "classes"), counts)
     total = float(counts.total + counts.distinct + 1)
     rest = (
         prepared.select("row", F.explode(F.arrays_zip("rest", "rest_n")).alias("e"))

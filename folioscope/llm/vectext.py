@@ -87,23 +87,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range; the loop runs over the places within a word."""
+    """64-bit hash of each byte range; the loop takes eight bytes of every word at a time."""
     size = end - start
-    h = size.astype(np.uint64) + np.uint64(1)
-    short = np.flatnonzero(size <= LONG_WORD)
-    at, place, left = short, start[short], size[short]
-    acc = h[short]
+    h = (size.astype(np.uint64) + np.uint64(1)) * _MIX
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    at = np.flatnonzero((size > 0) & (size <= LONG_WORD))
+    place, left, acc = start[at], size[at], h[at]
     while len(at):
-        acc = (acc ^ data[place].astype(np.uint64)) * _MUL
-        acc ^= acc >> np.uint64(29)
-        place = place + 1
-        left = left - 1
-        done = left == 0
-        if done.any():
-            h[at[done]] = acc[done]
-            keep = ~done
-            at, place, left, acc = at[keep], place[keep], left[keep], acc[keep]
+        acc = (acc ^ (eight[place] & _KEEP[np.minimum(left, 8)])) * _MUL
+        acc ^= acc >> np.uint64(32)
+        h[at] = acc
+        more = np.flatnonzero(left > 8)
+        at, place, left, acc = at[more], place[more] + 8, left[more] - 8, acc[more]
     for i in np.flatnonzero(size > LONG_WORD):
         h[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]].tobytes())
     return mixed(h)
