@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from folioscope.functions import paths, text
 from folioscope.operators.graph import connected_components
 from folioscope.operators.joins import lookup_join, one_row
+from folioscope.staging import stage
 
 # Stems that may stay without inbound links.
 ENTRY_PAGES = ["index", "readme", "home"]
-EXTERNAL_PREFIXES = ["http://", "https://", "mailto:", "ftp://"]
 
 
 def is_web_url(url: Column) -> Column:
@@ -24,26 +24,14 @@ def is_web_url(url: Column) -> Column:
     return url.startswith("http")
 
 
-def is_external_url(url: Column) -> Column:
-    """The rule of the page conversion: four schemes."""
-    found = F.lit(False)
-    for prefix in EXTERNAL_PREFIXES:
-        found = found | url.startswith(prefix)
-    return found
-
-
 def note_key(path: Column) -> Column:
     return paths.without_suffix(path, ".md")
 
 
-def extract_links(notes: DataFrame) -> DataFrame:
-    """One row per link, external ones included.
-
-    Columns: source_path, source (note key), ord, type, target, display_text, url, link_path
-    (the path that must exist for the link to be valid).
-    """
+def link_list(content: Column) -> Column:
+    """array<struct<type, target, display_text, url>>: all links of a text in order, by type."""
     wiki = F.transform(
-        text.wikilinks(F.col("content")),
+        text.wikilinks(content),
         lambda x: F.struct(
             F.lit("wikilink").alias("type"),
             x["target"].alias("target"),
@@ -52,7 +40,7 @@ def extract_links(notes: DataFrame) -> DataFrame:
         ),
     )
     markdown = F.transform(
-        text.markdown_links(F.col("content")),
+        text.markdown_links(content),
         lambda x: F.struct(
             F.lit("markdown_link").alias("type"),
             paths.stem(x["url"]).alias("target"),
@@ -60,11 +48,21 @@ def extract_links(notes: DataFrame) -> DataFrame:
             x["url"].alias("url"),
         ),
     )
+    return F.concat(wiki, markdown)
+
+
+def extract_links(notes: DataFrame) -> DataFrame:
+    """One row per link of notes, measured or not; external links included.
+
+    Columns: source_path, source (note key), ord, type, target, display_text, url, link_path
+    (the path that must exist for the link to be valid).
+    """
+    links = F.col("links") if "links" in notes.columns else link_list(F.col("content"))
     return (
         notes.select(
             F.col("path").alias("source_path"),
             note_key(F.col("path")).alias("source"),
-            F.posexplode(F.concat(wiki, markdown)).alias("ord", "link"),
+            F.posexplode(links).alias("ord", "link"),
         )
         .select("source_path", "source", "ord", "link.*")
         .withColumn(
@@ -214,8 +212,10 @@ def inbound_counts(links: DataFrame, notes: DataFrame) -> DataFrame:
     )
 
 
-def note_features(notes: DataFrame) -> DataFrame:
+def note_features(notes: DataFrame, *kept: str) -> DataFrame:
     """Per-note measures that need no shuffle; the content stays behind."""
+    if "content" not in notes.columns:
+        return notes.select("name", "path", "size", "word_count", "headings", "outbound_links")
     content = F.col("content")
     outbound = F.size(text.matches(content, text.WIKILINK)) + F.size(
         F.filter(text.markdown_links(content), lambda x: ~is_web_url(x["url"]))
@@ -227,9 +227,20 @@ def note_features(notes: DataFrame) -> DataFrame:
         text.word_count(content).alias("word_count"),
         text.headings(content).alias("headings"),
         outbound.alias("outbound_links"),
+        *kept,
     )
 
 
+def measured(notes: DataFrame) -> DataFrame:
+    """Paths, measures and links of notes, written once, for reports of several branches.
+
+    This is the only pass over the text: what follows reads these short rows.
+    """
+    names = ["name", "path", "size", "word_count", "headings", "outbound_links"]
+    with_links = note_features(notes.withColumn("links", link_list(F.col("content"))), "links")
+    return stage(with_links.select(*names, "links"), "measured-notes")
+
+
 def build_nodes(notes: DataFrame, links: DataFrame) -> DataFrame:
     """Graph nodes: every note, and a placeholder for every unresolved wikilink target."""
     inbound = inbound_counts(links, notes).withColumnRenamed("key", "name")
@@ -529,7 +540,8 @@ def link_clusters(links: DataFrame, notes: DataFrame) -> DataFrame:
 def cluster_summary(members: DataFrame, notes: DataFrame, links: DataFrame) -> DataFrame:
     """Size, words, links inside and links leaving, per cluster."""
     words = notes.select(
-        note_key(F.col("path")).alias("name"), text.word_count(F.col("content")).alias("words")
+        note_key(F.col("path")).alias("name"),
+        (F.col("word_count") if "word_count" in notes.columns else text.word_count(F.col("content"))).alias("words"),
     )
     sizes = (
         members.join(words, "name")

@@ -49,6 +49,12 @@ def _notes(spark, sf):
     return render_spark(spark, sf, "notes").select("path", "content", "mtime")
 
 
+def _measured(spark, sf):
+    """Short rows of the notes, read and matched once, for reports with several branches."""
+    notes = L.measured(_notes(spark, sf))
+    return notes, notes.select("path"), L.extract_links(notes)
+
+
 def _base(spark, sf):
     notes = _notes(spark, sf)
     return notes, notes.select("path"), L.extract_links(notes)
@@ -126,7 +132,7 @@ FROM edges e JOIN nodes n ON n.name = e.source WHERE NOT e.valid
 """,
 )
 def dead_link_report(spark, sf):
-    notes, files, links = _base(spark, sf)
+    notes, files, links = _measured(spark, sf)
     degrees = L.build_nodes(notes, links).select(
         F.col("name").alias("source"), "inbound_links", "outbound_links"
     )
@@ -147,7 +153,7 @@ FROM nodes
 """,
 )
 def link_graph_nodes(spark, sf):
-    notes, _, links = _base(spark, sf)
+    notes, _, links = _measured(spark, sf)
     return L.build_nodes(notes, links).withColumn("n_headings", F.size("headings")).drop("headings")
 
 
@@ -167,7 +173,7 @@ def link_graph_edges(spark, sf):
     "SELECT name, outbound_links, inbound_links FROM nodes",
 )
 def node_degrees(spark, sf):
-    notes, _, links = _base(spark, sf)
+    notes, _, links = _measured(spark, sf)
     return L.build_nodes(notes, links).select("name", "outbound_links", "inbound_links")
 
 
@@ -200,7 +206,7 @@ FROM nodes WHERE present AND inbound_links = 0 AND lower(name) NOT IN ('index',
 """,
 )
 def orphan_notes(spark, sf):
-    notes, _, links = _base(spark, sf)
+    notes, _, links = _measured(spark, sf)
     return L.orphans(L.build_nodes(notes, links))
 
 
@@ -209,7 +215,7 @@ def orphan_notes(spark, sf):
     "SELECT name, path FROM nodes WHERE present",
 )
 def existing_nodes(spark, sf):
-    notes, _, links = _base(spark, sf)
+    notes, _, links = _measured(spark, sf)
     return L.existing_nodes(L.build_nodes(notes, links)).select("name", "path")
 
 
@@ -224,7 +230,7 @@ FROM nodes WHERE present
 """,
 )
 def graph_export_nodes(spark, sf):
-    notes, _, links = _base(spark, sf)
+    notes, _, links = _measured(spark, sf)
     return L.graph_export_nodes(L.build_nodes(notes, links))
 
 
@@ -246,7 +252,7 @@ FROM (SELECT count(*) AS n FROM nodes WHERE present)
 """,
 )
 def layout_hints(spark, sf):
-    notes, _, links = _base(spark, sf)
+    notes, _, links = _measured(spark, sf)
     return L.layout_hints(L.build_nodes(notes, links))
 
 
@@ -267,7 +273,7 @@ FROM edges
 
 @query("link_statistics", STATISTICS_SQL)
 def link_statistics(spark, sf):
-    notes, files, links = _base(spark, sf)
+    notes, files, links = _measured(spark, sf)
     return L.link_statistics(L.build_nodes(notes, links), links, files)
 
 
@@ -276,7 +282,7 @@ def link_statistics(spark, sf):
     "SELECT name, inbound_links FROM nodes WHERE inbound_links > 0 ORDER BY 2 DESC, 1 LIMIT 5",
 )
 def hub_notes(spark, sf):
-    notes, _, links = _base(spark, sf)
+    notes, _, links = _measured(spark, sf)
     return L.top_nodes(L.build_nodes(notes, links), "inbound_links")
 
 
@@ -285,7 +291,7 @@ def hub_notes(spark, sf):
     "SELECT name, outbound_links FROM nodes WHERE outbound_links > 0 ORDER BY 2 DESC, 1 LIMIT 5",
 )
 def authority_notes(spark, sf):
-    notes, _, links = _base(spark, sf)
+    notes, _, links = _measured(spark, sf)
     return L.top_nodes(L.build_nodes(notes, links), "outbound_links")
 
 
@@ -351,7 +357,7 @@ QUALIFY row_number() OVER (PARTITION BY target ORDER BY name) <= 3
 
 
 def _dead_and_nodes(spark, sf):
-    notes, files, links = _base(spark, sf)
+    notes, files, links = _measured(spark, sf)
     dead = L.resolve_links(L.graph_links(links), files).where("NOT valid").select("target").distinct()
     nodes = notes.select(L.note_key(F.col("path")).alias("name"), F.lit(True).alias("exists"))
     return dead, nodes
@@ -392,7 +398,7 @@ WITH RECURSIVE reach(a, b) AS (
 
 @query("link_cluster_members", COMPONENTS + "SELECT name, component FROM component_of")
 def link_cluster_members(spark, sf):
-    notes, _, links = _base(spark, sf)
+    notes, _, links = _measured(spark, sf)
     return L.link_clusters(links, notes).select("name", "component")
 
 
@@ -411,6 +417,6 @@ GROUP BY c.component
 """,
 )
 def link_clusters(spark, sf):
-    notes, _, links = _base(spark, sf)
+    notes, _, links = _measured(spark, sf)
     members = L.link_clusters(links, notes)
     return L.cluster_summary(members, notes, links).orderBy(F.desc("size"), "component")
