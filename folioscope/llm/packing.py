@@ -7,6 +7,7 @@ import string
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -90,6 +91,12 @@ class Encoder:
         return b"".join(map(self._known.__getitem__, parts))
 
 
+@lru_cache(maxsize=1)
+def loaded(path: str) -> Encoder:
+    """The encoder of a tokenizer, kept by the process with what it has remembered."""
+    return Encoder(path)
+
+
 class Pattern(NamedTuple):
     """A way to fill a sequence, used for ``times`` sequences: lengths, with repeats."""
 
@@ -183,7 +190,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, room: int) -> DataF
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = loaded(tokenizer)
         task = TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         ranks = np.zeros(room + 1, np.int64)

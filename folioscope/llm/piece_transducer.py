@@ -11,10 +11,12 @@ exactly one path has a finite cost.
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -118,6 +120,7 @@ class Encoder:
         self._id = {p: i for i, (p, _, kind) in enumerate(spec.pieces) if kind == NORMAL}
         self._score = np.array([s for _, s, _ in spec.pieces])
         self._longest = max(map(len, self._id), default=1)
+        self._beginnings = {p[:n] for p in self._id for n in range(2, len(p) + 1)}
         self._byte = {int(p[3:-1], 16): i for i, (p, _, kind) in enumerate(spec.pieces) if kind == BYTE}
         self._unknown = next((i for i, p in enumerate(spec.pieces) if p[2] == UNKNOWN), 0)
         self._worst = float(self._score.min()) - 10.0 if len(self._score) else -10.0
@@ -126,6 +129,8 @@ class Encoder:
         self._stretch = re.compile(f"{BLANK}+[^{BLANK}]+|{BLANK}+|[^{BLANK}]+")
         self._known: dict[str, bytes] = {}
         self._neighbours: dict[tuple[str, str], bool] = {}
+        self._split: dict[str, tuple[str, str] | None] = {}
+        self._scores = self._score.tolist()
 
     def normalised(self, text: str) -> str:
         if not text:
@@ -138,28 +143,65 @@ class Encoder:
             text = text.replace(" ", BLANK)
         return (BLANK if self.spec.dummy_prefix and text else "") + text
 
-    def _merged(self, text: str) -> list[str]:
-        """Merge neighbouring characters, the best-scored result first, the leftmost of equals."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                piece = self._id.get(parts[i] + parts[i + 1])
-                if piece is not None and (best is None or self._score[piece] > best):
-                    best, at = self._score[piece], i
-            if at < 0:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    def _halves(self, piece: str) -> tuple[str, str] | None:
+        """The two parts that merging joins last to get this piece, None if it never gets it.
+
+        Neighbouring characters are merged, the best-scored result first, the leftmost of equals.
+        """
+        if piece not in self._split:
+            parts, last = list(piece), None
+            while len(parts) > 1:
+                best, at = None, -1
+                for i in range(len(parts) - 1):
+                    found = self._id.get(parts[i] + parts[i + 1])
+                    if found is not None and (best is None or self._score[found] > best):
+                        best, at = self._score[found], i
+                if at < 0:
+                    last = None
+                    break
+                last = parts[at], parts[at + 1]
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self._split[piece] = last
+        return self._split[piece]
+
+    def _turn(self, piece: str) -> float:
+        """When merging makes a piece: the worse its score, the later; a character is there at once."""
+        return -self._scores[self._id[piece]] if len(piece) > 1 else -math.inf
 
     def _may_follow(self, a: str, b: str) -> bool:
+        """Whether merging leaves two pieces side by side.
+
+        The merges that made them are undone, the latest first. In between, the two parts at the
+        boundary stand side by side, and must not have a merge of their own that comes sooner
+        than the one just undone. Of equals, the leftmost comes first.
+        """
         key = (a, b)
         known = self._neighbours.get(key)
         if known is None:
             if len(self._neighbours) > REMEMBERED:
                 self._neighbours.clear()
-            known = self._neighbours[key] = self._merged(a + b) == [a, b]
+            known = self._neighbours[key] = self._stay_apart(a, b)
         return known
 
+    def _stay_apart(self, a: str, b: str) -> bool:
+        limit, equal_too = math.inf, False
+        left, right = self._turn(a), self._turn(b)
+        while True:
+            if a + b in self._id:
+                joint = self._turn(a + b)
+                if joint < limit or equal_too and joint == limit:
+                    return False
+            if left > right:
+                limit, equal_too = left, False
+                a = self._halves(a)[1]
+                left = self._turn(a)
+            elif right > -math.inf:
+                limit, equal_too = right, True
+                b = self._halves(b)[0]
+                right = self._turn(b)
+            else:
+                return True
+
     def path(self, text: str) -> list[str]:
         """Pieces of a normalised text on the cheapest path; unknown characters stand alone."""
         n, ids, longest = len(text), self._id, self._longest
@@ -177,28 +219,45 @@ class Encoder:
                     if total < cost[end]:
                         cost[end], back[end] = total, begin
         else:
-            # One path of finite cost leads to each place, so its last piece is all there is to know.
-            back, last = [0] * (n + 1), [""] * (n + 1)
-            for end in range(1, n + 1):
-                for begin in range(max(0, end - longest), end):
-                    piece = text[begin:end]
-                    if (piece in ids or end - begin == 1) and (
-                        begin == 0 and self._whole(piece) or begin and self._may_follow(last[begin], piece)
-                    ):
-                        back[end], last[end] = begin, piece
-                        break
+            return self._only_path(text)
         out, end = [], n
         while end:
             out.append(text[back[end] : end])
             end = back[end]
         return out[::-1]
 
-    def _whole(self, piece: str) -> bool:
-        key = ("", piece)
-        known = self._neighbours.get(key)
-        if known is None:
-            known = self._neighbours[key] = self._merged(piece) == [piece]
-        return known
+    def _starts(self, text: str, at: int) -> list[str]:
+        """Pieces that begin at a place, the longest last."""
+        found = [text[at]]
+        for end in range(at + 2, len(text) + 1):
+            piece = text[at:end]
+            if piece not in self._beginnings:
+                break
+            if self._usable(piece):
+                found.append(piece)
+        return found
+
+    def _only_path(self, text: str) -> list[str]:
+        """The one path of finite cost: longest pieces first, back from where no piece may follow."""
+        pieces: list[str] = []
+        place, open_ = [0], [self._starts(text, 0)] if text else []
+        dead: set[tuple[int, str]] = set()
+        while place[-1] < len(text):
+            while open_[-1]:
+                piece = open_[-1].pop()
+                to = place[-1] + len(piece)
+                if (not pieces or self._may_follow(pieces[-1], piece)) and (to, piece) not in dead:
+                    pieces.append(piece)
+                    place.append(to)
+                    open_.append(self._starts(text, to) if to < len(text) else [])
+                    break
+            else:
+                open_.pop()
+                dead.add((place.pop(), pieces.pop()))
+        return pieces
+
+    def _usable(self, piece: str) -> bool:
+        return len(piece) == 1 or piece in self._id and self._halves(piece) is not None
 
     def _ids(self, text: str) -> bytes:
         out, unknown = [], False
@@ -232,6 +291,12 @@ class Encoder:
         return b"".join(out)
 
 
+@lru_cache(maxsize=1)
+def loaded(path: str) -> Encoder:
+    """The encoder of a model, kept by the process with what it has remembered."""
+    return Encoder(path)
+
+
 class Decoder:
     """The inverse transducer: ids to pieces, pieces and bytes to text."""
 
@@ -263,7 +328,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model)
+        encoder = loaded(model)
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = [np.frombuffer(encoder.encode(t or ""), "<i4") for t in part.column("text").to_pylist()]
@@ -294,7 +359,7 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = Encoder(model), Decoder(model)
+        encoder, decoder = loaded(model), Decoder(model)
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = [t or "" for t in part.column("text").to_pylist()]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import public_tokenizers
 import pyarrow as pa
@@ -62,6 +63,12 @@ class Counter:
         return [sum(map(known.__getitem__, parts)) for parts in cut]
 
 
+@lru_cache(maxsize=1)
+def loaded(path: str) -> Counter:
+    """The counter of a model, kept by the process with what it has remembered."""
+    return Counter(path)
+
+
 def count_tokens(docs: DataFrame, model: str, limit: int) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of (doc_id, text).
 
@@ -72,7 +79,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(model)
+        counter = loaded(model)
         for batch in batches:
             for part in slices(batch, "text", BATCH_BYTES):
                 text = pc.fill_null(part.column("text"), "")
