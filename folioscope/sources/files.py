@@ -100,6 +100,29 @@ def with_content(files: DataFrame, root: str) -> DataFrame:
     )
 
 
+def write_files(files: DataFrame, root: str) -> str:
+    """Write (path, content) rows as files below a folder that all executors share.
+
+    A task that is run again writes the same files again. A null content makes an empty file.
+    """
+    base = _uri(root).rstrip("/")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, top = fs.FileSystem.from_uri(base)
+        for batch in batches:
+            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
+                target = f"{top}/{path}"
+                system.create_dir(target.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(target) as out:
+                    out.write((content or "").encode())
+            yield batch.select(["path"])
+
+    files.select("path", "content").mapInArrow(put, "path string").write.format("noop").mode("overwrite").save()
+    return root
+
+
 def scan_sources(spark: SparkSession, root: str, exclude: list[str] = ()) -> DataFrame:
     """Python files, the excluded ones dropped by path before any content is read."""
     found = scan_files(spark, root, ".py", hidden=True)

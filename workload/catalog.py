@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from workload import links, oplog, pages, quality, state, streams, symbols  # noqa: F401
+from workload import links, oplog, pages, quality, sources, state, streams, symbols  # noqa: F401
