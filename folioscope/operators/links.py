@@ -175,9 +175,9 @@ def inbound_counts(links: DataFrame, notes: DataFrame) -> DataFrame:
     )
     known = notes.select(F.col("path").alias("link_path"), F.lit(True).alias("is_note"))
     names = note_names(notes).select(F.col("name").alias("target"), "key")
+    # Stems like ``index`` are the target of very many paths.
     return (
-        per_name.join(known, "link_path", "left")
-        .join(names, "target", "left")
+        lookup_join(per_name.join(known, "link_path", "left"), names, "target", "left")
         .select(
             F.coalesce("key", "target").alias("wiki_key"),
             F.when(F.col("is_note"), note_key(F.col("link_path"))).alias("path_key"),

@@ -37,9 +37,10 @@ def resolve_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
     tried = names.select(
         "import_name", F.explode(paths.dotted_prefixes(F.col("import_name"))).alias("name")
     )
-    known = modules.select("name", F.split("file_path", "/").alias("path_order"))
+    # One row per name, so that a prefix which most imports share can be dealt to several tasks.
+    known = modules.groupBy("name").agg(F.min(F.split("file_path", "/")).alias("path_order"))
     owners = (
-        tried.join(known, "name")
+        lookup_join(tried, known, "name", "inner")
         .groupBy("import_name")
         .agg(F.min_by("name", F.struct("path_order", "name")).alias("owner"))
     )

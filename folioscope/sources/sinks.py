@@ -11,27 +11,17 @@ from folioscope.staging import staging_root
 
 
 def write_notes(notes: DataFrame, path: str | None = None, name: str = "notes") -> DataFrame:
-    """Write notes partitioned by folder and return the table.
+    """Write notes in order of their folders and return the table.
 
     Rebalancing brings a folder's rows together, splits a folder with a third of all notes
-    over several tasks by size, and merges small ones.
+    over several tasks by size, and merges small ones. The folder stays a column, by whose
+    bounds files are skipped: a directory for each of millions of folders would be one tiny
+    file each.
     """
     spark = notes.sparkSession
     target = path or f"{staging_root(spark)}/folioscope/{name}-{uuid.uuid4().hex}"
-    columns = [c for c in notes.columns if c != "folder"]
-    # An empty folder name cannot be told from a missing one in a partition path.
-    (
-        notes.withColumn("folder", F.when(F.col("folder") == "", ".").otherwise(F.col("folder")))
-        .hint("rebalance", F.col("folder"))
-        .write.mode("overwrite")
-        .partitionBy("folder")
-        .parquet(target)
-    )
-    schema = notes.select(*columns, "folder").schema
-    written = spark.read.schema(schema).parquet(target)
-    return written.withColumn(
-        "folder", F.when(F.col("folder") == ".", "").otherwise(F.col("folder"))
-    )
+    notes.hint("rebalance", F.col("folder")).sortWithinPartitions("folder").write.mode("overwrite").parquet(target)
+    return spark.read.schema(notes.schema).parquet(target)
 
 
 def write_report(report: DataFrame, path: str) -> None:
