@@ -87,8 +87,8 @@ def _rows(kinds: list[Grams]) -> list[tuple[np.ndarray, np.ndarray]]:
 def fit(sample: DataFrame) -> Model:
     """Fit on (text, label) rows, which the caller has bounded; without both labels, keep all.
 
-    Executors hash the texts; the driver gets sparse rows. Three quarters train the weights,
-    one quarter calibrates the margins.
+    The texts are hashed in parallel and the sparse rows meet in one task, so that the driver
+    gets the weights only. Three quarters train the weights, one quarter calibrates the margins.
     """
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,13 +105,37 @@ def fit(sample: DataFrame) -> Model:
                     ["at", "value", "label"],
                 )
 
-    got = sample.select("text", "label").mapInArrow(features, "at binary, value binary, label int").collect()
-    got.sort(key=lambda r: (bytes(r.at), bytes(r.value), r.label))
-    y = np.array([1.0 if r.label else 0.0 for r in got])
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(
+            (a, v, y)
+            for batch in batches
+            for a, v, y in zip(*(batch.column(c).to_pylist() for c in ("at", "value", "label")), strict=True)
+        )
+        model = _trained(rows)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([model.weights.tobytes()], pa.binary()), *(pa.array([float(x)]) for x in model[1:])],
+            ["weights", "bias", "slope", "offset"],
+        )
+
+    found = (
+        sample.select("text", "label")
+        .mapInArrow(features, "at binary, value binary, label int")
+        .coalesce(1)
+        .mapInArrow(train, "weights binary, bias double, slope double, offset double")
+        .first()
+    )
+    if found is None:
+        return _trained([])
+    return Model(np.frombuffer(found.weights, np.float32), found.bias, found.slope, found.offset)
+
+
+def _trained(got: list[tuple[bytes, bytes, int]]) -> Model:
+    """A model from sparse rows and labels."""
     width = CELLS * len(KINDS)
+    y = np.array([1.0 if label else 0.0 for _, _, label in got])
     if len(got) < 8 or y.min() == y.max():
         return Model(np.zeros(width, np.float32), 0.0, 1.0, 20.0)
-    rows = [(np.frombuffer(r.at, np.int32), np.frombuffer(r.value, np.float32)) for r in got]
+    rows = [(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32)) for a, v, _ in got]
     turn = np.arange(len(rows)) % 4 == 3
     pick = lambda which: logistic.stacked([rows[i] for i in np.flatnonzero(which)])
     w, bias = logistic.fit(pick(~turn), y[~turn], width)
