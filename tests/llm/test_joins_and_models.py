@@ -82,6 +82,13 @@ def test_top_k_of_odd_vectors(spark):
     assert maxscore.top_k(clean.limit(0), clean.limit(0)).count() == 0
 
 
+def test_top_k_matches_its_sql(spark):
+    import compare
+
+    ok, note = compare.compare(spark, compare.connect(SF), "op5_maxscore", SF)
+    assert ok, note
+
+
 def encoded(text):
     return [*Tokenizer.from_file(JSON).encode(text or "", add_special_tokens=False).ids, 2]
 
