@@ -33,8 +33,13 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def margins(x: Sparse, w: np.ndarray, bias: float | np.ndarray) -> np.ndarray:
-    total = np.concatenate(([0.0], np.cumsum(w[x.at] * x.value, dtype=np.float64)))
-    return total[x.bounds[1:]] - total[x.bounds[:-1]] + bias
+    out = np.zeros(x.rows())
+    held = np.flatnonzero(np.diff(x.bounds))
+    if len(held):
+        product = w.astype(np.float32)[x.at]
+        product *= x.value
+        out[held] = np.add.reduceat(product, x.bounds[held], dtype=np.float64)
+    return out + bias
 
 
 def fit(
@@ -42,12 +47,14 @@ def fit(
 ) -> tuple[np.ndarray, float]:
     """Weights and bias of a binary logistic regression, by full-batch Adam steps."""
     n = max(1, x.rows())
-    owner = np.repeat(np.arange(x.rows()), np.diff(x.bounds))
+    owner = np.repeat(np.arange(x.rows(), dtype=np.int32), np.diff(x.bounds))
     w, bias = np.zeros(width, np.float64), 0.0
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
     for step in range(1, rounds + 1):
         gap = sigmoid(margins(x, w, bias)) - y
-        g = np.bincount(x.at, weights=gap[owner] * x.value, minlength=width) / n + l2 * w
+        pull = gap.astype(np.float32)[owner]
+        pull *= x.value
+        g = np.bincount(x.at, weights=pull, minlength=width) / n + l2 * w
         gb = float(gap.mean()) if len(gap) else 0.0
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
