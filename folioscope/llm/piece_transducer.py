@@ -34,7 +34,7 @@ BLANK = "▁"
 UNIGRAM, MERGES = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Stretches and pairs of pieces a task remembers; characters of the longest stretch among them.
-REMEMBERED, LONG_STRETCH = 500_000, 64
+REMEMBERED, LONG_STRETCH = 1_000_000, 64
 
 
 class Spec(NamedTuple):
@@ -229,11 +229,12 @@ class Encoder:
     def _starts(self, text: str, at: int) -> list[str]:
         """Pieces that begin at a place, the longest last."""
         found = [text[at]]
+        beginnings, ids, split = self._beginnings, self._id, self._split
         for end in range(at + 2, len(text) + 1):
             piece = text[at:end]
-            if piece not in self._beginnings:
+            if piece not in beginnings:
                 break
-            if self._usable(piece):
+            if piece in ids and (split.get(piece) or self._halves(piece)):
                 found.append(piece)
         return found
 
@@ -256,9 +257,6 @@ class Encoder:
                 dead.add((place.pop(), pieces.pop()))
         return pieces
 
-    def _usable(self, piece: str) -> bool:
-        return len(piece) == 1 or piece in self._id and self._halves(piece) is not None
-
     def _ids(self, text: str) -> bytes:
         out, unknown = [], False
         for piece in self.path(text):
