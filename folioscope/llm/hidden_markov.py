@@ -27,14 +27,14 @@ from folioscope.staging import stage
 STATES = 8
 #: Word classes; class 0 holds only the end of a text.
 CLASSES = 8192
-#: Rounds on a bounded sample of training texts, for a start; and over all of them, after that.
-WARM_ROUNDS, WARM_ROWS, ROUNDS = 6, 2_000, 1
+#: Rounds of Baum-Welch, each over all training texts.
+ROUNDS = 7
 #: Words whose counts every task holds; the others are joined.
 FREQUENT = 1 << 16
 #: Words of up to so many bytes have a class of their own hash, longer ones of their ending.
 SHORT_WORD, ENDING = 5, 3
 #: Tokens whose states are computed at once.
-TOKENS_AT_ONCE = 1_000_000
+TOKENS_AT_ONCE = 1 << 18
 #: Hash that stands for the end token.
 END = np.uint64(0x5E17D0C5E17D0C11)
 
@@ -144,14 +144,13 @@ def initial(counts: Counts, states: int = STATES) -> Hmm:
 
 
 def _blocks(bounds: np.ndarray) -> Iterator[np.ndarray]:
-    """Texts in groups of like length, so that padding is small and a group is bounded."""
-    size = np.diff(bounds)
-    order = np.argsort(size, kind="stable")
+    """Texts in groups of a bounded number of tokens, like lengths together."""
+    order = np.argsort(np.diff(bounds), kind="stable")
+    upto = np.cumsum(np.diff(bounds)[order])
     begin = 0
     while begin < len(order):
-        end = begin + 1
-        while end < len(order) and size[order[end]] * (end + 1 - begin) <= TOKENS_AT_ONCE and size[order[end]] <= 1.3 * size[order[begin]] + 16:
-            end += 1
+        before = upto[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(upto, before + TOKENS_AT_ONCE, "right")))
         yield order[begin:end]
         begin = end
 
@@ -160,31 +159,50 @@ def _blocks(bounds: np.ndarray) -> Iterator[np.ndarray]:
 SPAN = 4096
 
 
+class _Span(NamedTuple):
+    """Steps of a group, one after the other: step t has the columns first[t] to first[t + 1]."""
+
+    first: np.ndarray
+    #: Sequence of each column, its class, what its states emit there, and forward values with their scales.
+    of: np.ndarray
+    cls: np.ndarray
+    seen: np.ndarray
+    alpha: np.ndarray
+    scale: np.ndarray
+
+
 class _Group:
-    """Sequences of like length side by side: states in rows, sequences in columns, longest first."""
+    """Sequences side by side: states in rows, sequences in columns, longest first."""
 
     def __init__(self, model: Hmm, cls: np.ndarray, bounds: np.ndarray, members: np.ndarray):
         self.members = members[::-1]
         self._size = (bounds[self.members + 1] - bounds[self.members])[::-1]
-        self._base, self._cls = bounds[self.members], cls
+        self._base, self._cls, self._model = bounds[self.members], cls, model
         self.longest = int(self._size[-1]) if len(self._size) else 0
         self._emit, self._onward = model.emit.T.copy(), np.ascontiguousarray(model.step.T)
-        self.start = np.repeat(model.start[:, None], len(members), axis=1)
-
-    def classes(self, t: int) -> np.ndarray:
-        """Classes at step t of the sequences that are longer than t."""
-        live = len(self._size) - np.searchsorted(self._size, t, "right")
-        return self._cls[self._base[:live] + t]
 
-    def ahead(self, alpha: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Scaled forward values at step t, their scales, and what was seen there."""
-        own = self.classes(t)
-        seen = self._emit[own].T
-        a = alpha[:, : len(own)]
-        a = (self._onward @ a if t else a) * seen
-        scale = a.sum(axis=0)
-        a /= scale
-        return a, scale, own, seen
+    def ahead(self, begin: int, alpha: np.ndarray | None) -> _Span:
+        """The SPAN steps from ``begin`` on, after the forward values ``alpha`` of the step before."""
+        steps = np.arange(begin, min(begin + SPAN, self.longest))
+        live = len(self._size) - np.searchsorted(self._size, steps, "right")
+        first = np.concatenate(([0], np.cumsum(live)))
+        of = np.arange(first[-1]) - np.repeat(first[:-1], live)
+        cls = self._cls[self._base[of] + np.repeat(steps, live)]
+        seen = np.ascontiguousarray(self._emit[cls].T)
+        out, scale = np.empty_like(seen), np.empty(len(cls))
+        at = first.tolist()
+        for i in range(len(steps)):
+            here = slice(at[i], at[i + 1])
+            a, c = out[:, here], scale[here]
+            if alpha is None:
+                a[:] = self._model.start[:, None]
+            else:
+                np.matmul(self._onward, alpha[:, : at[i + 1] - at[i]], out=a)
+            a *= seen[:, here]
+            np.add.reduce(a, axis=0, out=c)
+            a /= c
+            alpha = a
+        return _Span(first, of, cls, seen, out, scale)
 
 
 def forward(model: Hmm, cls: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -192,10 +210,11 @@ def forward(model: Hmm, cls: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     out = np.zeros(len(bounds) - 1)
     for members in _blocks(bounds):
         group = _Group(model, cls, bounds, members)
-        alpha, total = group.start, np.zeros(len(members))
-        for t in range(group.longest):
-            alpha, scale, _, _ = group.ahead(alpha, t)
-            total[: len(scale)] += np.log(scale)
+        alpha, total = None, np.zeros(len(members))
+        for begin in range(0, group.longest, SPAN):
+            span = group.ahead(begin, alpha)
+            total += np.bincount(span.of, weights=np.log(span.scale), minlength=len(members))
+            alpha = span.alpha[:, span.first[-2] :].copy()
         out[group.members] = total
     return out
 
@@ -218,39 +237,42 @@ def expected(model: Hmm, cls: np.ndarray, bounds: np.ndarray) -> Expected:
     loglik = 0.0
     for members in _blocks(bounds):
         group = _Group(model, cls, bounds, members)
-        marks, alpha = {0: group.start}, group.start
-        for t in range((group.longest - 1) // SPAN * SPAN):
-            if t % SPAN == 0:
-                marks[t] = alpha
-            alpha = group.ahead(alpha, t)[0]
-        if group.longest > SPAN:
-            marks[(group.longest - 1) // SPAN * SPAN] = alpha
+        marks: dict[int, np.ndarray | None] = {0: None}
+        span = None
+        for begin in range(0, group.longest, SPAN):
+            span = None
+            span = group.ahead(begin, marks[begin])
+            if begin + SPAN < group.longest:
+                marks[begin + SPAN] = span.alpha[:, span.first[-2] :].copy()
         beta = np.ones((k, len(members)))
-        for begin in sorted(marks, reverse=True):
-            alphas, steps = [marks[begin]], []
-            for t in range(begin, min(begin + SPAN, group.longest)):
-                a, *rest = group.ahead(alphas[-1], t)
-                alphas.append(a)
-                steps.append(rest)
-                loglik += float(np.log(rest[0]).sum())
-            gammas = []
-            for i in range(len(steps) - 1, -1, -1):
-                scale, own, seen = steps[i]
-                live = beta[:, : len(own)]
-                gammas.append(alphas[i + 1] * live)
-                if begin + i == 0:
-                    out.start[:] += (gammas[-1] / gammas[-1].sum(axis=0)).sum(axis=1)
-                    continue
-                onward = seen * live
-                onward /= scale
-                out.step[:] += model.step * (alphas[i][:, : len(own)] @ onward.T)
-                beta[:, : len(own)] = model.step @ onward
-            _added(out.emit, np.concatenate([x[1] for x in reversed(steps)]), np.concatenate(gammas, axis=1))
+        for begin in sorted(marks, reverse=True) if span else ():
+            if begin + SPAN < group.longest:
+                span = None
+                span = group.ahead(begin, marks[begin])
+            loglik += float(np.log(span.scale).sum())
+            at = span.first.tolist()
+            betas, onward = np.ones_like(span.alpha), span.seen
+            betas[:, at[-2] :] = beta[:, : at[-1] - at[-2]]
+            onward /= span.scale
+            for i in range(len(at) - 2, -1, -1):
+                here = onward[:, at[i] : at[i + 1]]
+                here *= betas[:, at[i] : at[i + 1]]
+                to = betas[:, at[i - 1] : at[i - 1] + here.shape[1]] if i else beta[:, : here.shape[1]]
+                np.matmul(model.step, here, out=to)
+            # Pairs of steps: the forward value before each column with what came onward to it.
+            if marks[begin] is not None:
+                out.step[:] += model.step * (marks[begin][:, : at[1]] @ onward[:, : at[1]].T)
+            before = np.repeat(span.first[:-2], np.diff(span.first)[1:]) + span.of[at[1] :]
+            out.step[:] += model.step * (span.alpha[:, before] @ onward[:, at[1] :].T)
+            betas *= span.alpha
+            betas /= betas.sum(axis=0)
+            if begin == 0:
+                out.start[:] += betas[:, : at[1]].sum(axis=1)
+            _added(out.emit, span.cls, betas)
     return out._replace(loglik=loglik)
 
 
 def _added(to: np.ndarray, at: np.ndarray, columns: np.ndarray) -> None:
-    columns = columns / columns.sum(axis=0)
     for j in range(len(columns)):
         to[:, j] += np.bincount(at, weights=columns[j], minlength=len(to))
 
@@ -267,16 +289,15 @@ def updated(parts: Expected, counts: Counts) -> Hmm:
 
 
 def baum_welch(sequences: DataFrame, counts: Counts, states: int = STATES) -> Hmm:
-    """Train on staged rows (row, classes): first on a bounded sample of them, then on all.
+    """Train on staged rows (row, classes), all of them in every round.
 
     A task returns a row of counts for each class it has seen, each state and the start, which
     are summed by key before the driver reads them. Their number does not grow with the corpus.
     """
     model = initial(counts, states)
     spark = sequences.sparkSession
-    few = sequences.orderBy(F.xxhash64("row"), "row").limit(WARM_ROWS).repartition(spark.sparkContext.defaultParallelism)
-    few = stage(few, "word-sample").select("classes")
-    for sequences in [few] * WARM_ROUNDS + [sequences.select("classes")] * ROUNDS:
+    sequences = sequences.select("classes")
+    for _ in range(ROUNDS):
         held = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -195,6 +195,23 @@ def test_likelihood_and_counts_over_all_paths(monkeypatch):
     assert got.start == pytest.approx(start) and got.step == pytest.approx(step) and got.emit == pytest.approx(emit)
 
 
+def test_every_round_of_training_sees_every_row(spark):
+    pick = np.random.default_rng(2)
+    texts = [np.append(pick.integers(1, 9, size=pick.integers(1, 6)) + (8 if i % 2 else 0), 0) for i in range(3000)]
+    rows = [(i, t.astype("<u2").tobytes()) for i, t in enumerate(texts)]
+    flat, bounds = np.concatenate(texts), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    total = np.bincount(flat, minlength=hidden_markov.CLASSES)
+    none = np.zeros(0, np.int64)
+    counts = hidden_markov.Counts(len(flat), 17, none.view(np.uint64), none, total, (total > 0).astype(np.int64))
+    model = hidden_markov.initial(counts)
+    assert hidden_markov.ROUNDS >= 3
+    for _ in range(hidden_markov.ROUNDS):
+        model = hidden_markov.updated(hidden_markov.expected(model, flat, bounds), counts)
+    got = hidden_markov.baum_welch(spark.createDataFrame(rows, "row long, classes binary"), counts)
+    for a, b in zip(got, model, strict=True):
+        assert a == pytest.approx(b, rel=1e-6)
+
+
 def test_language_model_of_odd_rows(odd_documents, no_documents):
     from pyspark.sql import functions as F
 
