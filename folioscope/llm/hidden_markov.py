@@ -339,12 +339,12 @@ def baum_welch(sequences: DataFrame, counts: Counts, states: int = STATES) -> Hm
 def _prepared(docs: DataFrame, counts: Counts) -> DataFrame:
     """Class sequences, what the frequent words add, and the rarer words with their numbers."""
     held = docs.sparkSession.sparkContext.broadcast((counts.frequent, np.log10(counts.frequent_counts + 1.0)))
+    # The end is alone in its class, so its count does not depend on its being frequent.
+    end_log = math.log10(counts.class_total[0] + 1.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, logs = held.value
-        end = np.searchsorted(frequent, END)
         row = TaskContext.get().partitionId() << 33
-        end_log = float(logs[end]) if end < len(frequent) and frequent[end] == END else 0.0
         for batch in batches:
             for part in slices(batch, "text"):
                 t = tokens(part.column("text"))

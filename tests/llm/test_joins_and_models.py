@@ -195,6 +195,18 @@ def test_likelihood_and_counts_over_all_paths(monkeypatch):
     assert got.start == pytest.approx(start) and got.step == pytest.approx(step) and got.emit == pytest.approx(emit)
 
 
+def test_the_end_counts_where_words_are_more_frequent(spark, monkeypatch):
+    docs = spark.createDataFrame(
+        [(1, "a b c " * 50, False), (2, "a b b a", True), (3, "", True)], "doc_id long, text string, held boolean"
+    )
+    monkeypatch.setattr(hidden_markov, "FREQUENT", 2)
+    got = {r.doc_id: r for r in hidden_markov.score(docs, "held").collect()}
+    for i, text in ((1, "a b c " * 50), (2, "a b b a"), (3, "")):
+        n, known, total, score = unigram(["a b c " * 50], text)
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (n, known, total)
+        assert got[i].base_score == pytest.approx(score, rel=1e-9)
+
+
 def test_every_round_of_training_sees_every_row(spark):
     pick = np.random.default_rng(2)
     texts = [np.append(pick.integers(1, 9, size=pick.integers(1, 6)) + (8 if i % 2 else 0), 0) for i in range(3000)]
