@@ -87,7 +87,7 @@ def _rows(kinds: list[Grams]) -> list[tuple[np.ndarray, np.ndarray]]:
 def fit(sample: DataFrame) -> Model:
     """Fit on (text, label) rows, which the caller has bounded; without both labels, keep all.
 
-    The texts are hashed in parallel and the sparse rows meet in one task, so that the driver
+    The texts are hashed in parallel; the sparse rows are shuffled to one task, so that the driver
     gets the weights only. Three quarters train the weights, one quarter calibrates the margins.
     """
 
@@ -120,7 +120,7 @@ def fit(sample: DataFrame) -> Model:
     found = (
         sample.select("text", "label")
         .mapInArrow(features, "at binary, value binary, label int")
-        .coalesce(1)
+        .repartition(1)
         .mapInArrow(train, "weights binary, bias double, slope double, offset double")
         .first()
     )

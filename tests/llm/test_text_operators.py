@@ -209,3 +209,17 @@ def test_licences_of_corpus_and_odd_rows(spark, documents, odd_documents, no_doc
 def test_lines_are_numbered_and_bounded():
     _, found = licence_scan.lines(pa.array(["a b\n\nc", None, "", "\nd"]))
     assert list(zip(found.text.tolist(), found.number.tolist(), strict=True)) == [(0, 0), (0, 2), (3, 1)]
+
+
+def test_quality_fit_hashes_texts_in_parallel(spark):
+    rows = [(f"text number {i} " + ("good words " if i % 2 else "bad ones ") * 9, i % 2) for i in range(64)]
+    sample = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "text string, label int")
+    spark.sparkContext.setJobGroup("quality-fit", "")
+    try:
+        model = quality_rules.fit(sample)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    seen = spark.sparkContext.statusTracker()
+    stages = [seen.getStageInfo(i) for j in seen.getJobIdsForGroup("quality-fit") for i in seen.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) >= 4
+    assert model.weights.any()
