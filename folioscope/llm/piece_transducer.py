@@ -1,12 +1,11 @@
-"""Piece encoding and decoding as weighted finite-state transduction.
-
-A model is compiled to three transducers: a normaliser, the pieces, and byte fallback for
-characters that no piece holds. A text is composed with them, and the path of least cost in
-the tropical semiring gives the pieces. Unigram models weigh pieces by their scores. Merge
-models (BPE) weigh all pieces alike and are composed with one more acceptor, over neighbouring
-pieces: two pieces may follow each other just if merging their characters gives these two. A
-sequence all of whose neighbours may follow each other is the one that merging produces, so
-exactly one path has a finite cost.
+"""Piece encoding and decoding; a weighted transducer normalises for models that drop blanks.
+
+Only that normaliser is composed with a text and its shortest path taken. Other models replace
+blanks in the text, and pieces and byte fallback are looked up. Unigram models take the cheapest
+path by piece scores. Merge models (BPE), the registered one among them, are searched depth first
+and without weights, over neighbouring pieces: two pieces may follow each other just if merging
+their characters gives these two. A sequence all of whose neighbours may follow each other is the
+one that merging produces, so there is exactly one.
 """
 
 from __future__ import annotations
