@@ -9,7 +9,7 @@ from typing import NamedTuple
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.registry import query
@@ -19,6 +19,10 @@ from folioscope.llm.vectext import slices
 #: Texts per language that a dictionary is cut from, and its size in bytes.
 TEXTS_PER_LANGUAGE = 256
 DICTIONARY_BYTES = 112 << 10
+#: Places, evenly across a text, that its share of a dictionary comes from.
+PLACES = 4
+#: Parts that a language's ids are ranked in before the best of all parts are.
+PARTS = 32
 #: A text is packed in pieces of so many bytes, so that it leans on the dictionary, not on itself.
 PIECE_BYTES = 2048
 LEVEL = 6
@@ -45,13 +49,21 @@ def prepared(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace").translate(_BLANK)
 
 
-def dictionary(texts: Iterable[str], size: int = DICTIONARY_BYTES) -> bytes:
-    """Equal shares of all texts, the content at the end being the cheapest to refer to."""
-    plain = [b" ".join(prepared(t).split()) for t in texts]
+def spread(plain: bytes, share: int) -> bytes:
+    """At most ``share`` bytes of a text, from PLACES places evenly across it."""
+    if len(plain) <= share:
+        return plain
+    size = (share - PLACES + 1) // PLACES
+    last = len(plain) - size
+    return b" ".join(plain[at : at + size] for at in (i * last // (PLACES - 1) for i in range(PLACES)))
+
+
+def dictionary(plain: Iterable[bytes], size: int = DICTIONARY_BYTES) -> bytes:
+    """Equal shares of all prepared texts, the content at the end being the cheapest to refer to."""
     plain = sorted((p for p in plain if p), key=len)
     parts, left = [], size
     for i, p in enumerate(plain):
-        share = p[: max(64, left // (len(plain) - i))]
+        share = spread(p, max(64, left // (len(plain) - i)))
         parts.append(share)
         left -= len(share)
         if left <= 0:
@@ -62,26 +74,36 @@ def dictionary(texts: Iterable[str], size: int = DICTIONARY_BYTES) -> bytes:
 def fit(docs: DataFrame, lang: str = "lang") -> Model:
     """Learn a dictionary for each value of ``lang`` from (doc_id, text, lang).
 
-    Rows with a null language or text teach nothing. At most ``TEXTS_PER_LANGUAGE`` texts of a
-    language are gathered, one for each hash bucket of doc_id, so that a frequent language is
-    not sorted and a rare one keeps all it has, up to that many.
+    Rows with a null language or text teach nothing. The ``TEXTS_PER_LANGUAGE`` ids of a language
+    whose hashes are least are gathered, first in parts, so that a frequent language is not sorted
+    in one task and one with no more ids keeps all it has. Tasks cut their texts to the size of a
+    dictionary before the driver reads them.
     """
     usable = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    mixed = F.xxhash64("doc_id")
-    ids = (
-        usable.select(F.col(lang).alias("lang"), "doc_id", mixed.alias("h"))
-        .groupBy("lang", F.pmod("h", F.lit(TEXTS_PER_LANGUAGE)).alias("part"))
-        .agg(F.min_by("doc_id", "h").alias("doc_id"))
-    )
+    ids = usable.select(F.col(lang).alias("lang"), "doc_id", F.xxhash64("doc_id").alias("h")).distinct()
+    for key in (("lang", F.pmod("h", F.lit(PARTS))), ("lang",)):
+        least = Window.partitionBy(*key).orderBy("h", "doc_id")
+        ids = ids.withColumn("place", F.row_number().over(least)).where(F.col("place") <= TEXTS_PER_LANGUAGE).drop("place")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                plain = [b" ".join(prepared(t).split()) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("lang"), pa.array([spread(p, DICTIONARY_BYTES) for p in plain], pa.binary())],
+                    ["lang", "plain"],
+                )
+
     rows = (
-        usable.select("doc_id", "text")
-        .join(F.broadcast(ids.select("doc_id", "lang")), "doc_id")
-        .select("lang", "text")
+        usable.select("doc_id", "text", F.col(lang).alias("lang"))
+        .join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"])
+        .select(F.col("lang").cast("string").alias("lang"), "text")
+        .mapInArrow(cut, "lang string, plain binary")
         .collect()
     )
-    texts: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.text)):
-        texts.setdefault(r.lang, []).append(r.text)
+    texts: dict[str, list[bytes]] = {}
+    for k, plain in sorted((r.lang, bytes(r.plain)) for r in rows):
+        texts.setdefault(k, []).append(plain)
     held = {k: dictionary(v) for k, v in texts.items()}
     return Model({k: v for k, v in held.items() if len(v) >= 8})
 

@@ -223,3 +223,13 @@ def test_quality_fit_hashes_texts_in_parallel(spark):
     stages = [seen.getStageInfo(i) for j in seen.getJobIdsForGroup("quality-fit") for i in seen.getJobInfo(j).stageIds]
     assert max(s.numTasks for s in stages if s) >= 4
     assert model.weights.any()
+
+
+def test_rare_languages_keep_all_texts_and_ends_are_learned(spark):
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in (2, 1, 0)) * 2
+    rows = [(i, f"{word(i)} is said", "aa") for i in range(200)]
+    rows += [(1000 + i, "opening " * 400 + f"ending{word(i)}", "bb") for i in range(300)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert all(word(i).encode() in model.dictionaries["aa"] for i in range(200))
+    ends = sum(f"ending{word(i)}".encode() in model.dictionaries["bb"] for i in range(300))
+    assert ends == language.TEXTS_PER_LANGUAGE and len(model.dictionaries["bb"]) <= language.DICTIONARY_BYTES + 300
