@@ -1,12 +1,14 @@
 """HTML pages to markdown text with native expressions.
 
-Elements that may nest are cut by counting the tags of one name. The scan keeps only the
-positions of the elements found, never a growing copy of the page.
+A page is cut into tags and texts once; one pass over them with a stack of the open elements makes
+the markdown. Both are linear in the length of the page.
 """
 
 from __future__ import annotations
 
 import json
+import zlib
+from collections.abc import Callable
 from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
@@ -32,14 +34,41 @@ DROPPED_CLASSES = [
 CODE_LANGUAGES = ["python", "py", "javascript", "js", "bash", "shell"]
 EXTERNAL_SCHEMES = ["http://", "https://", "mailto:", "ftp://"]
 
-# Elements that may carry one of the dropped classes.
-CLASSED_ELEMENTS = ["div", "section", "aside", "form", "table", "dl", "ul", "ol", "p", "span", "a"]
+# Elements without content, headings, those that stand on a line of their own, and those that the
+# stack keeps while they are open.
+VOID_ELEMENTS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
+HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
+LINE_ELEMENTS = ["div", "article", "section", "main", "aside", "form", "dl", "dt", "dd", "figure"]
+CONTAINERS = [*LINE_ELEMENTS, "body", "ul", "ol", "li", "table", "tr", "td", "th", "blockquote", "pre"]
+
+# Elements below this depth count as beside each other, as in browsers.
+DEEPEST = 512
+# Tokens of a block, and blocks of a larger one.
+BLOCK = 64
+# The name of the stack's first element: what part of the page counts.
+MAIN_SCOPE, BODY_SCOPE = "#main", "#body"
 
 # Character references by name, as HTML defines them, those that end in a semicolon.
 ENTITIES = {f"&{name}": chars for name, chars in html5.items() if name.endswith(";")}
+NAME_MAPS = 512
+
+# Private-use stand-ins: line breaks, characters that later steps must not see, and the begin and
+# end of what is marked. Pages lose theirs before they are converted.
+_BREAK, _LINE, _BLANK, _ITEM, _START, _TRIM, _END, _QUOTE = (chr(0xE000 + i) for i in range(8))
+_LINK, _LABEL, _LINK_END, _HEAD_END = (chr(0xE010 + i) for i in range(4))
+_LEVELS = "".join(chr(0xE021 + i) for i in range(6))
+_INLINE = [
+    (["b", "strong"], "\ue030", "\ue031"),
+    (["i", "em"], "\ue032", "\ue033"),
+    (["code"], "\ue034", "\ue035"),
+]
+_SIGNS = dict(zip("\ue030\ue031\ue032\ue033\ue034\ue035", ["**", "**", "*", "*", "`", "`"], strict=True))
+_STAND_INS = "[\ue000-\ue03f]"
 
-# Private-use stand-ins that carry characters through the conversion.
-_BREAK, _LESS, _MORE, _LINE, _BLANK, _HEAD = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004", "\ue005"
+# A tag, whose quoted attributes may hold any character; one whose quotes do not pair; a text.
+_TOKEN = (
+    r"</?[a-zA-Z][^'\">]*+(?:(?:\"[^\"]*+\"|'[^']*+')[^'\">]*+){0,200}+>|</?[a-zA-Z][^>]*+>|<[!?][^>]*+>|[^<]++|<"
+)
 
 
 def is_skipped(path: Column) -> Column:
@@ -56,139 +85,273 @@ def without_raw_text(html: Column) -> Column:
     )
 
 
-def _pieces(html: Column, tags: str) -> Column:
-    """The page cut in front of every opening and closing tag of the given names."""
-    return F.split(html, rf"(?i)(?=</?(?:{tags})[\s/>])", -1)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it in ``body`` as often as that needs.
+
+    A column that an expression inside a lambda refers to may be put in its place by the optimizer,
+    and is then computed for each element; a lambda's own variable is not. The result is copied.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute, in double quotes, single quotes or none; empty if it is missing."""
+    pattern = rf"(?is)[\s\"']{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    return F.concat(*(F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)))
 
 
-def _spans(pieces: Column, wanted: str) -> Column:
-    """array<struct<first, last>>: pieces of the outermost elements whose tag fits.
+def tokens(html: Column) -> Column:
+    """array<struct>: the page's tags and the texts between them, in order.
 
-    The scan sees only the tag in front of each piece. Inside an element it counts the tags
-    of the same name until the element closes.
+    ``tag`` is the name in lower case, empty for text. A quoted attribute may hold any character.
     """
-    heads = F.transform(
-        pieces,
-        lambda p: F.struct(
-            F.lower(F.regexp_extract(F.substring_index(p, ">", 1), r"\A<(/?[a-zA-Z0-9]+)", 1)).alias("tag"),
-            F.substring_index(p, ">", 1).rlike(wanted).alias("fits"),
-        ),
+
+    def parsed(token: Column) -> Column:
+        tag = F.lower(F.regexp_extract(token, r"\A</?([a-zA-Z!?][a-zA-Z0-9:\-]*)", 1))
+
+        def known(tag: Column) -> Column:
+            opens = (tag != "") & ~token.startswith("</")
+            classes = F.when(opens, _attribute(token, "class")).otherwise("")
+            language = F.coalesce(
+                F.nullif(F.regexp_extract(classes, r"(?:\A|\s)language-([\w+#.\-]+)", 1), F.lit("")),
+                F.regexp_extract(classes, rf"(?:\A|\s)({'|'.join(CODE_LANGUAGES)})(?:\s|\z)", 1),
+            )
+            image = F.concat(
+                F.lit("!["), _attribute(token, "alt"), F.lit("]("), _attribute(token, "src"), F.lit(")")
+            )
+            return F.struct(
+                tag.alias("tag"),
+                ((tag != "") & ~opens).alias("closing"),
+                F.when(tag == "", token).otherwise("").alias("text"),
+                F.coalesce(
+                    opens & (tag.isin(DROPPED_ELEMENTS) | classes.rlike("|".join(DROPPED_CLASSES))), F.lit(False)
+                ).alias("drop"),
+                (opens & (tag == "div") & F.lower(_attribute(token, "role")).startswith("main")).alias("main"),
+                F.when(opens & (tag == "a"), _attribute(token, "href"))
+                .when(opens & (tag == "img") & (_attribute(token, "src") != ""), image)
+                .when(opens & (tag == "ol"), _attribute(token, "start"))
+                .when(opens & tag.isin("code", "pre"), language)
+                .otherwise("")
+                .alias("value"),
+            )
+
+        return let(tag, known)
+
+    return F.transform(F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(0)), parsed)
+
+
+def _element(name, drop, live, pre, flat, pad, count, first, close) -> Column:
+    """What the stack knows of an open element.
+
+    Whether it is dropped, in the main content, preformatted, or a cell that takes no line breaks;
+    the blanks that its lines begin with; its items, rows or cells so far; whether it is a table's
+    first row; and the text that ends it.
+    """
+    fields = {"name": name, "drop": drop, "live": live, "pre": pre, "flat": flat, "pad": pad, "count": count, "first": first, "close": close}
+    return F.struct(*(v.alias(k) for k, v in fields.items()))
+
+
+def _changed(element: Column, **new: Column) -> Column:
+    return _element(*(new.get(f, element[f]) for f in ("name", "drop", "live", "pre", "flat", "pad", "count", "first", "close")))
+
+
+def _kept(stack: Column, t: Column) -> Column:
+    """How many elements stay open: a closing tag ends its element and those inside it, and some
+    opening tags end the element before them."""
+    n = F.size(stack)
+    top = F.element_at(stack, -1)["name"]
+    above = F.coalesce(F.get(stack, n - 2)["name"], F.lit(""))
+    from_end = F.array_position(F.reverse(F.transform(stack, lambda e: e["name"])), t["tag"])
+    ended = F.when((from_end > 0) & (from_end < n), n - from_end.cast("int")).otherwise(n)
+    tag, cell = t["tag"], top.isin("td", "th")
+    implied = (
+        F.when((tag == "tr") & cell & (above == "tr"), n - 2)
+        .when((tag == "tr") & (cell | (top == "tr")), n - 1)
+        .when(tag.isin("td", "th") & cell, n - 1)
+        .when(tag.isin("dt", "dd") & top.isin("dt", "dd"), n - 1)
+        .when(tag.isin("li", "p") & (top == tag), n - 1)
+        .otherwise(n)
+    )
+    return F.when(t["closing"], ended).otherwise(implied)
+
+
+def _marker(parent: Column) -> Column:
+    number = F.concat((parent["count"] + 1).cast("string"), F.lit(". "))
+    return F.when(parent["name"] == "ol", number).otherwise("- ")
+
+
+def _blanks(n: Column) -> Column:
+    return F.repeat(F.lit(_BLANK), n)
+
+
+def _opened(parent: Column, t: Column, live: Column) -> Column:
+    """The element that an opening tag puts on the stack."""
+    tag, pad = t["tag"], parent["pad"]
+    breaks = F.when(parent["flat"], " ").otherwise(F.concat(F.lit("\n\n"), pad))
+    line = F.when(parent["flat"], " ").otherwise(F.concat(F.lit("\n"), pad))
+    first = (tag == "tr") & (parent["name"] == "table") & (parent["count"] == 0)
+    start = F.when(tag == "ol", F.coalesce(t["value"].try_cast("int"), F.lit(1)) - 1).otherwise(0)
+    close = (
+        F.when(tag == "pre", F.concat(F.lit(f"{_LINE}```"), breaks))
+        .when(parent["pre"], "")
+        .when(tag == "li", _END)
+        .when(tag.isin("td", "th"), " | ")
+        .when(tag == "tr", F.when(first, F.concat(F.lit("\n"), pad, F.lit("|"))).otherwise(""))
+        .when(tag.isin("ul", "ol"), F.when(parent["name"] == "li", "").otherwise(breaks))
+        .when(tag.isin("table", "blockquote"), breaks)
+        .when(tag.isin(LINE_ELEMENTS), line)
+        .otherwise("")
     )
-    start = F.struct(
-        F.lit(0).alias("at"),
-        F.lit(0).alias("depth"),
-        F.lit("").alias("tag"),
-        F.lit(-1).alias("first"),
-        F.array().cast("array<struct<first:int,last:int>>").alias("found"),
+    inner = (
+        F.when(tag == "li", F.concat(pad, _blanks(F.length(_marker(parent)))))
+        .when(tag == "blockquote", F.concat(pad, F.lit(_QUOTE + _BLANK)))
+        .otherwise(pad)
+    )
+    return _element(
+        tag,
+        parent["drop"] | t["drop"],
+        live,
+        parent["pre"] | (tag == "pre"),
+        (parent["flat"] | tag.isin("td", "th")) & (tag != "pre"),
+        inner,
+        start.cast("int"),
+        first,
+        close,
     )
 
-    def step(s: Column, p: Column) -> Column:
-        inside = s["depth"] > 0
-        begins = ~inside & p["fits"]
-        opening = inside & (p["tag"] == s["tag"])
-        closing = inside & (p["tag"] == F.concat(F.lit("/"), s["tag"]))
-        span = F.struct(s["first"].alias("first"), s["at"].alias("last"))
-        depth = F.when(begins, 1).when(opening, s["depth"] + 1).when(closing, s["depth"] - 1)
-        return F.struct(
-            (s["at"] + 1).alias("at"),
-            depth.otherwise(s["depth"]).alias("depth"),
-            F.when(begins, p["tag"]).otherwise(s["tag"]).alias("tag"),
-            F.when(begins, s["at"]).otherwise(s["first"]).alias("first"),
-            F.when(closing & (s["depth"] == 1), F.concat(s["found"], F.array(span)))
-            .otherwise(s["found"])
-            .alias("found"),
-        )
 
-    def finish(s: Column) -> Column:
-        # An element that is never closed ends with the page.
-        rest = F.struct(s["first"].alias("first"), s["at"].alias("last"))
-        return F.when(s["depth"] > 0, F.concat(s["found"], F.array(rest))).otherwise(s["found"])
+def _said(parent: Column, t: Column) -> Column:
+    """The text that an opening tag, or a closing one that is not on the stack, stands for."""
+    tag, closing, pad = t["tag"], t["closing"], parent["pad"]
+    breaks = F.when(parent["flat"], " ").otherwise(F.concat(F.lit("\n\n"), pad))
+    line = F.when(parent["flat"], " ").otherwise(F.concat(F.lit("\n"), pad))
+    level = F.translate(F.substring(tag, 2, 1), "123456", _LEVELS)
+    heading = tag.isin(HEADINGS)
+    opening = (
+        F.when(tag == "p", breaks)
+        .when(tag == "br", F.when(parent["flat"], " ").otherwise(F.concat(F.lit(_BREAK), pad)))
+        .when(heading, F.concat(breaks, level))
+        .when(tag == "li", F.concat(F.lit(_ITEM), pad, _marker(parent), F.lit(_TRIM)))
+        .when(tag == "a", F.when(t["value"] != "", F.concat(F.lit(_LINK), t["value"], F.lit(_LABEL))).otherwise(""))
+        .when(tag == "img", t["value"])
+        .when(tag == "hr", F.concat(breaks, F.lit("---"), breaks))
+        .when(tag == "tr", F.concat(line, F.lit("| "), F.lit(_TRIM)))
+        .when(tag == "pre", F.concat(breaks, F.lit("```"), t["value"], F.lit(_LINE)))
+        .when(tag == "blockquote", F.concat(F.lit(_END), breaks, F.lit(_QUOTE + _BLANK + _TRIM)))
+        .when(tag.isin("ul", "ol"), F.when(parent["name"] == "li", "").otherwise(F.concat(breaks, F.lit(_START))))
+        .when(tag == "table", breaks)
+        .when(tag.isin(LINE_ELEMENTS), line)
+    )
+    ending = F.when(tag == "p", breaks).when(heading, F.concat(F.lit(_HEAD_END), breaks)).when(tag == "a", _LINK_END)
+    for names, begin, end in _INLINE:
+        opening = opening.when(tag.isin(names), begin)
+        ending = ending.when(tag.isin(names), end)
+    marked = F.when(closing, ending.otherwise("")).otherwise(opening.otherwise(""))
+    return F.when(parent["pre"], F.when((tag == "br") & ~closing, _LINE).otherwise("")).otherwise(marked)
 
-    return F.aggregate(heads, start, step, finish)
 
+def _moved(stack: Column, entered: Column, piece: Column) -> Column:
+    """The stack after some tokens, whether the main content has begun, and their text."""
+    return F.struct(stack.alias("stack"), entered.alias("entered"), piece.alias("piece"))
 
-def drop_elements(df: DataFrame, column: str, tags: str, wanted: str) -> DataFrame:
-    """Remove the elements whose opening tag fits, nested content too."""
-    html = F.col(column)
-    has = html.rlike(wanted.replace(r"\A", ""))
-    cut = df.withColumn("_pieces", F.when(has, _pieces(html, tags))).withColumn(
-        "_spans", F.when(F.col("_pieces").isNotNull(), _spans(F.col("_pieces"), wanted))
-    )
 
-    def keep(p: Column, i: Column) -> Column:
-        within = F.exists(F.col("_spans"), lambda s: (i >= s["first"]) & (i < s["last"]))
-        at_end = F.exists(F.col("_spans"), lambda s: i == s["last"])
-        tail = F.regexp_replace(p, r"\A<[^>]*>", "")
-        return F.when(within, F.lit("")).when(at_end, tail).otherwise(p)
-
-    rest = F.array_join(F.transform(F.col("_pieces"), keep), "")
-    return cut.withColumn(
-        column, F.when(F.size("_spans") > 0, rest).otherwise(html)
-    ).drop("_pieces", "_spans")
-
-
-def main_content(df: DataFrame, column: str) -> DataFrame:
-    """Keep the first ``div`` with ``role="main"``, else the body, else the whole page."""
-    html = F.col(column)
-    wanted = r"(?is)\A<div\b[^>]*\brole\s*=\s*[\"']?main\b"
-    has = html.rlike(wanted.replace(r"\A", ""))
-    cut = df.withColumn("_pieces", F.when(has, _pieces(html, "div"))).withColumn(
-        "_spans", F.when(F.col("_pieces").isNotNull(), _spans(F.col("_pieces"), wanted))
+def _step(s: Column, t: Column) -> Column:
+    """What a token does to the stack, and its text."""
+    scope = F.get(s["stack"], F.lit(0))["name"]
+
+    def seen(element: Column) -> Column:
+        return element["live"] & ~element["drop"]
+
+    def text(top: Column) -> Column:
+        plain = F.regexp_replace(t["text"], r"[ \t\r\n]+", " ")
+        shown = F.when(top["pre"], F.translate(t["text"], "\n \r", _LINE + _BLANK)).otherwise(plain)
+        return F.when(seen(top), shown).otherwise("")
+
+    def tagged(k: Column) -> Column:
+        gone = F.slice(s["stack"], k + 1, F.size(s["stack"]) - k)
+        ends = F.array_join(F.reverse(F.transform(gone, lambda e: F.when(seen(e), e["close"]).otherwise(""))), "")
+        return let(F.element_at(s["stack"], k), lambda parent: within(k, parent, ends))
+
+    def within(k: Column, parent: Column, ends: Column) -> Column:
+        tag, base = t["tag"], F.slice(s["stack"], 1, k)
+        pushed = (
+            ~t["closing"] & ~tag.isin(VOID_ELEMENTS) & ~tag.rlike("^[!?]") & (k < DEEPEST)
+            & (tag.isin(CONTAINERS) | t["drop"] | parent["drop"])
+        )
+        counts = tag.isin("li", "td", "th") | ((tag == "tr") & (parent["name"] == "table"))
+        close = F.when(tag.isin("td", "th") & parent["first"], F.concat(parent["close"], F.lit(" --- |"))).otherwise(parent["close"])
+        counted = F.concat(F.slice(s["stack"], 1, k - 1), F.array(_changed(parent, count=parent["count"] + 1, close=close)))
+        enters = t["main"] & (scope == MAIN_SCOPE) & ~s["entered"]
+        live = parent["live"] | enters | ((scope == BODY_SCOPE) & (tag == "body"))
+        stack = F.when(
+            pushed, F.concat(F.when(counts, counted).otherwise(base), F.array(_opened(parent, t, live)))
+        ).otherwise(base)
+        # An element that was on the stack has its own text to end it.
+        ended = t["closing"] & (k < F.size(s["stack"]))
+        said = F.when(seen(parent) & ~t["drop"] & ~ended, _said(parent, t)).otherwise("")
+        return _moved(stack, s["entered"] | enters, F.concat(ends, said))
+
+    return F.when(t["tag"] == "", _moved(s["stack"], s["entered"], let(F.element_at(s["stack"], -1), text))).otherwise(
+        let(_kept(s["stack"], t), tagged)
     )
-    first = F.get("_spans", F.lit(0))
-    main = F.array_join(
-        F.slice("_pieces", first["first"] + 1, first["last"] - first["first"]), ""
+
+
+def _folded(items: Column, s: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """``step`` over all items from the state ``s``, their texts joined."""
+    start = F.struct(s["stack"].alias("stack"), s["entered"].alias("entered"), F.array().cast("array<string>").alias("out"))
+
+    def add(state: Column, moved: Column) -> Column:
+        return F.struct(
+            moved["stack"].alias("stack"), moved["entered"].alias("entered"),
+            F.concat(state["out"], F.array(moved["piece"])).alias("out"),
+        )
+
+    return F.aggregate(
+        items,
+        start,
+        lambda state, item: F.aggregate(F.array(step(state, item)), state, add),
+        lambda state: _moved(state["stack"], state["entered"], F.array_join(state["out"], "")),
     )
-    body = F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)", 1)
-    return cut.withColumn(
-        column,
-        F.when(F.size("_spans") > 0, main).when(html.rlike(r"(?i)<body\b"), body).otherwise(html),
-    ).drop("_pieces", "_spans")
 
 
-def cleaned(df: DataFrame, column: str) -> DataFrame:
-    """Main content without navigation, link marks, side bars and search boxes.
+def _blocks(items: Column, size: int) -> Column:
+    last = F.greatest(F.ceil(F.size(items) / size).cast("int"), F.lit(1)) - 1
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * size + 1, size))
+
 
-    Code blocks stay, whatever their class.
+def _converted(page: Column) -> Column:
+    """Markdown, with stand-ins, of a page's tokens.
+
+    One pass with a stack. Only the first ``div`` with ``role="main"`` counts, else the body, else
+    the whole page. A fold copies its state at every step, so the text goes on in blocks of blocks:
+    each fold holds the texts of its own block only.
     """
-    df = main_content(df.withColumn(column, without_raw_text(F.col(column))), column)
-    plain, classed = "|".join(DROPPED_ELEMENTS), "|".join(CLASSED_ELEMENTS)
-    classes = "|".join(DROPPED_CLASSES)
-    attribute = rf"\bclass\s*=\s*(?:\"[^\">]*(?:{classes})|'[^'>]*(?:{classes}))"
-    wanted = rf"(?is)\A<(?:(?:{plain})\b|(?:{classed})\s[^>]*?{attribute})"
-    return drop_elements(df, column, f"{plain}|{classed}", wanted)
-
-
-def _protected_whitespace(html: Column) -> Column:
-    """Collapse whitespace outside preformatted text and shield it inside."""
-    pieces = F.split(html, r"(?i)(?=<pre[\s>])|(?<=</pre>)", -1)
-    shielded = F.transform(
-        pieces,
-        lambda p: F.when(
-            p.rlike(r"(?i)\A<pre[\s>]"), F.translate(p, "\n \r", _LINE + _BLANK)
-        ).otherwise(F.regexp_replace(p, r"[ \t\r\n]+", " ")),
-    )
-    return F.array_join(shielded, "")
 
+    def whole(found: Column) -> Column:
+        scope = F.when(F.exists(found, lambda t: t["main"]), MAIN_SCOPE).when(
+            F.exists(found, lambda t: (t["tag"] == "body") & ~t["closing"]), BODY_SCOPE
+        ).otherwise("")
+        no, none, nothing = F.lit(False), F.lit(0), F.lit("")
+        root = _element(scope, no, scope == "", no, no, nothing, none, no, nothing)
 
-def code_blocks(html: Column) -> Column:
-    """Preformatted code to fenced blocks, with the language named by the class."""
-    fence, end = f"{_LINE}```", f"{_LINE}```\n\n"
-    names = "|".join(CODE_LANGUAGES)
-    pre, code = rf"(?is)<pre\b[^>]*>[\s{_LINE}{_BLANK}]*<code\b[^>]*?", rf"[^>]*>(.*?)</code>[\s{_LINE}{_BLANK}]*</pre>"
-    named = rf"class=\"(?:[^\"]*[\s{_BLANK}])?"
-    html = F.regexp_replace(
-        html, pre + named + r"language-([\w+#.\-]+)[^\"]*\"" + code, f"\n\n{fence[1:]}$1{_LINE}$2{end}"
-    )
-    html = F.regexp_replace(
-        html,
-        pre + named + rf"({names})(?:[\s{_BLANK}][^\"]*)?\"" + code,
-        f"\n\n{fence[1:]}$1{_LINE}$2{end}",
-    )
-    html = F.regexp_replace(html, pre + code, f"\n\n{fence[1:]}{_LINE}$1{end}")
-    return F.regexp_replace(
-        html, r"(?is)<pre\b[^>]*>(.*?)</pre>", f"\n\n{fence[1:]}{_LINE}$1{end}"
-    )
+        def block(s: Column, b: Column) -> Column:
+            return _folded(b, s, _step)
+
+        def blocks(s: Column, b: Column) -> Column:
+            return _folded(_blocks(b, BLOCK), s, block)
+
+        def rest(s: Column) -> Column:
+            ends = F.transform(s["stack"], lambda e: F.when(e["live"] & ~e["drop"], e["close"]).otherwise(""))
+            return F.concat(s["piece"], F.array_join(F.reverse(ends), ""))
+
+        return let(_folded(_blocks(found, BLOCK * BLOCK), _moved(F.array(root), no, nothing), blocks), rest)
+
+    return let(tokens(_with_languages(page)), whole)
+
+
+def _with_languages(page: Column) -> Column:
+    """Give a preformatted element the class of the code element that it begins with."""
+    return F.regexp_replace(page, r"(?i)<pre\b[^>]*>\s*<code\b([^>]*)>", "<pre$1>")
 
 
 _REFERENCE = r"&(?:#[xX][0-9a-fA-F]+|#[0-9]+|[a-zA-Z][a-zA-Z0-9]*);"
@@ -213,55 +376,58 @@ def _numbered(reference: Column) -> Column:
 def unescaped(df: DataFrame, column: str) -> DataFrame:
     """Character references to characters, each once; names that HTML does not know stay."""
     text = F.col(column)
-    names = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")
+    # A literal map is searched from its start, so the names are dealt to many small ones.
+    dealt: list[dict[str, str]] = [{} for _ in range(NAME_MAPS)]
+    for name, chars in ENTITIES.items():
+        dealt[zlib.crc32(name.encode()) % NAME_MAPS][name] = chars
+    names = F.from_json(F.lit(json.dumps(dealt)), "array<map<string,string>>")
 
     def char(reference: Column) -> Column:
+        own = F.get(names, (F.crc32(reference.cast("binary")) % NAME_MAPS).cast("int"))
         return F.when(reference.startswith("&#"), _numbered(reference)).otherwise(
-            F.coalesce(F.try_element_at(names, reference), reference)
+            F.coalesce(F.try_element_at(own, reference), reference)
         )
 
     found = F.transform(matches(text, _REFERENCE), char)
-    between = F.split(text, _REFERENCE, -1)
-    joined = F.array_join(
-        F.transform(between, lambda p, i: F.concat(p, F.coalesce(F.get(found, i), F.lit("")))), ""
-    )
-    return df.withColumn(column, F.when(text.contains("&"), joined).otherwise(text))
+    return df.withColumn(column, F.when(text.contains("&"), _woven(F.split(text, _REFERENCE, -1), found)).otherwise(text))
+
+
+def _woven(between: Column, found: Column) -> Column:
+    """The parts of a text between matches with what takes their places."""
+    return F.array_join(F.zip_with(between, found, lambda p, f: F.concat(p, F.coalesce(f, F.lit("")))), "")
 
 
 def to_markdown(df: DataFrame, column: str) -> DataFrame:
-    """Convert cleaned HTML to markdown. Unpaired inline marks are dropped."""
+    """Convert pages to markdown. Unpaired inline marks are dropped.
+
+    Navigation, link marks, side bars and search boxes go, whatever element carries their class;
+    so do comments, scripts and styles.
+    """
+    page = F.regexp_replace(without_raw_text(F.col(column)), _STAND_INS, "")
+    df = df.withColumn(column, _converted(page))
+    gap, ends = f"[ \\t\n{_BLANK}]*", rf"[^{_LINK}{_LABEL}{_LINK_END}]"
     steps = [
-        (r"(?is)<h([1-6])\b[^>]*>\s*(.*?)\s*</h\1\s*>", f"\n\n{_HEAD}$1 $2\n\n"),
-        (r"(?i)<br\s*/?>", _BREAK),
-        (r"(?i)<hr\b[^>]*>", "\n\n---\n\n"),
-        (r"(?is)<(b|strong)\b[^>]*>\s*(.*?)\s*</\1\s*>", "**$2**"),
-        (r"(?is)<(i|em)\b[^>]*>\s*(.*?)\s*</\1\s*>", "*$2*"),
-        (r"(?is)<code\b[^>]*>(.*?)</code\s*>", "`$1`"),
-        (r"(?is)<img\b(?=[^>]*\bsrc=\"([^\"]*)\")(?=[^>]*\balt=\"([^\"]*)\")[^>]*>", "![$2]($1)"),
-        (r"(?is)<a\b[^>]*?\bhref=\"([^\"]+)\"[^>]*>\s*\1\s*</a\s*>", f"{_LESS}$1{_MORE}"),
-        (r"(?is)<a\b[^>]*?\bhref=\"([^\"]*)\"[^>]*>\s*(.*?)\s*</a\s*>", "[$2]($1)"),
-        (r"(?is)<a\b[^>]*?\bhref='([^']*)'[^>]*>\s*(.*?)\s*</a\s*>", "[$2]($1)"),
-        (r"(?i)<li\b[^>]*>\s*", "\n- "),
-        (r"(?i)</t[dh]\s*>\s*", " | "),
-        (r"(?i)<tr\b[^>]*>\s*", "\n| "),
-        (r"(?i)<blockquote\b[^>]*>\s*", "\n\n> "),
-        (r"(?i)</?(?:p|blockquote|table|h[1-6])\b[^>]*>", "\n\n"),
-        (r"(?i)</?(?:div|article|section|main|ul|ol|dl|dt|dd|figure|aside|form|tbody|thead)\b[^>]*>", "\n"),
-        (r"<[/!?a-zA-Z][^>]*>", ""),
-        (r"[ \t]*\n[ \t]*", "\n"),
-        (rf"{_BREAK}[ \t]*", "  \n"),
+        *((f"{a}{gap}([^{a}{z}]+?){gap}{z}", f"{_SIGNS[a]}$1{_SIGNS[z]}") for _, a, z in _INLINE),
+        ("[\ue030-\ue035]", ""),
+        (f"{_LINK}({ends}*+){_LABEL}{gap}\\1{gap}{_LINK_END}", "<$1>"),
+        (f"{_LINK}({ends}*+){_LABEL}{gap}({ends}+?){gap}{_LINK_END}", "[$2]($1)"),
+        (f"{_LINK}{ends}*+{_LABEL}|{_LINK_END}", ""),
+        (f"([{_LEVELS}]){gap}([^{_LEVELS}{_HEAD_END}]+?){gap}{_HEAD_END}", f"{_START}$1$2"),
+        (f"(?<!{_START})[{_LEVELS}]|{_HEAD_END}", ""),
+        (f"{_TRIM}[ \\t\n{_BLANK}{_QUOTE}]*", ""),
+        (f"[ \\t\n{_BLANK}{_END}]*{_ITEM}", "\n"),
+        (f"[{_START}{_END}]", ""),
+        (f"[ \\t{_BLANK}{_QUOTE}]*\n[ \\t]*", "\n"),
+        (f"((?:\n|{_BREAK})[{_BLANK}{_QUOTE}]*)[ \\t]+", "$1"),
     ]
     out = F.col(column)
     for pattern, into in steps:
         out = F.regexp_replace(out, pattern, into)
-    for level in range(1, 7):
-        out = F.replace(out, F.lit(f"{_HEAD}{level}"), F.lit("#" * level))
-    df = df.withColumn(column, _protected_whitespace(F.col(column)))
-    df = df.withColumn(column, code_blocks(F.col(column)))
+    for level, sign in enumerate(_LEVELS, 1):
+        out = F.replace(out, F.lit(sign), F.lit("#" * level + " "))
+    out = F.replace(out, F.lit(_BREAK), F.lit("  \n"))
     df = unescaped(df.withColumn(column, out), column)
-    return df.withColumn(
-        column, F.translate(F.col(column), _LESS + _MORE + _LINE + _BLANK, "<>\n ")
-    )
+    return df.withColumn(column, F.translate(F.col(column), _LINE + _BLANK + _QUOTE, "\n >"))
 
 
 def prettified_anchor(anchor: Column) -> Column:
@@ -301,11 +467,7 @@ def wikilink_for(link: Column) -> Column:
 
 def wikilinked(markdown: Column) -> Column:
     """Rewrite every markdown link of a text."""
-    between = F.split(markdown, MARKDOWN_LINK, -1)
-    links = F.transform(matches(markdown, MARKDOWN_LINK), wikilink_for)
-    return F.array_join(
-        F.transform(between, lambda p, i: F.concat(p, F.coalesce(F.get(links, i), F.lit("")))), ""
-    )
+    return _woven(F.split(markdown, MARKDOWN_LINK, -1), F.transform(matches(markdown, MARKDOWN_LINK), wikilink_for))
 
 
 def tidied(markdown: Column) -> Column:

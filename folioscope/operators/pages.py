@@ -37,15 +37,40 @@ def frontmatter(title: Column, tag_list: Column, source: Column, created: Column
     )
 
 
+# Text that YAML would read as something else: words for true, false and null, numbers, dates, merge keys.
+_OTHER_TYPES = (
+    r"(?i)(?:y|n|yes|no|true|false|on|off|null|~|=|<<|[-+]?(?:0b[01_]+|0x[0-9a-f_]+|[0-9][0-9_]*(?::[0-5]?[0-9])*)"
+    r"|[-+]?(?:[0-9][0-9_]*)?\.[0-9_]*(?:e[-+]?[0-9]+)?|[-+]?\.inf|\.nan|[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}.*)"
+)
+# Indicators at the front, a colon or a number sign that starts a key or a comment, blanks at the ends.
+_INDICATED = r"(?s)\A[,\[\]{}#&*!|>'\"%@`].*|\A[-?:](?:\s.*)?|.*:(?:\s.*)?|.*\s#.*|\s.*|.*\s|"
+
+
+def yaml_scalar(value: Column) -> Column:
+    """A text as YAML reads it back: plain where that is safe, else quoted; null is ``null``."""
+    escaped = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for char, sign in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\x85", "\\N"), ("\u2028", "\\L"), ("\u2029", "\\P")):
+        escaped = F.replace(escaped, F.lit(char), F.lit(sign))
+    # Other control characters have no place in a YAML file, not even escaped by name.
+    escaped = F.regexp_replace(escaped, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
+    single = F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("''")), F.lit("'"))
+    return (
+        F.when(value.isNull(), "null")
+        .when(value.rlike(r"[\x00-\x1f\x7f\x{85}\x{2028}\x{2029}]"), F.concat(F.lit('"'), escaped, F.lit('"')))
+        .when(value.rlike(f"\\A(?:{_OTHER_TYPES})\\z") | value.rlike(rf"\A(?:{_INDICATED})\z"), single)
+        .otherwise(value)
+    )
+
+
 def note_header(title: Column, tag_list: Column, created: Column, source: Column | None = None) -> Column:
-    """YAML header of a note, keys in alphabetical order."""
+    """YAML header of a note, keys in alphabetical order, values quoted where YAML calls for it."""
     items = F.when(
         F.size(tag_list) > 0,
-        F.concat(F.lit("\ntags:\n"), F.array_join(F.transform(tag_list, lambda t: F.concat(F.lit("- "), t)), "\n")),
+        F.concat(F.lit("\ntags:\n"), F.array_join(F.transform(tag_list, lambda t: F.concat(F.lit("- "), yaml_scalar(t))), "\n")),
     ).otherwise(F.lit("\ntags: []"))
-    origin = F.lit("") if source is None else F.concat(F.lit("\nsource: "), source)
+    origin = F.lit("") if source is None else F.concat(F.lit("\nsource: "), yaml_scalar(source))
     return F.concat(
-        F.lit("---\ncreated: '"), created, F.lit("'"), origin, items, F.lit("\ntitle: "), title, F.lit("\n---\n")
+        F.lit("---\ncreated: '"), created, F.lit("'"), origin, items, F.lit("\ntitle: "), yaml_scalar(title), F.lit("\n---\n")
     )
 
 
@@ -68,7 +93,7 @@ def conversion_errors(pages: DataFrame) -> DataFrame:
 def convert(pages: DataFrame, wikilinks: bool = True, tag_prefix: str = "code/") -> DataFrame:
     """Notes: path, folder, title, tags, content with frontmatter. No shuffle, one pass."""
     work = convertible(pages).where(F.col("html").isNotNull()).withColumn("body", F.col("html"))
-    work = html.to_markdown(html.cleaned(work.drop("html"), "body"), "body")
+    work = html.to_markdown(work.drop("html"), "body")
     if wikilinks:
         work = work.withColumn("body", html.wikilinked(F.col("body")))
     work = work.withColumn("body", html.tidied(F.col("body")))

@@ -1,5 +1,7 @@
 """Literal cases of the text, path and page functions."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,3 +220,107 @@ def test_note_header_and_backup_name(spark):
 def test_character_references(spark, written, read):
     df = spark.createDataFrame([(written,)], "v string")
     assert html.unescaped(df, "v").first()[0] == read
+
+
+@pytest.mark.parametrize(
+    ("value", "written"),
+    [
+        ("My Note", "My Note"), ("it's: here", "'it''s: here'"), ("a # b", "'a # b'"), ("a#b", "a#b"), ("- x", "'- x'"),
+        ("-x", "-x"), ("true", "'true'"), ("12", "'12'"), ("1.5e3", "'1.5e3'"), ("2024-01-02", "'2024-01-02'"), ("", "''"),
+        ("[x]", "'[x]'"), ("tail:", "'tail:'"), ("a:b", "a:b"), (" pad", "' pad'"), ('two\nlines "q" \\', '"two\\nlines \\"q\\" \\\\"'),
+        (None, "null"), ("@x", "'@x'"), ("No", "'No'"), ("Note 12", "Note 12"),
+    ],
+)
+def test_yaml_scalars(spark, value, written):
+    df = spark.createDataFrame([(value,)], "v string")
+    assert df.select(P.yaml_scalar(C)).first()[0] == written
+
+
+# Pages and the markdown they stand for, both written by hand.
+PAGES_BY_HAND = {
+    "nested and numbered lists": (
+        "<p>Intro</p><ol><li>one<li>two<ul><li>deep<ul><li>deeper</li></ul></li><li>deep 2</li></ul></li></ol>"
+        "<p>After</p><ol start=9><li>nine</li><li>ten<ol><li>x</li></ol></li></ol>",
+        "Intro\n\n1. one\n2. two\n   - deep\n     - deeper\n   - deep 2\n\nAfter\n\n9. nine\n10. ten\n    1. x",
+    ),
+    "paragraphs in a list": (
+        "<ul><li><p>a</p><p>b</p></li><li></li><li>c</ul>d",
+        "- a\n\n  b\n-\n- c\n\nd",
+    ),
+    "table with open cells": (
+        "t<table><thead><tr><th>A</th><th>B</th></tr></thead><tbody><tr><td>1<td><p>x</p><p>y</p><tr><td>2<td>3</table>end",
+        "t\n\n| A | B |\n| --- | --- |\n| 1 |  x  y  |\n| 2 | 3 |\n\nend",
+    ),
+    "images": (
+        "<img src=a.png> <img src='b.png' alt='B b'/> <img alt=c src=\"c.png\"><img alt=none>",
+        "![](a.png) ![B b](b.png) ![c](c.png)",
+    ),
+    "links": (
+        "<a href=x.html>X</a> <a href='y.html'>Y</a> <a title=\"a>b\" href=\"z.html\"> <b>Z</b> </a> "
+        "<a href=http://q>http://q</a> <a>no</a> <a href=e.html></a>.<a href=open.html>open",
+        "[X](x.html) [Y](y.html) [**Z**](z.html) <http://q> no .open",
+    ),
+    "classes on any element": (
+        "<main class=search>gone</main><dl><dt>k<dd class='headerlink'>gone</dd><dd>v</dd></dl><code class=headerlink>gone</code>"
+        "<span class='x sphinxsidebar y'>a<span>b</span>c</span><p class=\"reference external\">gone<p>kept</p>"
+        "<img class=download src=a.png><pre class=search>gone</pre>",
+        "k\n\nv\n\nkept",
+    ),
+    "dropped elements end with what holds them": ("<div><nav><ul><li>gone</div>kept<footer>gone", "kept"),
+    "code": (
+        "<pre class=z><code class=\"language-python\">def f():\n    <b>return</b> 1 &lt; 2\n</code></pre>"
+        "<pre>raw  text\n  x</pre>say <code>x_y</code>",
+        # The rules that tidy a note take blank lines after a fence and before a dash.
+        "```python\ndef f():\n    return 1 < 2\n\n```\n```\nraw  text\n  x\n```\nsay `x_y`",
+    ),
+    "quotes": (
+        "<blockquote><p>a</p><p>b</p><blockquote>c</blockquote></blockquote><p>d</p>",
+        "> a\n\n> b\n\n> > c\n\nd",
+    ),
+    "marks": (
+        "<b> bold </b> <i>it<b>bi</b></i> <b>open <em>e</em></i> </b></b><b>never<h2> Head <a class=headerlink href=#h>¶</a></h2>"
+        "x<br>y<hr>z<h3>open",
+        "**bold** *it**bi*** **open *e***never\n\n## Head\n\nx  \ny\n---\n\nz\n\nopen",
+    ),
+    "no tags": ("1 < 2 <3 <!-- c --><script>x</script>&lt;p&gt; \ue003", "1 < 2 <3 <p>"),
+}
+
+
+def markdown_of(spark, pages):
+    df = html.to_markdown(spark.createDataFrame(list(enumerate(pages)), "k int, v string"), "v")
+    return [r.v for r in df.withColumn("v", html.tidied(C)).orderBy("k").collect()]
+
+
+def test_pages_by_hand(spark):
+    bodies = [f"<html><head><title>t</title></head><body>{page}</body></html>" for page, _ in PAGES_BY_HAND.values()]
+    got = dict(zip(PAGES_BY_HAND, markdown_of(spark, bodies), strict=True))
+    assert got == {name: want for name, (_, want) in PAGES_BY_HAND.items()}
+
+
+def test_what_part_of_a_page_counts(spark):
+    main = "<body>a<div role='main'><h1>M</h1><div>in</div></div><div role=main>second</div>b</body>"
+    deep = "<div>" * 3000 + "x" + "</div>" * 3000
+    assert markdown_of(spark, [main, "<title>t</title>text", "", "<body>body<div>x</div></body>after", deep]) == ["# M\n\nin", "ttext", "", "body\nx", "x"]
+
+
+def seconds_for(spark, page, steps):
+    df = steps(spark.createDataFrame([(page,)], "v string"))
+    start = time.perf_counter()
+    df.selectExpr("length(v)").collect()
+    return time.perf_counter() - start
+
+
+@pytest.mark.parametrize(
+    ("unit", "steps"),
+    [
+        ("<p>text <b>x</b> &amp; <a href=a.html>l</a></p><ul><li>a<li>b</ul>", lambda df: html.to_markdown(df, "v")),
+        ("&eacute; &#65; &amp; ", lambda df: html.unescaped(df, "v")),
+        ("text [label](page.html#a.b) ", lambda df: df.withColumn("v", html.wikilinked(C))),
+    ],
+)
+def test_time_doubles_with_the_page(spark, unit, steps):
+    page = unit * 10_000
+    seconds_for(spark, page, steps)
+    once = min(seconds_for(spark, page, steps) for _ in range(2))
+    assert min(seconds_for(spark, page * 2, steps) for _ in range(2)) < 2.5 * once + 0.3
+    assert once < 10

@@ -96,6 +96,33 @@ def page_notes(spark, sf):
     )
 
 
+# Pages of every construct, around a page's number and a digest of its address, and by hand what they
+# stand for.
+VIEWS["construct_pages"] = """
+SELECT page_id, host, concat('<body><div><nav><ul><li>gone</div><div role=main><h2>Page ', page_id, '</h2><ol start=3><li>', host, '<ul><li>a ',
+  page_id, '</li></ul><li>b</ol><table><tr><th>k<th>v<tr><td>', page_id, '<td><b>', host, '</b></table><img src=', page_id,
+  '.png><dl><dd class="headerlink">gone</dd></dl><a href=x_', page_id, '.html#a.b-c>go</a><pre><code class="language-python">x  = ', page_id,
+  '</code></pre></div><p>', host, '</p></body>') AS html
+FROM (SELECT page_id, substr(md5(url), 1, 8) AS host FROM pages) t
+"""
+
+
+@query(
+    "page_constructs",
+    """
+SELECT page_id, array_to_string([
+  '## Page ' || page_id, '', '3. ' || host, '   - a ' || page_id, '4. b', '', '| k | v |', '| --- | --- |',
+  '| ' || page_id || ' | **' || host || '** |', '', '![](' || page_id || '.png)', '', '[[x_' || page_id || '#b c|go]]', '',
+  '```python', 'x  = ' || page_id, '```'], chr(10)) AS markdown
+FROM construct_pages
+""",
+)
+def page_constructs(spark, sf):
+    pages = render_spark(spark, sf, "construct_pages").select("page_id", F.col("html").alias("markdown"))
+    pages = html.to_markdown(pages, "markdown").withColumn("markdown", html.wikilinked(F.col("markdown")))
+    return pages.withColumn("markdown", html.tidied(F.col("markdown")))
+
+
 @query(
     "page_frontmatter",
     f"""
