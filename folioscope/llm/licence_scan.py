@@ -1,12 +1,15 @@
 """Licence notices in texts: a trained paragraph classifier, confirmed against templates.
 
-Paragraphs are lines with a word. A multinomial logistic regression on hashed word n-grams
-names a licence family or the unknown class; its temperature is calibrated on examples it was
-not fitted on. A family counts only if the paragraph is also close to one of its templates.
+A paragraph is what stands between lines without a word, so a notice may be wrapped. Of a paragraph
+the stretches are classified that share neighbouring words with any template; no other can be
+confirmed. A multinomial logistic regression on hashed word n-grams names a licence family or the
+unknown class; its temperature is calibrated on examples it was not fitted on. A family counts only
+if, of all templates, the stretch is closest to one of that family's.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -20,11 +23,18 @@ from folioscope.llm.registry import query
 from folioscope.llm.shared import sample_ids, table
 from folioscope.llm.vectext import LOWER, chained, mixed, raw, slices, word_hashes, words
 
-#: Documents whose lines teach the unknown class, and lines of each, at most.
-BACKGROUND_DOCS, BACKGROUND_LINES = 400, 8
+#: Documents whose lines teach the unknown class, stretches of each, and words of a stretch, at most.
+BACKGROUND_DOCS, BACKGROUND_LINES, BACKGROUND_WORDS = 400, 8, 60
 CELLS = 1 << 14
 #: Least calibrated chance of a family, and least similarity to one of its templates.
 SURE_FROM, ALIKE_FROM = 0.5, 0.5
+#: Likeness from which the closest template decides, whatever family was predicted.
+CERTAIN_FROM = 0.9
+#: Words without a template's neighbours that may lie inside a loose and a close stretch, and words of
+#: a longer one that are classified together.
+GAP, CLOSE, WINDOW = 10, 2, 80
+#: A notice that has less than this of its template is dropped beside a better one.
+WHOLE_FROM = 0.6
 UNKNOWN = "unknown"
 
 # Notices by which licence families are named and granted.
@@ -188,6 +198,12 @@ def _examples() -> tuple[list[str], list[str]]:
                 extra = around[turn % len(around)][: turn % 3 * 2]
                 texts.append(" ".join([*kept, *extra] if turn % 2 else [*extra, *kept]))
                 names.append(family)
+            # Inside a longer line: prose on both sides of the notice or of a half of it.
+            for turn in range(6):
+                before, after = around[turn], around[(turn + 3) % len(around)]
+                part = own if turn % 3 or len(own) < 12 else own[: len(own) // 2] if turn else own[len(own) // 2 :]
+                texts.append(" ".join([*before[-6:], *part, *after[:6]]))
+                names.append(family)
     for turn in range(24):
         for text in LOOKALIKES:
             own = text.split()
@@ -196,25 +212,58 @@ def _examples() -> tuple[list[str], list[str]]:
     return texts, names
 
 
+def _background(text: str) -> Iterator[str]:
+    """Stretches of lines from across a text that share less than half of any notice's words."""
+    known = [set(_words(t)) for ts in TEMPLATES.values() for t in ts]
+    own = [v for v in text.split("\n") if v.strip()]
+    for line in own[:: -(-len(own) // BACKGROUND_LINES) or 1]:
+        w = line.split()
+        at = zlib.crc32(line.encode()) % max(1, len(w) - BACKGROUND_WORDS + 1)
+        part = " ".join(w[at : at + BACKGROUND_WORDS])
+        held = set(_words(part))
+        if held and max(len(held & n) / len(n) for n in known) < 0.5:
+            yield part
+
+
 def fit(docs: DataFrame) -> Model:
-    """Fit on variants of the templates and, as unknown, on lines of a bounded sample of ``docs``.
+    """Fit on variants of the templates and, as unknown, on stretches of a bounded sample of ``docs``.
 
-    Sampled lines that share half of a notice's words are not used. Works without any rows.
+    The stretches are cut where their texts are; one task trains on them, and the driver gets the
+    weights. Works without any rows.
     """
     ids = sample_ids(docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct(), "doc_id", BACKGROUND_DOCS)
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text").dropna().collect()
-    notices = [set(_words(t)) for ts in TEMPLATES.values() for t in ts]
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text").dropna()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(_background(text), pa.string())], ["part"])
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _trained(sorted(p for batch in batches for p in batch.column("part").to_pylist()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x], pa.binary()) for x in (model.weights.tobytes(), model.bias.tobytes())] + [pa.array([model.sharpness])],
+            ["weights", "bias", "sharpness"],
+        )
+
+    found = (
+        sample.mapInArrow(cut, "part string")
+        .repartition(1)
+        .mapInArrow(train, "weights binary, bias binary, sharpness double")
+        .first()
+    )
+    if found is None:
+        return _trained([])
+    families = [*TEMPLATES, UNKNOWN]
+    weights = np.frombuffer(found.weights, np.float32).reshape(-1, len(families))
+    return Model(families, weights, np.frombuffer(found.bias, np.float64), found.sharpness)
+
+
+def _trained(background: list[str]) -> Model:
     texts, names = _examples()
-    for r in sorted(r.text for r in sample):
-        own = [v for v in r.split("\n") if v.strip()]
-        for line in own[:: max(1, len(own) // BACKGROUND_LINES)]:
-            held = set(_words(line))
-            if held and max(len(held & n) / len(n) for n in notices) < 0.5:
-                texts.append(line)
-                names.append(UNKNOWN)
+    names += [UNKNOWN] * len(background)
     families = [*TEMPLATES, UNKNOWN]
-    texts = [t.replace("\n", " ") for t in texts]
-    _, found = lines(pa.array(texts, pa.string()))
+    _, found = lines(pa.array([t.replace("\n", " ") for t in [*texts, *background]], pa.string()))
     rows = _rows(found)
     y = np.zeros((len(rows), len(families)))
     for row, of in enumerate(found.text):
@@ -264,39 +313,188 @@ def _templates() -> list[_Template]:
     return out
 
 
-#: A line of fewer words than this is measured against as many of a template's.
-FRAGMENT = 8
+#: A stretch of fewer words than this is measured against as many of a template's.
+FRAGMENT = 12
 
 
-def _likeness(line: str, t: _Template) -> float:
-    """Share of the words and neighbouring words of a template that the line has, evenly weighed.
+def _likeness(own: list[str], t: _Template) -> float:
+    """Share of the words and neighbouring words of a template that a stretch has, evenly weighed.
 
-    A line shorter than the template is taken as a fragment of it, and measured by its own length.
+    A stretch shorter than the template is taken as a fragment of it, and measured by its own length.
     """
-    w = _words(line)
-    own, pairs = set(w), set(zip(w, w[1:], strict=False))
+    held, pairs = set(own), set(zip(own, own[1:], strict=False))
     share = lambda a, b: len(a & b) / max(1, min(len(a), max(FRAGMENT, len(b))))
-    return 0.5 * share(t.words, own) + 0.5 * share(t.pairs, pairs)
+    return 0.5 * share(t.words, held) + 0.5 * share(t.pairs, pairs)
+
+
+class _Paragraphs(NamedTuple):
+    """Words of a slice's texts: byte bounds, hashes, text and line of each; pairs inside paragraphs."""
+
+    plain: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    h: np.ndarray
+    text: np.ndarray
+    line: np.ndarray
+    pairs: np.ndarray
+    #: The first word of each pair, and the paragraph that each word is of.
+    at: np.ndarray
+    paragraph: np.ndarray
+
+
+def _paragraphs(data: np.ndarray, bounds: np.ndarray) -> _Paragraphs:
+    plain = _PLAIN[data]
+    w = words(plain, bounds)
+    h = word_hashes(plain, w.start, w.end)
+    line = np.concatenate(([0], np.cumsum(data == 0x0A)))[w.start] if len(h) else np.zeros(0, np.int64)
+    opens = np.ones(len(h), bool)
+    opens[1:] = (np.diff(line) > 1) | (np.diff(w.text) > 0)
+    first = np.append(np.flatnonzero(opens), len(h))
+    pairs, at = chained(h, 2, first) if len(h) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return _Paragraphs(plain, w.start, w.end, h, w.text, line, pairs, at, np.cumsum(opens) - 1)
+
+
+def _template_pairs() -> np.ndarray:
+    """Hashes of all neighbouring words of templates, in order."""
+    joined = [t.encode() for ts in TEMPLATES.values() for t in ts]
+    data = np.frombuffer(b"\n\n".join(joined), np.uint8)
+    return np.unique(_paragraphs(data, np.array([0, len(data)])).pairs)
+
+
+def _stretches(p: _Paragraphs, known: np.ndarray) -> np.ndarray:
+    """Rows (first, end) of words that may be a notice: runs of template neighbours with small gaps.
+
+    Each run counts as a whole, or in overlapping windows if it is long. Its parts without gaps, and
+    those on one line, count by themselves too: prose may stand around a notice, or another notice.
+    """
+    place = np.minimum(np.searchsorted(known, p.pairs), len(known) - 1)
+    hit = p.at[known[place] == p.pairs]
+    if not len(hit):
+        return np.zeros((0, 2), np.int64)
+    out = []
+    for column, gap in ((p.paragraph, GAP), (p.paragraph, CLOSE), (p.line, CLOSE)):
+        cut = np.flatnonzero((np.diff(hit) > gap) | (np.diff(column[hit]) > 0) | (np.diff(p.paragraph[hit]) > 0))
+        first, last = np.concatenate(([0], cut + 1)), np.concatenate((cut, [len(hit) - 1]))
+        some = last > first
+        out.append(np.stack((hit[first[some]], hit[last[some]] + 2), axis=1))
+    found = np.concatenate(out)
+    size = found[:, 1] - found[:, 0]
+    windows = [
+        (at, min(at + WINDOW, end))
+        for first, end in found[size > WINDOW].tolist()
+        for at in range(first, end - WINDOW // 2, WINDOW // 2)
+    ]
+    return np.unique(np.concatenate((found[size <= WINDOW], np.array(windows, np.int64).reshape(-1, 2))), axis=0)
+
+
+def _ranges(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges one after the other, and where each range begins."""
+    size = end - first
+    begins = np.cumsum(size) - size
+    return np.arange(size.sum()) + np.repeat(first - begins, size), begins
+
+
+def _classified(p: _Paragraphs, spans: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The most likely family of each stretch, and its calibrated chance."""
+    cell = np.uint64(CELLS)
+    family, chance = np.zeros(len(spans), np.int64), np.zeros(len(spans))
+    for begin in range(0, len(spans), 4096):
+        part = spans[begin : begin + 4096]
+        at, first = _ranges(part[:, 0], part[:, 1])
+        z = np.add.reduceat(model.weights[(p.h[at] % cell).astype(np.int64)], first, axis=0).astype(np.float64)
+        low, high = np.searchsorted(p.at, part[:, 0]), np.searchsorted(p.at, part[:, 1] - 1)
+        at, first = _ranges(low, high)
+        z += np.add.reduceat(model.weights[(mixed(p.pairs[at]) % cell + cell).astype(np.int64)], first, axis=0)
+        grams = part[:, 1] - part[:, 0] + high - low
+        chances = _softmax(model.sharpness * (z * grams[:, None] ** -0.5 + model.bias))
+        family[begin : begin + 4096] = chances.argmax(axis=1)
+        chance[begin : begin + 4096] = chances.max(axis=1)
+    return family, chance
+
+
+class _Notice(NamedTuple):
+    weight: float
+    first: int
+    end: int
+    family: str
+    chance: float
+    likeness: float
+    template: str
+    whole: bool
+
+
+def _confirmed(p: _Paragraphs, first: int, end: int, family: str, chance: float, templates: list[_Template]) -> _Notice | None:
+    own = [p.plain[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(p.start[first:end], p.end[first:end], strict=True)]
+    like, _, best = max(((_likeness(own, t), t.family == family, t) for t in templates), key=lambda x: (x[0], x[1], x[2].text))
+    if like < ALIKE_FROM or (best.family != family and like < CERTAIN_FROM):
+        return None
+    shared = [i for i, pair in enumerate(zip(own, own[1:], strict=False)) if pair in best.pairs]
+    if not shared:
+        return None
+    distinct = len({(own[i], own[i + 1]) for i in shared})
+    return _Notice(like * distinct, first + shared[0], first + shared[-1] + 2, best.family, chance, like, best.text, distinct >= WHOLE_FROM * len(best.pairs))
 
 
 FIELDS = "doc_id long, line int, start long, end long, family string, chance double, likeness double, template string"
 
 
+def _found(part: pa.RecordBatch, model: Model, templates: list[_Template], known: np.ndarray) -> Iterator[tuple[int, tuple]]:
+    """(row, notice) for each confirmed notice of a slice, in the order of the texts."""
+    data, bounds = raw(part.column("text"))
+    p = _paragraphs(data, bounds)
+    spans = _stretches(p, known)
+    if not len(spans):
+        return
+    family, chance = _classified(p, spans, model)
+    named = np.flatnonzero((family != model.families.index(UNKNOWN)) & (chance >= SURE_FROM))
+    notices_ = [
+        _confirmed(p, int(spans[i, 0]), int(spans[i, 1]), model.families[family[i]], float(chance[i]), templates) for i in named
+    ]
+    # Of notices that overlap, that with most of a template counts; a fragment beside it does not.
+    taken: list[_Notice] = []
+    used = np.full(len(p.h), -1)
+    for n in sorted((n for n in notices_ if n), key=lambda n: (-n.weight, n.first, n.end)):
+        reach = 0 if n.whole else GAP
+        if not (used[max(0, n.first - reach) : n.end + reach] == p.paragraph[n.first]).any():
+            used[n.first : n.end] = p.paragraph[n.first]
+            taken.append(n)
+    newlines = np.concatenate(([0], np.cumsum(data == 0x0A)))
+    held: _Notice | None = None
+    joined: list[_Notice] = []
+    for n in sorted(taken, key=lambda n: n.first):
+        near = held is not None and n.family == held.family and n.first - held.end <= GAP
+        if near and p.paragraph[n.first] == p.paragraph[held.first]:
+            joined[-1] = held = max(held, n)._replace(first=held.first, end=n.end)
+        else:
+            joined.append(held := n)
+    ids = part.column("doc_id").to_pylist()
+    for n in joined:
+        row = int(p.text[n.first])
+        at, stop = int(bounds[row]), int(bounds[row + 1])
+        start, end = int(p.start[n.first]), int(p.end[n.end - 1])
+        # Marks that touch the last word belong to the notice.
+        while end < stop and data[end] > 0x20:
+            end += 1
+        line = int(newlines[start] - newlines[at])
+        yield row, (ids[row], line, start - at, end - at, n.family, n.chance, n.likeness, n.template)
+
+
 def notices(docs: DataFrame, model: Model) -> DataFrame:
-    """One row for each line of (doc_id, text) that holds a confirmed licence notice.
+    """One row for each confirmed licence notice in (doc_id, text).
 
-    Columns: doc_id, line (from 0), start and end (bytes in the UTF-8 text), family, chance
-    (calibrated), likeness to the closest template of the family, and that template. Null and
-    empty texts have no lines. Texts are read whole; repeated rows give their notices each
-    time; other columns are not read. Nothing is shuffled.
+    Columns: doc_id, line (of its first word, from 0), start and end (bytes in the UTF-8 text),
+    family, chance (calibrated), likeness to the closest template, and that template. Notices of
+    one family that follow one another in a paragraph are one. Null and empty texts have none.
+    Texts are read whole; repeated rows give their notices each time; a null doc_id stays null;
+    other columns are not read. Nothing is shuffled.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, templates = held.value, _templates()
+        templates, known = _templates(), _template_pairs()
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = list(_found(part, now, templates))
+                rows = [r for _, r in _found(part, held.value, templates, known)]
                 names = [f.split(" ")[0] for f in FIELDS.split(", ")]
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names)
@@ -304,50 +502,36 @@ def notices(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FIELDS)
 
 
-def _found(part: pa.RecordBatch, model: Model, templates: list[_Template]) -> Iterator[tuple]:
-    _, bounds = raw(part.column("text"))
-    data, found = lines(part.column("text"))
-    if not len(found.text):
-        return
-    cell = np.uint64(CELLS)
-    one = (found.words % cell).astype(np.int64)
-    two = (mixed(found.pairs) % cell + cell).astype(np.int64)
-    chance = np.zeros(len(found.text))
-    family = np.zeros(len(found.text), np.int64)
-    step = 20_000
-    for begin in range(0, len(found.text), step):
-        end = min(begin + step, len(found.text))
-        a, b = found.first_word[begin], found.first_word[end]
-        c, d = found.first_pair[begin], found.first_pair[end]
-        z = np.add.reduceat(model.weights[one[a:b]], found.first_word[begin:end] - a, axis=0).astype(np.float64)
-        sizes = np.diff(found.first_word[begin : end + 1]) + np.diff(found.first_pair[begin : end + 1])
-        if d > c:
-            total = np.concatenate((np.zeros((1, z.shape[1])), np.cumsum(model.weights[two[c:d]], axis=0, dtype=np.float64)))
-            z += total[found.first_pair[begin + 1 : end + 1] - c] - total[found.first_pair[begin:end] - c]
-        p = _softmax(model.sharpness * (z * sizes[:, None] ** -0.5 + model.bias))
-        family[begin:end] = p.argmax(axis=1)
-        chance[begin:end] = p.max(axis=1)
-    ids = part.column("doc_id").to_pylist()
-    named = (family != model.families.index(UNKNOWN)) & (chance >= SURE_FROM)
-    for i in np.flatnonzero(named):
-        line = data[found.start[i] : found.end[i]].tobytes().decode("utf-8", "replace")
-        name = model.families[family[i]]
-        like, text = max((_likeness(line, t), t.text) for t in templates if t.family == name)
-        if like >= ALIKE_FROM:
-            at = bounds[found.text[i]]
-            yield (
-                ids[found.text[i]], int(found.number[i]), int(found.start[i] - at),
-                int(found.start[i] - at + len(line.rstrip("\n").encode())), name, float(chance[i]), like, text,
-            )
+def licences(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, n_notices, families) for every row of (doc_id, text): families in order, joined by blanks.
+
+    Rows as in ``notices``; a row without any has 0 and an empty text. Nothing is shuffled.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        templates, known = _templates(), _template_pairs()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                own: list[list[str]] = [[] for _ in range(part.num_rows)]
+                for row, notice in _found(part, held.value, templates, known):
+                    own[row].append(notice[4])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id"),
+                        pa.array([len(x) for x in own], pa.int64()),
+                        pa.array([" ".join(sorted(set(x))) for x in own], pa.string()),
+                    ],
+                    ["doc_id", "n_notices", "families"],
+                )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        run, "doc_id long, n_notices long, families string"
+    )
 
 
 @query("op7_licence_scan")
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document: n_notices, and its families in alphabetical order, joined by blanks."""
     docs = table(spark, sf_dir, "documents")
-    found = notices(docs, fit(docs)).groupBy("doc_id").agg(
-        F.count("*").alias("n_notices"), F.array_join(F.sort_array(F.collect_set("family")), " ").alias("families")
-    )
-    return docs.select("doc_id").join(found, "doc_id", "left").select(
-        "doc_id", F.coalesce("n_notices", F.lit(0)).alias("n_notices"), F.coalesce("families", F.lit("")).alias("families")
-    )
+    return licences(docs, fit(docs))
