@@ -89,21 +89,24 @@ def points(docs: DataFrame, dimensions: dict[str, Column], count: int) -> tuple[
           for c, kind in rows.select(raw).dtypes for n, f in (("low", F.min), ("high", F.max))),
     ).first()
     target = max(1, -(-(bounds["total"] or 0) // count))
+    values = [f"value{i}" for i in range(len(raw))]
+    placed = rows.select(
+        "doc_id", "size", "text_crc32", "said", "part", "at",
+        *(_placed(rows, c, bounds[f"low_{c}"], bounds[f"high_{c}"]).alias(v) for c, v in zip(raw, values, strict=True)),
+    )
     copies = (
-        rows.groupBy("said")
-        .agg(F.count(F.lit(1)).alias("copies"), F.sum("size").alias("bytes"), *(F.min(c).alias(f"group_{c}") for c in raw))
+        placed.groupBy("said")
+        .agg(F.count(F.lit(1)).alias("copies"), F.sum("size").alias("bytes"), *(F.min(v).alias(f"group_{v}") for v in values))
         .where("copies > 1")
     )
-    joined = lookup_join(rows, copies, "said", "left", staged=True)
-    for c in raw:
-        joined = joined.withColumn(c, F.when(F.col("copies").isNull(), F.col(c)).otherwise(F.col(f"group_{c}")))
+    joined = lookup_join(placed, copies, "said", "left", staged=True)
     parts = F.ceil(F.coalesce("bytes", F.lit(0)) * GROUP_PART / target)
     part = F.when(parts > 1, F.pmod(F.xxhash64("at"), F.least(parts, F.lit(1 << PART_BITS)))).otherwise(0)
     tie = F.shiftrightunsigned(F.xxhash64("said"), 64 - TIE_BITS)
     low = F.shiftleft(tie, PART_BITS) + part
     places = [
-        (F.shiftleft(_placed(rows, c, bounds[f"low_{c}"], bounds[f"high_{c}"]), TIE_BITS + PART_BITS) + low).alias(f"place{i}")
-        for i, c in enumerate(raw)
+        (F.shiftleft(F.coalesce(f"group_{v}", v), TIE_BITS + PART_BITS) + low).alias(f"place{i}")
+        for i, v in enumerate(values)
     ]
     return stage(joined.select("doc_id", "size", "text_crc32", "part", "at", *places), "points"), target
 
