@@ -22,8 +22,10 @@ from folioscope.llm.shared import table
 from folioscope.llm.vectext import slices
 from folioscope.staging import stage
 
-#: Stretches of text whose ids a task remembers, and characters of the longest of them.
-REMEMBERED, LONG_STRETCH = 800_000, 64
+#: Bytes of ids and text that a task remembers, about, and characters of the longest stretch of them.
+REMEMBERED_BYTES, LONG_STRETCH = 24 << 20, 64
+#: What a remembered stretch takes besides its characters and ids.
+ENTRY_BYTES = 180
 
 _MARKS = string.punctuation
 _STRETCH = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
@@ -43,29 +45,44 @@ class _Known(dict):
 
     Punctuation at the end of a stretch, behind a letter, is split off by the tokenizer whatever
     follows, and so is a line break in front; so a word is encoded once with and without them.
-    A word of letters, with a blank in front or not, is merged as it is.
+    A word of letters, with a blank in front or not, is merged as it is. Half of what is remembered
+    is the stretches met last; when they fill their half, those before them are forgotten.
     """
 
     def __init__(self, model):
         self._model, self._merges = model, model.model
         self._added = [t.content for t in model.get_added_tokens_decoder().values()]
         self._signs = _byte_signs()
+        self._before: dict[str, bytes] = {}
+        self._size = 0
+
+    def forget(self) -> None:
+        self.clear()
+        self._before, self._size = {}, 0
 
     def __missing__(self, stretch: str) -> bytes:
-        word = stretch.rstrip(_MARKS)
-        if word != stretch and word[-1:].isalpha() and not any(t in stretch for t in self._added):
-            ids = self[word] + self[stretch[len(word) :]]
-        elif stretch[:1] == "\n" and stretch[1:].isalpha():
-            ids = self["\n"] + self[stretch[1:]]
-        elif stretch.removeprefix(" ").isalpha():
-            signs = stretch.encode().decode("latin-1").translate(self._signs)
-            ids = array("I", [t.id for t in self._merges.tokenize(signs)]).tobytes()
-        else:
-            ids = array("I", self._model.encode(stretch, add_special_tokens=False).ids).tobytes()
+        ids = self._before.get(stretch)
+        if ids is None:
+            ids = self._encoded(stretch)
         if len(stretch) <= LONG_STRETCH:
             self[stretch] = ids
+            self._size += ENTRY_BYTES + len(stretch) + len(ids)
+            if 2 * self._size > REMEMBERED_BYTES:
+                self._before, self._size = dict(self), 0
+                self.clear()
         return ids
 
+    def _encoded(self, stretch: str) -> bytes:
+        word = stretch.rstrip(_MARKS)
+        if word != stretch and word[-1:].isalpha() and not any(t in stretch for t in self._added):
+            return self[word] + self[stretch[len(word) :]]
+        if stretch[:1] == "\n" and stretch[1:].isalpha():
+            return self["\n"] + self[stretch[1:]]
+        if stretch.removeprefix(" ").isalpha():
+            signs = stretch.encode().decode("latin-1").translate(self._signs)
+            return array("I", [t.id for t in self._merges.tokenize(signs)]).tobytes()
+        return array("I", self._model.encode(stretch, add_special_tokens=False).ids).tobytes()
+
 
 class Encoder:
     """Ids of texts by a byte-level BPE tokenizer, as 32-bit words of the machine, little-endian.
@@ -85,15 +102,17 @@ class Encoder:
             raise ValueError("the tokenizer does not split texts like a byte-level BPE")
 
     def encode(self, text: str) -> bytes:
-        if len(self._known) > REMEMBERED:
-            self._known.clear()
         parts = [text] if not text.isascii() and _ODD_SPACE.search(text) else _STRETCH.findall(text)
         return b"".join(map(self._known.__getitem__, parts))
 
+    def forget(self) -> None:
+        """Give up what was remembered; a worker process outlives its task."""
+        self._known.forget()
+
 
 @lru_cache(maxsize=1)
 def loaded(path: str) -> Encoder:
-    """The encoder of a tokenizer, kept by the process with what it has remembered."""
+    """The encoder of a tokenizer, kept by the process."""
     return Encoder(path)
 
 
@@ -194,23 +213,26 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, room: int) -> DataF
         task = TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         ranks = np.zeros(room + 1, np.int64)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                rows = []
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    ids = encoder.encode(text or "") + end
-                    total = len(ids) // 4
-                    head = (total - 1) % room + 1
-                    for piece, start in enumerate([0, *range(head, total, room)]):
-                        n = head if piece == 0 else room
-                        crc = zlib.crc32(ids[4 * start : 4 * (start + n)])
-                        rows.append((doc, piece, start, n, crc, task, int(ranks[n])))
-                        ranks[n] += 1
-                names = [f.split(" ")[0] for f in PIECES.split(", ")]
-                kinds = [pa.int32() if c == "piece" else pa.int64() for c in names]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names
-                )
+        try:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    rows = []
+                    for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                        ids = encoder.encode(text or "") + end
+                        total = len(ids) // 4
+                        head = (total - 1) % room + 1
+                        for piece, start in enumerate([0, *range(head, total, room)]):
+                            n = head if piece == 0 else room
+                            crc = zlib.crc32(ids[4 * start : 4 * (start + n)])
+                            rows.append((doc, piece, start, n, crc, task, int(ranks[n])))
+                            ranks[n] += 1
+                    names = [f.split(" ")[0] for f in PIECES.split(", ")]
+                    kinds = [pa.int32() if c == "piece" else pa.int64() for c in names]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names
+                    )
+        finally:
+            encoder.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
