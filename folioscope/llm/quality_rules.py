@@ -25,6 +25,9 @@ KEEP_FROM = 0.5
 #: Fixed rules: fewest words, and largest share in percent of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 
+#: Bytes of text that a task holds as numbers at a time, if no text is longer.
+SLICE = 1 << 20
+
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 _PRIME, _PRIME2 = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
@@ -45,16 +48,23 @@ class Grams(NamedTuple):
 
 
 def _char_grams(data: np.ndarray, bounds: np.ndarray) -> Grams:
-    wide = data.astype(np.uint64)
-    n = len(wide) - 2
+    n = len(data) - 2
     if n <= 0:
         return Grams(np.zeros(0, np.int32), np.zeros(len(bounds), np.int64))
-    h = mixed((wide[:n] * _PRIME + wide[1 : n + 1]) * _PRIME + wide[2 : n + 2])
+    cells = np.empty(n, np.int32)
+    # Hashes are eight times as long as the text, so a long one is gone through in windows.
+    for begin in range(0, n, SLICE):
+        wide = data[begin : begin + SLICE + 2].astype(np.uint64)
+        h = wide[:-2] * _PRIME
+        h += wide[1:-1]
+        h *= _PRIME
+        h += wide[2:]
+        cells[begin : begin + SLICE] = mixed(h) % np.uint64(CELLS)
     inside = np.ones(n, bool)
     for cut in bounds[1:-1]:
         inside[max(0, cut - 2) : min(cut, n)] = False
-    at = np.flatnonzero(inside)
-    return Grams((h[at] % np.uint64(CELLS)).astype(np.int32), np.searchsorted(at, bounds))
+    first = np.concatenate(([0], np.cumsum(inside)))[np.minimum(bounds, n)]
+    return Grams(cells[inside], first)
 
 
 def grams(data: np.ndarray, bounds: np.ndarray) -> tuple[list[Grams], np.ndarray]:
@@ -93,7 +103,7 @@ def fit(sample: DataFrame) -> Model:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 kinds, _ = grams(*raw(part.column("text")))
                 rows = _rows(kinds)
                 yield pa.RecordBatch.from_arrays(
@@ -216,14 +226,14 @@ def judge(docs: DataFrame, model: Model) -> DataFrame:
 
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     kept, score. A null text is empty: all counts 0, base_failed true, kept false. Repeated
-    rows give a row each; other columns are not read. Nothing is shuffled; a task holds 4 MB of
+    rows give a row each; other columns are not read. Nothing is shuffled; a task holds 1 MB of
     text, or one longer text, at a time.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 yield judged(part, held.value)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FIELDS)
@@ -235,7 +245,7 @@ def kept_only(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 yield part.filter(judged(part, held.value).column("kept"))
 
     return docs.mapInArrow(run, docs.schema)
