@@ -33,8 +33,11 @@ ROUNDS = 7
 FREQUENT = 1 << 16
 #: Words of up to so many bytes have a class of their own hash, longer ones of their ending.
 SHORT_WORD, ENDING = 5, 3
-#: Tokens whose states are computed at once.
-TOKENS_AT_ONCE = 1 << 18
+#: Tokens whose states are computed at once, and bytes of classes that are sorted by length for that. A
+#: step costs the same for few texts as for many, so the more texts of a length there are, the better.
+TOKENS_AT_ONCE, SORTED_AT_ONCE = 1 << 18, 32 << 20
+#: Cells of word counts to each power of two, by which the frequent words are told apart.
+COUNT_CELLS = 64
 #: Hash that stands for the end token.
 END = np.uint64(0x5E17D0C5E17D0C11)
 
@@ -117,7 +120,15 @@ def summarised(counted: DataFrame) -> Counts:
     class_total, class_distinct = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
     for r in counted.groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("k")).collect():
         class_total[r.cls], class_distinct[r.cls] = r.n, r.k
-    rows = counted.orderBy(F.desc("c"), "token").limit(FREQUENT).select("token", "c").toArrow()
+    # A threshold that at most FREQUENT words pass, from numbers of words by size of their counts.
+    cell = F.floor(F.log2("c") * COUNT_CELLS)
+    least, passed = None, 0
+    for r in sorted(counted.groupBy(cell.alias("cell")).agg(F.count("*").alias("k")).collect(), reverse=True):
+        passed += r.k
+        if passed > FREQUENT:
+            break
+        least = r.cell
+    rows = counted.where(F.lit(False) if least is None else cell >= least).select("token", "c").toArrow()
     token = rows.column("token").to_numpy().view(np.uint64)
     order = np.argsort(token)
     return Counts(
@@ -304,10 +315,10 @@ def baum_welch(sequences: DataFrame, counts: Counts, states: int = STATES) -> Hm
             now = held.value
             start, step, emit = np.zeros(states), np.zeros((states, states)), np.zeros((CLASSES, states))
             for batch in batches:
-                for part in slices(batch, "classes"):
+                for part in slices(batch, "classes", SORTED_AT_ONCE):
                     cls = [np.frombuffer(x, "<u2") for x in part.column("classes").to_pylist()]
                     bounds = np.concatenate(([0], np.cumsum([len(c) for c in cls])))
-                    got = expected(now, np.concatenate(cls).astype(np.int64), bounds)
+                    got = expected(now, np.concatenate(cls), bounds)
                     start, step, emit = start + got.start, step + got.step, emit + got.emit
             seen = np.flatnonzero(emit.any(axis=1))
             if len(seen):
@@ -391,10 +402,10 @@ def _likelihoods(prepared: DataFrame, model: Hmm, counts: Counts) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, div = held.value
         for batch in batches:
-            for part in slices(batch, "classes"):
+            for part in slices(batch, "classes", SORTED_AT_ONCE):
                 cls = [np.frombuffer(x, "<u2") for x in part.column("classes").to_pylist()]
                 bounds = np.concatenate(([0], np.cumsum([len(c) for c in cls]))).astype(np.int64)
-                flat = np.concatenate(cls).astype(np.int64)
+                flat = np.concatenate(cls)
                 value = forward(now, flat, bounds) / math.log(10) - sums(div[flat], bounds)
                 kept = ["row", "doc_id", "held_out", "n_tokens", "known", "logs"]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(value)], [*kept, "chain"])
