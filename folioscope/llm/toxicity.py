@@ -25,6 +25,7 @@ from folioscope.llm.logistic import newton, sigmoid
 from folioscope.llm.registry import query
 from folioscope.llm.shared import fold, labelled_texts, table
 from folioscope.llm.transducers import ANY, Transducer
+from folioscope.staging import stage
 from folioscope.llm.vectext import slices
 
 #: Labelled rows that stems and weights are learned from, at most.
@@ -267,7 +268,8 @@ def fit(sample: DataFrame) -> Model:
 
     Without both labels, the fixed insults and the weights before learning are all there is.
     """
-    sample = sample.select("text", "label")
+    # Several passes follow; they read these rows and not the table that they come from.
+    sample = stage(sample.select("text", "label"), "toxicity-sample")
     totals = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sum(n for k, n in totals.items() if k), totals.get(0, 0)
     fixed = {w: PRIOR for w in INSULTS}
