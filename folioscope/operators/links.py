@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import paths, text
 from folioscope.operators.graph import connected_components
-from folioscope.operators.joins import lookup_join, one_row
+from folioscope.operators.joins import TASK_ROWS, lookup_join, one_row
 from folioscope.staging import stage
 
 # Stems that may stay without inbound links.
@@ -455,17 +455,15 @@ def wikilink_candidates(notes: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def _substrings(df: DataFrame, keep: str, lengths: Column) -> DataFrame:
-    """(keep, part): every distinct substring of ``low`` that has one of the lengths."""
-    n = F.col("_n")
-    cut = F.transform(
-        F.sequence(F.lit(1), F.length("low") - n + 1), lambda i: F.substring(F.col("low"), i, n)
-    )
-    return (
-        df.select(keep, "low", F.explode(lengths).alias("_n"))
-        .where(n <= F.length("low"))
-        .select(keep, F.explode(F.array_distinct(cut)).alias("part"))
-    )
+#: Characters of the grams by which names and targets find each other.
+GRAM = 3
+
+
+def _grams(df: DataFrame, column: str, size: int = GRAM) -> DataFrame:
+    """The columns and ``gram``: every distinct stretch of ``size`` characters of a column."""
+    starts = F.sequence(F.lit(1), F.length(column) - (size - 1))
+    cut = F.transform(starts, lambda i: F.substring(F.col(column), i, F.lit(size)))
+    return df.where(F.length(column) >= size).select("*", F.explode(F.array_distinct(cut)).alias("gram"))
 
 
 def _first_names(df: DataFrame, by: str, limit: int) -> DataFrame:
@@ -473,36 +471,63 @@ def _first_names(df: DataFrame, by: str, limit: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def containment(patterns: DataFrame, texts: DataFrame) -> DataFrame:
+    """All (pattern, text) in which a text contains a pattern of more than ``GRAM`` characters.
+
+    An inverted index lists the texts of each gram that occurs in a pattern. A pattern needs all its
+    grams, so it looks at the list of its rarest one only, and drops out if one has no list; what
+    it finds there is compared in full. A list of over a million texts is dealt to one salt for each
+    million, and the patterns that ask for it are repeated as often.
+    """
+    own = stage(_grams(patterns.select("pattern").distinct().where(F.length("pattern") > GRAM), "pattern"), "pattern-grams")
+    index = stage(_grams(texts.select("text").distinct(), "text").join(own.select("gram").distinct(), "gram", "left_semi"), "gram-index")
+    lists = stage(index.groupBy("gram").agg(F.count(F.lit(1)).alias("texts")), "gram-lists")
+    rarest = (
+        lookup_join(own, lists, "gram", "left", staged=True)
+        .groupBy("pattern")
+        .agg(F.min(F.struct("texts", "gram")).alias("rarest"), F.bool_and(F.col("texts").isNotNull()).alias("listed"))
+        .where("listed")
+    )
+    salts = F.ceil(F.col("texts") / TASK_ROWS).cast("int")
+    asked = rarest.select(
+        "pattern", "rarest.gram", F.explode(F.sequence(F.lit(0), F.ceil(F.col("rarest.texts") / TASK_ROWS).cast("int") - 1)).alias("salt")
+    )
+    # Each of these lists has a million rows of the index, which bounds how many there are.
+    long = lists.where(F.col("texts") > TASK_ROWS).select("gram", salts.alias("salts"))
+    dealt = index.join(F.broadcast(long), "gram", "left").select(
+        "gram", "text", F.pmod(F.xxhash64("text"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt")
+    )
+    return asked.join(dealt, ["gram", "salt"]).where(F.contains("text", "pattern")).select("pattern", "text")
+
+
 def link_suggestions(
     dead_targets: DataFrame, nodes: DataFrame, limit: int = 3
 ) -> DataFrame:
     """First ``limit`` names, in name order, that contain or are contained in a dead target.
 
-    Containment becomes two equi-joins on substrings. Only substring lengths that occur on the
-    other side are cut; the set of lengths is at most as long as the longest name. On the name
-    side the top rows per substring are kept before the shuffle, so a substring shared by a
-    third of all names stays small.
+    Long targets find names, and long names find targets, through an index of grams. A target or
+    name of at most ``GRAM`` characters is a gram itself, so an equi-join on grams of its length
+    does; on the name side only the first names of each gram are shuffled, so that a gram which a
+    third of all names share stays small.
     """
-    targets = dead_targets.select("target").distinct().withColumn("low", F.lower("target"))
-    names = existing_nodes(nodes).select("name", F.lower("name").alias("low")).distinct()
-
-    def lengths(df: DataFrame) -> Column:
-        return df.agg(F.array_sort(F.collect_set(F.length("low")))).scalar()
-
-    cut_names = _substrings(names, "name", lengths(targets))
-    wanted = targets.select(F.col("low").alias("part")).distinct()
-    # Semi-join first: rows of no target's text are dropped before any of them is sorted.
-    tops = _first_names(cut_names.join(wanted, "part", "left_semi"), "part", limit)
-    containing = targets.join(
-        tops.select("name", F.col("part").alias("low")), "low"
-    ).select("target", "name")
-
-    cut_targets = _substrings(targets, "target", lengths(names)).withColumnRenamed("part", "low")
-    contained = cut_targets.join(names, "low").select("target", "name")
-
-    return _first_names(containing.union(contained).distinct(), "target", limit).select(
-        "target", "rank", "name"
-    )
+    targets = stage(dead_targets.select("target").distinct().withColumn("low", F.lower("target")), "targets")
+    names = stage(existing_nodes(nodes).select("name", F.lower("name").alias("low")).distinct(), "names")
+    low_targets, low_names = targets.select("low").distinct(), names.select("low").distinct()
+    found = containment(
+        low_targets.withColumnRenamed("low", "pattern"), low_names.withColumnRenamed("low", "text")
+    ).join(names.withColumnRenamed("low", "text"), "text").select(F.col("pattern").alias("low"), "name")
+    inside = containment(
+        low_names.withColumnRenamed("low", "pattern"), low_targets.withColumnRenamed("low", "text")
+    ).join(names.withColumnRenamed("low", "pattern"), "pattern").select(F.col("text").alias("low"), "name")
+    for size in range(1, GRAM + 1):
+        of_size = F.length("low") == size
+        wanted = low_targets.where(of_size).withColumnRenamed("low", "gram")
+        first = _first_names(_grams(names, "low", size).join(wanted, "gram", "left_semi"), "gram", limit)
+        found = found.unionByName(first.select(F.col("gram").alias("low"), "name"))
+        short = names.where(of_size).select("name", F.col("low").alias("gram"))
+        inside = inside.unionByName(_grams(low_targets, "low", size).join(short, "gram").select("low", "name"))
+    either = found.unionByName(inside).distinct().join(targets, "low")
+    return _first_names(either, "target", limit).select("target", "rank", "name")
 
 
 def suggestion_text(dead_targets: DataFrame, suggestions: DataFrame) -> DataFrame:

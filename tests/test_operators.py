@@ -241,6 +241,20 @@ def test_suggestions_against_brute_force(spark, seed):
     assert rows(got) == sorted(want)
 
 
+@pytest.mark.parametrize("task_rows", [2, 1_000_000])
+def test_containment_finds_all_pairs(spark, monkeypatch, task_rows):
+    monkeypatch.setattr(L, "TASK_ROWS", task_rows)
+    rng = random.Random(2)
+    word = lambda n: "common" * rng.randrange(2) + "".join(rng.choice("abcé") for _ in range(n))
+    texts = sorted({word(rng.randrange(0, 12)) for _ in range(120)} | {"common", "", "ab"})
+    patterns = sorted({word(rng.randrange(2, 6)) for _ in range(60)} | {t[1:6] for t in texts} | {"nowhere", "abc"})
+    got = L.containment(
+        spark.createDataFrame([(p,) for p in patterns], "pattern string"), spark.createDataFrame([(t,) for t in texts], "text string")
+    )
+    want = sorted((p, t) for p in patterns for t in texts if len(p) > L.GRAM and p in t)
+    assert rows(got) == want and len(want) > 100
+
+
 def test_scores_over_present_parts(spark):
     df = spark.createDataFrame([(80.0, None, 50.0), (None, None, None)], "completeness double, quality double, links double")
     got = [r.overall for r in Q.overall_score(df).collect()]
