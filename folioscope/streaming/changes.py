@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from folioscope.functions import paths
 from folioscope.operators.state import changed_files, diff_snapshots
+from folioscope.streaming.ledger import Ledger
 
 EVENT_TYPES = ["modified", "created", "deleted"]
 log = logging.getLogger(__name__)
@@ -73,15 +74,28 @@ def notify_changes(
     **trigger,
 ) -> StreamingQuery:
     """Confirm every debounced batch and hand it to the callbacks; one failing callback does
-    not keep the others from running."""
+    not keep the others from running.
+
+    A batch that comes again after a restart passes by the callbacks that it has reached. The entry
+    is made once a callback has returned: one that is cut off half-way is called again, with the
+    same batch number, which lets it write to a place of that name. Callbacks are known by their
+    place in the list, so a restarted stream must be given the same list.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        ledger = Ledger(batch.sparkSession, checkpoint)
+        ledger.forget_before(batch_id - 1)
+        waiting = [(f"callback-{i}", c) for i, c in enumerate(callbacks) if not ledger.reached(batch_id, f"callback-{i}")]
+        if not waiting:
+            return
         confirmed = confirmed_changes(batch, current(), state())
-        for callback in callbacks:
+        for name, callback in waiting:
             try:
                 callback(confirmed, batch_id)
             except Exception:
                 log.exception("callback failed for batch %s", batch_id)
+            else:
+                ledger.enter(batch_id, name)
 
     return (
         changes.writeStream.foreachBatch(handle)

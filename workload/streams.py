@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import inventory as I
 from folioscope.operators import oplog as O
-from folioscope.staging import staging_root
+from folioscope.staging import stage, staging_root
 from folioscope.streaming import changes as C
+from folioscope.streaming import metrics as M
 from folioscope.streaming.operations import OUTPUT, track_operations
 from workload.fixtures import ORACLE_VIEWS, VIEWS, render_spark
 from workload.registry import query
@@ -130,6 +131,99 @@ def operation_rejections_stream(spark, sf):
     return rows.where("outcome <> 'accepted'").select("name", "seq", "outcome")
 
 
+# Files that the events name, as they are and as the build state knows them: of fifty, some are new,
+# some gone, some changed.
+VIEWS["watched_files"] = """
+SELECT DISTINCT path, CAST(regexp_extract(path, 'f([0-9]+)', 1) AS INT) AS n, TIMESTAMP '2024-01-01 00:00:00' AS mtime FROM file_events
+"""
+VIEWS["watched_now"] = "SELECT path, CAST(n + n % 2 AS BIGINT) AS size, mtime, 'h' AS hash FROM watched_files WHERE n % 7 <> 0"
+VIEWS["watched_before"] = "SELECT path, CAST(n AS BIGINT) AS size, mtime, 'h' AS hash FROM watched_files WHERE n % 5 <> 0"
+
+
+@query(
+    "changes_notified_once",
+    """
+SELECT DISTINCT (e.event_id % 3)::BIGINT AS batch, w.path, CASE WHEN n % 7 = 0 THEN 'deleted' WHEN n % 5 = 0 THEN 'new' ELSE 'modified' END AS change
+FROM scoped_events e JOIN watched_files w ON w.path = e.path
+WHERE (n % 7 = 0 AND n % 5 <> 0) OR (n % 7 <> 0 AND (n % 5 = 0 OR n % 2 = 1))
+""",
+)
+def changes_notified_once(spark, sf):
+    """The stream is stopped and started again between batches; the second batch loses its commit
+    and comes again, but reaches the callback, which appends what it is told, only once."""
+    events = _scoped(render_spark(spark, sf, "file_events").withColumn("ts", F.col("ts").cast("timestamp")))
+    base = f"{staging_root(spark)}/folioscope/notified-{uuid.uuid4().hex}"
+
+    def run(part: int) -> None:
+        events.where(F.col("event_id") % 3 == part).write.mode("append").parquet(f"{base}/in")
+        C.notify_changes(
+            spark.readStream.schema(events.schema).parquet(f"{base}/in"),
+            lambda: render_spark(spark, sf, "watched_now"),
+            lambda: render_spark(spark, sf, "watched_before"),
+            [lambda df, batch: df.withColumn("batch", F.lit(batch).cast("long")).write.mode("append").parquet(f"{base}/out")],
+            f"{base}/checkpoint",
+            availableNow=True,
+        ).awaitTermination()
+
+    run(0)
+    run(1)
+    commit = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/checkpoint/commits/1")
+    commit.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(commit, False)
+    run(2)
+    return spark.read.schema("path string, change string, batch long").parquet(f"{base}/out")
+
+
+SCOPE_SQL = """
+SELECT 'read' AS stage, 'rows' AS metric, count(*) AS value FROM file_events
+UNION ALL SELECT 'read', 'hot', count(*) FILTER (project = 'p0') FROM file_events
+UNION ALL SELECT 'scope', 'rows', count(*) FROM scoped_events
+UNION ALL SELECT 'scope', 'last_event', max(event_id) FROM scoped_events
+"""
+
+
+@query("stage_metrics", SCOPE_SQL)
+def stage_metrics(spark, sf):
+    """Counts of each stage of the intake, observed while its result is written."""
+    metrics = M.StageMetrics()
+    events = metrics.watch(
+        render_spark(spark, sf, "file_events"), "read", hot=F.sum((F.col("project") == "p0").cast("int"))
+    )
+    stage(metrics.watch(_scoped(events), "scope", last_event=F.max("event_id")), "watched-intake")
+    return metrics.rows(spark)
+
+
+@query(
+    "watch_counters",
+    """
+SELECT (event_id % 3)::BIGINT AS batch, 'source' AS stage, 'rows' AS metric, count(*) AS value FROM file_events GROUP BY 1
+UNION ALL SELECT (event_id % 3)::BIGINT, 'scope', 'rows', count(*) FROM scoped_events GROUP BY 1
+UNION ALL SELECT (event_id % 3)::BIGINT, 'scope', 'last_event', max(event_id) FROM scoped_events GROUP BY 1
+""",
+)
+def watch_counters(spark, sf):
+    """What a stream's progress says of each of three batches."""
+    events = render_spark(spark, sf, "file_events").withColumn("ts", F.col("ts").cast("timestamp"))
+    base = f"{staging_root(spark)}/folioscope/watched-{uuid.uuid4().hex}"
+    log = M.ProgressLog()
+    spark.streams.addListener(log)
+    try:
+        for part in range(3):
+            events.where(F.col("event_id") % 3 == part).write.mode("append").parquet(f"{base}/in")
+            scoped = M.watch_stream(
+                _scoped(spark.readStream.schema(events.schema).parquet(f"{base}/in")), "scope", last_event=F.max("event_id")
+            )
+            running = (
+                scoped.writeStream.format("parquet").queryName("intake").option("path", f"{base}/out")
+                .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+            )
+            running.awaitTermination()
+        # Reports reach listeners a little after the batch that they are of.
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(log)
+    return log.rows(spark).where("query = 'intake'").select("batch", "stage", "metric", "value")
+
+
 VIEWS["source_files"] = '''
 SELECT p_partkey AS k, 'pkg_' || CAST(p_size AS STRING) || '/mod_' || CAST(p_partkey AS STRING) || '.py' AS path,
   CASE WHEN p_partkey % 41 = 7 THEN 'def broken(:' || chr(10) ELSE
