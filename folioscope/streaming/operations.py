@@ -1,67 +1,184 @@
-"""Latest operation state as a stream, keyed by operation name."""
+"""Operation state as a stream, keyed by operation name, whatever order its events come in."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STATE = (
     "status string, current long, total long, message string, parent string, start_us long, "
     "end_us long, elapsed double, remaining double"
 )
+EVENT = "seq long, us long, status string, current long, increment long, total long, message string, parent string"
 OUTPUT = (
     "name string, seq long, outcome string, status string, current long, total long, message string, "
     "parent string, elapsed double, estimated_remaining double"
 )
+_EVENT_COLUMNS = [c.split()[0] for c in EVENT.split(", ")]
+_OUTPUT_COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
 
 
-def track_operations(op_log: DataFrame) -> DataFrame:
-    """One row per event with the state after it.
+class State(NamedTuple):
+    status: str
+    current: int
+    total: int
+    message: str | None
+    parent: str | None
+    start_us: int
+    end_us: int | None
+    elapsed: float
+    remaining: float | None
 
-    ``outcome`` is ``accepted``; a second start of a name gives ``already exists`` and an event
-    of an unknown name ``not found``, and neither changes the state. State is one small row per
-    operation. Events of a name are applied in ``seq`` order within a micro-batch.
+
+def _value(x):
+    return None if pd.isna(x) else x
+
+
+def _rows(events: pd.DataFrame) -> list[tuple]:
+    """Rows as the state store takes them: whole numbers, which pandas turns into floats beside nulls."""
+    texts = ("status", "message", "parent")
+    columns = [[None if pd.isna(v) else v if c in texts else int(v) for v in events[c]] for c in _EVENT_COLUMNS]
+    return list(zip(*columns, strict=True))
+
+
+def applied(now: State | None, events: pd.DataFrame) -> tuple[pd.DataFrame, State | None]:
+    """One row per event, in the order of seq, with the state after it; and the last state.
+
+    Columns are computed as wholes: what an event leaves behind is the last value set before it.
+    """
+    e = events.astype({"seq": "int64", "us": "int64"}).sort_values("seq", kind="stable").reset_index(drop=True)
+    with pd.option_context("future.no_silent_downcasting", True):
+        return _applied(now, e)
+
+
+def _applied(now: State | None, e: pd.DataFrame) -> tuple[pd.DataFrame, State | None]:
+    begins = (e.status == "start").to_numpy()
+    first = -1 if now else int(begins.argmax()) if begins.any() else len(e)
+    exists = np.arange(len(e)) > first
+    outcome = np.where(begins & exists, "already exists", np.where(~begins & ~exists, "not found", "accepted"))
+    out = pd.DataFrame({"seq": e.seq, "outcome": outcome})
+    if first == len(e):
+        return out.reindex(columns=_OUTPUT_COLUMNS[1:]), None
+    if now is None:
+        s = e.iloc[first]
+        total = _value(s.total)
+        now = State("running", 0, int(total or 0), _value(s.message), _value(s.parent), int(s.us), None, 0.0, None)
+    a = e[(outcome == "accepted") & ~begins]
+    update, cancel = a.status == "update", a.status == "cancelled"
+    ended = a.status.isin(["completed", "failed"])
+    stops = ended | cancel
+    # Only the first event that ends an operation can cancel it.
+    counts = ended | (cancel & (stops.cumsum() == 1) & (now.status == "running"))
+    fills = (a.status == "completed") & ((a.status == "completed").cumsum() == 1) & (now.total == 0)
+    sets = a.current.where(update).astype("float64").mask(fills, 1.0)
+    adds = a.increment.where(update & a.current.isna()).astype("float64").fillna(0.0)
+    current = sets.ffill().fillna(now.current) + adds.groupby(sets.notna().cumsum()).cumsum()
+    total = pd.Series(float(now.total), index=a.index).where(fills.cumsum() == 0, 1.0)
+    touched = update | counts
+    elapsed = ((a.us - now.start_us) / 1e6).where(touched).ffill().fillna(now.elapsed)
+    rated = update & (total > 0) & (current > 0) & (elapsed > 0)
+    rate = (current / elapsed).where(rated)
+    left = ((total - current) / rate).ffill()
+    after = pd.DataFrame(
+        {
+            "status": a.status.where(counts).ffill().fillna(now.status),
+            "current": current,
+            "total": total,
+            "message": a.message.where(touched).ffill().fillna(now.message) if now.message is not None else a.message.where(touched).ffill(),
+            "elapsed": elapsed,
+            "estimated_remaining": left if now.remaining is None else left.fillna(now.remaining),
+        },
+        index=a.index,
+    )
+    out = out.join(after)
+    if outcome[first] == "accepted" and first >= 0:
+        for column, value in zip(after.columns, (now.status, now.current, now.total, now.message, 0.0, None), strict=True):
+            out.loc[first, column] = value
+    out["parent"] = pd.Series(np.where(outcome == "accepted", now.parent, None), index=out.index, dtype=object)
+    if len(after):
+        z = after.iloc[-1]
+        end = a.us.where(counts).ffill().iloc[-1]
+        now = State(
+            z.status, int(z.current), int(z.total), _value(z.message), now.parent, now.start_us,
+            now.end_us if pd.isna(end) else int(end), float(z.elapsed), _value(z.estimated_remaining),
+        )
+    return out[_OUTPUT_COLUMNS[1:]], now
+
+
+class OperationStates(StatefulProcessor):
+    """Holds events until the watermark has passed them, then applies them in the order of seq.
+
+    Events that wait are a list beside the state, added to as they come; a timer at the last of
+    them releases what is due. Finished operations are forgotten ``keep_ms`` after their end.
     """
 
-    def apply(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        now = list(state.get) if state.exists else None
-        for batch in [pd.concat(list(batches), ignore_index=True).sort_values("seq")]:
-            out = []
-            for e in batch.itertuples(index=False):
-                given = {f: (None if pd.isna(v) else v) for f, v in e._asdict().items()}
-                at, what = given["ts"].value // 1000, given["status"]
-                if (what == "start") == (now is not None):
-                    outcome = "already exists" if what == "start" else "not found"
-                    out.append((key[0], given["seq"], outcome, *[None] * 7))
-                    continue
-                if what == "start":
-                    now = ["running", 0, int(given["total"] or 0), given["message"], given["parent"], at, None, 0.0, None]
-                elif what == "update":
-                    if given["current"] is not None:
-                        now[1] = int(given["current"])
-                    elif given["increment"] is not None:
-                        now[1] += int(given["increment"])
-                    now[3] = given["message"] if given["message"] is not None else now[3]
-                    now[7] = (at - now[5]) / 1e6
-                    if now[2] > 0 and now[1] > 0 and now[7] > 0:
-                        now[8] = (now[2] - now[1]) / (now[1] / now[7])
-                elif what != "cancelled" or now[0] == "running":
-                    now[0], now[6], now[7] = what, at, (at - now[5]) / 1e6
-                    now[3] = given["message"] if given["message"] is not None else now[3]
-                    if what == "completed" and now[2] == 0:
-                        now[1] = now[2] = 1
-                out.append((key[0], given["seq"], "accepted", *now[:5], now[7], now[8]))
+    def __init__(self, keep_ms: int | None):
+        self._keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._state = handle.getValueState("operation", STATE)
+        self._waiting = handle.getListState("waiting", EVENT)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            self._waiting.appendList(_rows(batch))
+            self._handle.registerTimer(int(batch.us.max()) // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        events = pd.DataFrame(list(self._waiting.get()), columns=_EVENT_COLUMNS)
+        due = events.us < passed * 1000
+        state = self._state.get() if self._state.exists() else None
+        now = None if state is None else State(*state)
+        if due.any():
+            if due.all():
+                self._waiting.clear()
+            else:
+                self._waiting.put(_rows(events[~due]))
+            out, now = applied(now, events[due])
             if now is not None:
-                state.update(tuple(now))
-            names = [c.split()[0] for c in OUTPUT.split(", ")]
-            frame = pd.DataFrame(out, columns=names)
-            yield frame.astype({"seq": "int64", "current": "Int64", "total": "Int64"})
-
-    columns = ["name", "seq", "ts", "status", "current", "increment", "total", "message", "parent"]
-    return (
-        op_log.select(*columns)
-        .groupBy("name")
-        .applyInPandasWithState(apply, OUTPUT, STATE, "append", "NoTimeout")
+                self._state.update(tuple(now))
+            out.insert(0, "name", key[0])
+            kinds = {"seq": "int64", "current": "Int64", "total": "Int64", "elapsed": "float64", "estimated_remaining": "float64"}
+            yield out.astype(kinds)
+        if self._keep_ms is not None and now is not None and now.end_us is not None:
+            forgotten = now.end_us // 1000 + self._keep_ms
+            if forgotten < passed:
+                self._state.clear()
+            else:
+                self._handle.registerTimer(forgotten + 1)
+
+    def close(self) -> None:
+        pass
+
+
+def use_state_store(spark: SparkSession) -> None:
+    """Streams that are started from now on keep their state in RocksDB, which timers need."""
+    provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+
+
+def track_operations(op_log: DataFrame, delay: str = "10 seconds", keep_ms: int | None = None) -> DataFrame:
+    """One row per event with the state after it, once the watermark has passed the event.
+
+    ``outcome`` is ``accepted``; a second start of a name gives ``already exists`` and an event
+    of an unknown name ``not found``, and neither changes the state. Events up to ``delay`` late
+    are put in their place; what comes later is dropped. An operation whose events have ended is
+    one small row; with ``keep_ms`` it goes that long after its end, and its name may start anew.
+    Needs ``use_state_store``.
+    """
+    events = op_log.withWatermark("ts", delay).select(
+        "name", "ts", F.col("seq").cast("long").alias("seq"), F.unix_micros("ts").alias("us"), "status",
+        *(F.col(c).cast("long").alias(c) for c in ("current", "increment", "total")), "message", "parent",
+    )
+    return events.groupBy("name").transformWithStateInPandas(
+        OperationStates(keep_ms), OUTPUT, outputMode="append", timeMode="EventTime"
     )

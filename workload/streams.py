@@ -12,7 +12,7 @@ from folioscope.operators import oplog as O
 from folioscope.staging import stage, staging_root
 from folioscope.streaming import changes as C
 from folioscope.streaming import metrics as M
-from folioscope.streaming.operations import OUTPUT, track_operations
+from folioscope.streaming.operations import OUTPUT, track_operations, use_state_store
 from workload.fixtures import ORACLE_VIEWS, VIEWS, render_spark
 from workload.registry import query
 
@@ -96,6 +96,28 @@ def debounced_changes_stream(spark, sf):
     return rows.select("project", F.unix_micros("session_start").alias("session_us"), "path")
 
 
+def _replayed_operations(spark, sf) -> DataFrame:
+    """The operation log as a stream whose parts come in the wrong order, the last part first.
+
+    The delay spans the log, so no event is too late; an event of no operation, after all others,
+    lets the watermark pass them.
+    """
+    log = render_spark(spark, sf, "op_log").withColumn("ts", F.col("ts").cast("timestamp"))
+    first, last = log.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    span = (last - first) // 1_000_000 + 60
+    after = F.timestamp_micros(F.lit(last + (span + 60) * 1_000_000))
+    columns = [c for c in log.columns if c not in ("name", "seq", "ts", "status")]
+    empty = [F.lit(None).cast(log.schema[c].dataType).alias(c) for c in columns]
+    closing = spark.range(1).select(F.lit("").alias("name"), F.col("id").alias("seq"), after.alias("ts"), F.lit("end of replay").alias("status"), *empty)
+    folder = f"{staging_root(spark)}/folioscope/replay-{uuid.uuid4().hex}"
+    for part in (2, 0, 1):
+        log.where(F.pmod(F.floor(F.col("seq") / 50), F.lit(3)) == part).repartition(4).write.mode("append").parquet(folder)
+    closing.select(*log.columns).repartition(1).write.mode("append").parquet(folder)
+    use_state_store(spark)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 4).parquet(folder)
+    return _drain(track_operations(stream, f"{span} seconds"), OUTPUT).where("name <> ''")
+
+
 @query(
     "operation_state_stream",
     """
@@ -104,8 +126,7 @@ FROM op_state s
 """,
 )
 def operation_state_stream(spark, sf):
-    log = render_spark(spark, sf, "op_log").withColumn("ts", F.col("ts").cast("timestamp"))
-    rows = _drain(track_operations(_as_stream(log, 3, "seq")), OUTPUT)
+    rows = _replayed_operations(spark, sf)
     accepted = rows.where("outcome = 'accepted'")
     latest = accepted.groupBy("name").agg(
         F.max_by(F.struct("status", "current", "total", "message", "parent", "elapsed"), "seq").alias("s"),
@@ -126,8 +147,7 @@ WHERE (o.status = 'start' AND o.seq > s.start_seq) OR (o.status <> 'start' AND (
 """,
 )
 def operation_rejections_stream(spark, sf):
-    log = render_spark(spark, sf, "op_log").withColumn("ts", F.col("ts").cast("timestamp"))
-    rows = _drain(track_operations(_as_stream(log, 3, "seq")), OUTPUT)
+    rows = _replayed_operations(spark, sf)
     return rows.where("outcome <> 'accepted'").select("name", "seq", "outcome")
 
 
