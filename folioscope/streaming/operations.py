@@ -114,7 +114,7 @@ def _applied(now: State | None, e: pd.DataFrame) -> tuple[pd.DataFrame, State |
 class OperationStates(StatefulProcessor):
     """Holds events until the watermark has passed them, then applies them in the order of seq.
 
-    Events that wait are a list beside the state, added to as they come; a timer at the last of
+    Events that wait are a list beside the state, added to as they come; a timer at the first of
     them releases what is due. Finished operations are forgotten ``keep_ms`` after their end.
     """
 
@@ -129,7 +129,7 @@ class OperationStates(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
             self._waiting.appendList(_rows(batch))
-            self._handle.registerTimer(int(batch.us.max()) // 1000 + 1)
+            self._handle.registerTimer(int(batch.us.min()) // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -143,6 +143,7 @@ class OperationStates(StatefulProcessor):
                 self._waiting.clear()
             else:
                 self._waiting.put(_rows(events[~due]))
+                self._handle.registerTimer(int(events.us[~due].min()) // 1000 + 1)
             out, now = applied(now, events[due])
             if now is not None:
                 self._state.update(tuple(now))

@@ -451,3 +451,44 @@ def test_errors_without_type_or_message(spark):
     log = spark.createDataFrame([(None, None, None), ("ValueError", None, None)], "exc_type string, message string, operation string")
     got = E.classify(log).collect()
     assert all(r.error_id and r.title for r in got)
+
+
+def reached_from(edges, node):
+    seen, todo = set(), [node]
+    while todo:
+        for a, b in edges:
+            if a == todo[-1] and b not in seen:
+                seen.add(b)
+                todo.insert(0, b)
+        todo.pop()
+    return seen
+
+
+def random_graph(seed, n, m, acyclic):
+    rng = random.Random(seed)
+    pairs = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
+    return sorted({(min(a, b), max(a, b)) for a, b in pairs if a != b} if acyclic else pairs)
+
+
+@pytest.mark.parametrize(("seed", "n", "m"), [(1, 30, 40), (2, 12, 20)])
+def test_cycles_against_closure(spark, seed, n, m):
+    edges = random_graph(seed, n, m, False)
+    reach = {v: reached_from(edges, v) for v in {x for e in edges for x in e}}
+    same = {v: {v} | {w for w in reach[v] if v in reach[w]} for v in reach}
+    df = spark.createDataFrame(edges, "source long, target long")
+    assert rows(G.strong_components(df)) == sorted((v, min(s)) for v, s in same.items())
+    stuck = {v for v in reach if v in reach[v]}
+    report = {tuple(r) for r in G.cycle_report(df.toDF("id", "dep")).collect()}
+    assert report == {(v, min(same[v]), len(same[v]), "in cycle") for v in stuck} | {
+        (v, None, None, "behind") for v in reach if v not in stuck and reach[v] & stuck
+    }
+
+
+@pytest.mark.parametrize(("seed", "n", "m"), [(3, 14, 40), (4, 25, 45)])
+def test_full_reduction_against_closure(spark, seed, n, m):
+    edges = random_graph(seed, n, m, True)
+    want = [(a, b) for a, b in edges if not any(b in reached_from(edges, v) for u, v in edges if u == a and v != b)]
+    df = spark.createDataFrame(edges, "source long, target long")
+    assert rows(G.reduce_reachable(df)) == sorted(want) and len(want) < len(edges)
+    with pytest.raises(G.UnresolvedTasksError):
+        G.reduce_reachable(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "source long, target long"))

@@ -372,3 +372,46 @@ FROM classified_errors
 )
 def error_summary(spark, sf):
     return E.error_summary(_classified(spark, sf))
+
+
+# Waits in rings of five, of which every third is open, with edges from ring to ring; and an acyclic
+# graph in which some edges go beside a path of three.
+VIEWS["wait_edges"] = """
+SELECT s_suppkey AS id, CASE WHEN s_suppkey % 5 = 4 THEN s_suppkey - 4 ELSE s_suppkey + 1 END AS dep FROM supplier
+WHERE NOT (s_suppkey % 5 = 4 AND s_suppkey % 15 < 5)
+UNION ALL SELECT a.s_suppkey, b.s_suppkey FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey * 2 + 7
+"""
+VIEWS["layer_edges"] = """
+SELECT a.s_suppkey AS source, b.s_suppkey AS target FROM supplier a JOIN supplier b
+ON b.s_suppkey IN (a.s_suppkey * 2, a.s_suppkey * 2 + 1, a.s_suppkey * 8 + 5, a.s_suppkey * 3 + 2) AND a.s_suppkey < b.s_suppkey
+"""
+
+
+@query(
+    "tasks_in_cycles",
+    """
+WITH RECURSIVE waits(a, b) AS (
+  SELECT id, dep FROM wait_edges UNION SELECT w.a, e.dep FROM waits w JOIN wait_edges e ON e.id = w.b
+), stuck AS (
+  SELECT x.a AS id, min(x.b) AS component, count(*) AS size FROM waits x JOIN waits y ON y.a = x.b AND y.b = x.a GROUP BY x.a
+)
+SELECT id, component, size, 'in cycle' AS role FROM stuck
+UNION ALL SELECT DISTINCT w.a, NULL::BIGINT, NULL::BIGINT, 'behind' FROM waits w JOIN stuck s ON s.id = w.b WHERE w.a NOT IN (SELECT id FROM stuck)
+""",
+)
+def tasks_in_cycles(spark, sf):
+    return G.cycle_report(render_spark(spark, sf, "wait_edges"))
+
+
+@query(
+    "edges_after_full_reduction",
+    """
+WITH RECURSIVE reached(a, b) AS (
+  SELECT source, target FROM layer_edges UNION SELECT r.a, e.target FROM reached r JOIN layer_edges e ON e.source = r.b
+)
+SELECT source, target FROM layer_edges e
+WHERE NOT EXISTS (SELECT 1 FROM layer_edges v JOIN reached r ON r.a = v.target WHERE v.source = e.source AND r.b = e.target)
+""",
+)
+def edges_after_full_reduction(spark, sf):
+    return G.reduce_reachable(render_spark(spark, sf, "layer_edges"))

@@ -13,6 +13,7 @@ from folioscope.staging import stage, staging_root
 from folioscope.streaming import changes as C
 from folioscope.streaming import metrics as M
 from folioscope.streaming.operations import OUTPUT, track_operations, use_state_store
+from folioscope.streaming.sessions import debounced_rows
 from workload.fixtures import ORACLE_VIEWS, VIEWS, render_spark
 from workload.registry import query
 
@@ -96,6 +97,25 @@ def debounced_changes_stream(spark, sf):
     return rows.select("project", F.unix_micros("session_start").alias("session_us"), "path")
 
 
+@query(
+    "debounced_rows_stream",
+    """
+SELECT project, epoch_us(session_start) AS session_us, path FROM (
+  SELECT project, session_start, path, max(ts) OVER (PARTITION BY project, session_start) AS last FROM event_sessions)
+WHERE last + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM scoped_events) - INTERVAL 1 HOUR
+GROUP BY ALL
+""",
+)
+def debounced_rows_stream(spark, sf):
+    events = _scoped(render_spark(spark, sf, "file_events")).select(
+        "event_id", "project", "path", F.col("ts").cast("timestamp").alias("ts")
+    )
+    use_state_store(spark)
+    sessions = debounced_rows(_as_stream(events, 3, "event_id"), 30 * 60, "1 hour")
+    rows = _drain(sessions, sessions.schema)
+    return rows.select("project", F.unix_micros("session_start").alias("session_us"), "path")
+
+
 def _replayed_operations(spark, sf) -> DataFrame:
     """The operation log as a stream whose parts come in the wrong order, the last part first.
 
