@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.registry import query
 from folioscope.llm.shared import fold, table
 from folioscope.llm.vectext import slices
+from folioscope.staging import stage
 
 #: Texts per language that a dictionary is cut from, and its size in bytes.
 TEXTS_PER_LANGUAGE = 256
@@ -58,17 +59,19 @@ def spread(plain: bytes, share: int) -> bytes:
     return b" ".join(plain[at : at + size] for at in (i * last // (PLACES - 1) for i in range(PLACES)))
 
 
-def dictionary(plain: Iterable[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """Equal shares of all prepared texts, the content at the end being the cheapest to refer to."""
-    plain = sorted((p for p in plain if p), key=len)
-    parts, left = [], size
-    for i, p in enumerate(plain):
-        share = spread(p, max(64, left // (len(plain) - i)))
-        parts.append(share)
-        left -= len(share)
-        if left <= 0:
-            break
-    return b" ".join(parts)
+def shares(lengths: list[int], size: int = DICTIONARY_BYTES) -> list[int]:
+    """Bytes that texts of these ascending lengths may each take of a dictionary: equal shares of what is left."""
+    out, left = [], size
+    for i, n in enumerate(lengths):
+        share = max(64, left // (len(lengths) - i)) if left > 0 else 0
+        out.append(share)
+        left -= n if n <= share else PLACES * ((share - PLACES + 1) // PLACES) + PLACES - 1
+    return out
+
+
+def _long_enough(content: bytes) -> bytes:
+    """A dictionary has eight bytes at least; shorter content is repeated."""
+    return content if len(content) >= 8 else b" ".join([content] * 8)
 
 
 def fit(docs: DataFrame, lang: str = "lang") -> Model:
@@ -76,8 +79,9 @@ def fit(docs: DataFrame, lang: str = "lang") -> Model:
 
     Rows with a null language or text teach nothing. The ``TEXTS_PER_LANGUAGE`` ids of a language
     whose hashes are least are gathered, first in parts, so that a frequent language is not sorted
-    in one task and one with no more ids keeps all it has. Tasks cut their texts to the size of a
-    dictionary before the driver reads them.
+    in one task and one with no more ids keeps all it has. Their texts, no more than a dictionary of
+    each, are kept aside; the driver reads their lengths, and of each text its share, so one
+    dictionary per language in all.
     """
     usable = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     ids = usable.select(F.col(lang).alias("lang"), "doc_id", F.xxhash64("doc_id").alias("h")).distinct()
@@ -99,13 +103,33 @@ def fit(docs: DataFrame, lang: str = "lang") -> Model:
         .join(F.broadcast(ids.select("doc_id", "lang")), ["doc_id", "lang"])
         .select(F.col("lang").cast("string").alias("lang"), "text")
         .mapInArrow(cut, "lang string, plain binary")
-        .collect()
+        .where(F.octet_length("plain") > 0)
     )
-    texts: dict[str, list[bytes]] = {}
-    for k, plain in sorted((r.lang, bytes(r.plain)) for r in rows):
-        texts.setdefault(k, []).append(plain)
-    held = {k: dictionary(v) for k, v in texts.items()}
-    return Model({k: v for k, v in held.items() if len(v) >= 8})
+    shortest = Window.partitionBy("lang").orderBy(F.octet_length("plain"), "plain")
+    chosen = stage(rows.withColumn("place", F.row_number().over(shortest)), "dictionary-texts")
+    lengths: dict[str, list[int]] = {}
+    for r in sorted(chosen.select("lang", "place", F.octet_length("plain").alias("n")).collect()):
+        lengths.setdefault(r.lang, []).append(r.n)
+    allowed = [(k, i + 1, share) for k, own in lengths.items() for i, share in enumerate(shares(own)) if share]
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [spread(p, n) for p, n in zip(batch.column("plain").to_pylist(), batch.column("share").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("lang"), batch.column("place"), pa.array(parts, pa.binary())], ["lang", "place", "part"]
+            )
+
+    held: dict[str, list[bytes]] = {}
+    if allowed:
+        given = docs.sparkSession.createDataFrame(allowed, "lang string, place int, share int")
+        parts = (
+            chosen.join(F.broadcast(given), ["lang", "place"]).select("lang", "place", "plain", "share")
+            .mapInArrow(shorten, "lang string, place int, part binary")
+        )
+        for r in sorted(parts.collect(), key=lambda r: (r.lang, r.place)):
+            held.setdefault(r.lang, []).append(bytes(r.part))
+    # The content at the end of a dictionary is the cheapest to refer to.
+    return Model({k: _long_enough(b" ".join(v)) for k, v in held.items()})
 
 
 class Packer:
