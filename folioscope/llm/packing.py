@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import string
+import threading
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -22,8 +23,10 @@ from folioscope.llm.shared import table
 from folioscope.llm.vectext import slices
 from folioscope.staging import stage
 
-#: Bytes of ids and text that a task remembers, about, and characters of the longest stretch of them.
-REMEMBERED_BYTES, LONG_STRETCH = 24 << 20, 64
+#: Bytes of ids and text that a worker remembers, about, and characters of the longest stretch of them.
+REMEMBERED_BYTES, LONG_STRETCH = 128 << 20, 64
+#: Seconds after its last task of this kind until a worker forgets them.
+IDLE_SECONDS = 2.0
 #: What a remembered stretch takes besides its characters and ids.
 ENTRY_BYTES = 180
 
@@ -97,6 +100,7 @@ class Encoder:
 
         self._model = Tokenizer.from_file(path)
         self._known = _Known(self._model)
+        self._idle: threading.Timer | None = None
         sample = "It's a\nsample, isn't it?!\n\n  Größe 12 word\tend."
         if self.encode(sample) != array("I", self._model.encode(sample, add_special_tokens=False).ids).tobytes():
             raise ValueError("the tokenizer does not split texts like a byte-level BPE")
@@ -105,14 +109,22 @@ class Encoder:
         parts = [text] if not text.isascii() and _ODD_SPACE.search(text) else _STRETCH.findall(text)
         return b"".join(map(self._known.__getitem__, parts))
 
-    def forget(self) -> None:
-        """Give up what was remembered; a worker process outlives its task."""
-        self._known.forget()
+    def busy(self) -> None:
+        """A task begins: keep what is remembered."""
+        if self._idle is not None:
+            self._idle.cancel()
+
+    def rest(self) -> None:
+        """A task has ended. A worker process outlives it, and other work needs the memory, so what is
+        remembered goes unless another task follows; to look up what has gone is only slower."""
+        self._idle = threading.Timer(IDLE_SECONDS, self._known.forget)
+        self._idle.daemon = True
+        self._idle.start()
 
 
 @lru_cache(maxsize=1)
 def loaded(path: str) -> Encoder:
-    """The encoder of a tokenizer, kept by the process."""
+    """The encoder of a tokenizer, kept by the process, with what it remembers while it is used."""
     return Encoder(path)
 
 
@@ -210,6 +222,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, room: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(tokenizer)
+        encoder.busy()
         task = TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         ranks = np.zeros(room + 1, np.int64)
@@ -232,7 +245,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, room: int) -> DataF
                         [pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names
                     )
         finally:
-            encoder.forget()
+            encoder.rest()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
