@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from folioscope.functions.text import MARKDOWN_LINK, matches, strip
 
 # Parts of page paths that mark generated pages, element classes to drop,
-# language names accepted as a class of a code block.
+# language names accepted as a class of a code block, schemes of links that leave the corpus.
 SKIPPED_PAGES = ["genindex.html", "search.html", "modindex.html", "_sources", "_static", ".doctree"]
 DROPPED_ELEMENTS = ["nav", "header", "footer"]
 DROPPED_CLASSES = [

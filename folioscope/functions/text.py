@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What counts as a link and as a heading.
 WIKILINK = r"\[\[([^\]|]+)(?:\|([^\]]+))?\]\]"
 WIKILINK_LOOSE = r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"
 MARKDOWN_LINK = r"\[([^\]]+)\]\(([^)]+)\)"
