@@ -7,20 +7,27 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from folioscope.streaming.waiting import Waiting
+
 STATE = (
     "status string, current long, total long, message string, parent string, start_us long, "
     "end_us long, elapsed double, remaining double"
 )
-EVENT = "seq long, us long, status string, current long, increment long, total long, message string, parent string"
+EVENT = pa.schema(
+    [
+        ("seq", pa.int64()), ("us", pa.int64()), ("status", pa.string()), ("current", pa.int64()), ("increment", pa.int64()),
+        ("total", pa.int64()), ("message", pa.string()), ("parent", pa.string()),
+    ]
+)
 OUTPUT = (
     "name string, seq long, outcome string, status string, current long, total long, message string, "
     "parent string, elapsed double, estimated_remaining double"
 )
-_EVENT_COLUMNS = [c.split()[0] for c in EVENT.split(", ")]
 _OUTPUT_COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
 
 
@@ -40,13 +47,6 @@ def _value(x):
     return None if pd.isna(x) else x
 
 
-def _rows(events: pd.DataFrame) -> list[tuple]:
-    """Rows as the state store takes them: whole numbers, which pandas turns into floats beside nulls."""
-    texts = ("status", "message", "parent")
-    columns = [[None if pd.isna(v) else v if c in texts else int(v) for v in events[c]] for c in _EVENT_COLUMNS]
-    return list(zip(*columns, strict=True))
-
-
 def applied(now: State | None, events: pd.DataFrame) -> tuple[pd.DataFrame, State | None]:
     """One row per event, in the order of seq, with the state after it; and the last state.
 
@@ -114,8 +114,8 @@ def _applied(now: State | None, e: pd.DataFrame) -> tuple[pd.DataFrame, State |
 class OperationStates(StatefulProcessor):
     """Holds events until the watermark has passed them, then applies them in the order of seq.
 
-    Events that wait are a list beside the state, added to as they come; a timer at the first of
-    them releases what is due. Finished operations are forgotten ``keep_ms`` after their end.
+    Events wait in chunks beside the state; a timer at the first of them releases what is due, a piece
+    at a time. Finished operations are forgotten ``keep_ms`` after their end.
     """
 
     def __init__(self, keep_ms: int | None):
@@ -124,32 +124,32 @@ class OperationStates(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._state = handle.getValueState("operation", STATE)
-        self._waiting = handle.getListState("waiting", EVENT)
+        self._waiting = Waiting(handle, EVENT, "seq")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            self._waiting.appendList(_rows(batch))
-            self._handle.registerTimer(int(batch.us.min()) // 1000 + 1)
+        # One timer for all rows: each timer reads the list of chunks.
+        first = self._waiting.add(rows)
+        if first is not None:
+            self._handle.registerTimer(first // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        events = pd.DataFrame(list(self._waiting.get()), columns=_EVENT_COLUMNS)
-        due = events.us < passed * 1000
         state = self._state.get() if self._state.exists() else None
         now = None if state is None else State(*state)
-        if due.any():
-            if due.all():
-                self._waiting.clear()
-            else:
-                self._waiting.put(_rows(events[~due]))
-                self._handle.registerTimer(int(events.us[~due].min()) // 1000 + 1)
-            out, now = applied(now, events[due])
-            if now is not None:
-                self._state.update(tuple(now))
+        taken = False
+        for events in self._waiting.due(passed * 1000):
+            taken = True
+            out, now = applied(now, events)
             out.insert(0, "name", key[0])
             kinds = {"seq": "int64", "current": "Int64", "total": "Int64", "elapsed": "float64", "estimated_remaining": "float64"}
             yield out.astype(kinds)
+        if taken:
+            if now is not None:
+                self._state.update(tuple(now))
+            first = self._waiting.first()
+            if first is not None:
+                self._handle.registerTimer(first // 1000 + 1)
         if self._keep_ms is not None and now is not None and now.end_us is not None:
             forgotten = now.end_us // 1000 + self._keep_ms
             if forgotten < passed:

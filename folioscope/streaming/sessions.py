@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from folioscope.streaming.waiting import Waiting
+
+EVENT = pa.schema([("us", pa.int64()), ("path", pa.string())])
 OUTPUT = "project string, session_start timestamp, session_end timestamp, events long, path string"
 #: Rows that a session is given out in at a time.
 ROWS_AT_ONCE = 10_000
@@ -17,10 +21,11 @@ ROWS_AT_ONCE = 10_000
 class Sessions(StatefulProcessor):
     """Sessions of changes of a project, closed once nothing happened for ``gap_us``.
 
-    Events wait in a list until the watermark has passed them, so they are taken in order. The open
-    session is its bounds and count, and a map with one entry per changed path. A timer is set for the
-    first event that waits, and one for the time at which the session would close; a timer that a
-    later event has overtaken finds nothing to close.
+    Events wait in chunks until the watermark has passed them, so they are taken in order, a piece at a
+    time. The open session is its bounds and count, and a map with one entry per changed path; sessions
+    that begin and end within a piece never enter the state. A timer is set for the first event that
+    waits, and one for the time at which the session would close; a timer that a later event has
+    overtaken finds nothing to close.
     """
 
     def __init__(self, gap_us: int):
@@ -28,30 +33,26 @@ class Sessions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._waiting = handle.getListState("waiting", "us long, path string")
+        self._waiting = Waiting(handle, EVENT, "us")
         self._open = handle.getValueState("open", "start_us long, last_us long, events long")
         self._paths = handle.getMapState("paths", "path string", "seen boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            self._waiting.appendList([(int(us), path) for us, path in zip(batch.us, batch.path, strict=True)])
-            self._handle.registerTimer(int(batch.us.min()) // 1000 + 1)
+        # One timer for all rows: each timer reads the list of chunks.
+        first = self._waiting.add(rows)
+        if first is not None:
+            self._handle.registerTimer(first // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = pd.DataFrame(list(self._waiting.get()), columns=["us", "path"])
-        due = waiting[waiting.us < passed].sort_values("us")
-        if len(due):
-            rest = waiting[waiting.us >= passed]
-            if len(rest):
-                self._waiting.put([(int(us), path) for us, path in zip(rest.us, rest.path, strict=True)])
-                self._handle.registerTimer(int(rest.us.min()) // 1000 + 1)
-            else:
-                self._waiting.clear()
-            fresh = due.us.diff() >= self._gap
-            for _, session in due.groupby(fresh.cumsum(), sort=True):
-                yield from self._taken(key[0], session)
+        taken = False
+        for due in self._waiting.due(passed):
+            taken = True
+            yield from self._taken(key[0], due)
+        first = self._waiting.first() if taken else None
+        if first is not None:
+            self._handle.registerTimer(first // 1000 + 1)
         if self._open.exists():
             ends = self._open.get()[1] + self._gap
             if ends <= passed:
@@ -59,7 +60,35 @@ class Sessions(StatefulProcessor):
             else:
                 self._handle.registerTimer(-(-ends // 1000))
 
-    def _taken(self, project: str, events: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def _taken(self, project: str, due: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Take a piece in order: its first session may go on with the open one, its last one stays open."""
+        session = (due.us.diff() >= self._gap).cumsum()
+        last = session.iloc[-1]
+        yield from self._joined(project, due[session == 0])
+        if last == 0:
+            return
+        yield from self._closed(project)
+        inner = (session > 0) & (session < last)
+        if inner.any():
+            yield self._whole(project, due[inner], session[inner])
+        yield from self._joined(project, due[session == last])
+
+    def _whole(self, project: str, events: pd.DataFrame, session: pd.Series) -> pd.DataFrame:
+        """Rows of sessions that are complete."""
+        times = events.us.groupby(session)
+        bounds = pd.DataFrame({"start": times.first(), "last": times.last(), "events": times.size()})
+        paths = pd.DataFrame({"session": session, "path": events.path}).drop_duplicates().join(bounds, on="session")
+        return pd.DataFrame(
+            {
+                "project": project,
+                "session_start": pd.to_datetime(paths.start.to_numpy(), unit="us"),
+                "session_end": pd.to_datetime((paths["last"] + self._gap).to_numpy(), unit="us"),
+                "events": paths.events.to_numpy(),
+                "path": paths.path.to_numpy(),
+            }
+        )
+
+    def _joined(self, project: str, events: pd.DataFrame) -> Iterator[pd.DataFrame]:
         """Add events that belong together to the open session, or close it and open theirs."""
         first, last, before = int(events.us.iloc[0]), int(events.us.iloc[-1]), 0
         if self._open.exists():

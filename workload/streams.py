@@ -51,14 +51,15 @@ def debounced_changes(spark, sf):
     )
 
 
-def _as_stream(df: DataFrame, slices: int, order: str) -> DataFrame:
-    """Replay a table as a file stream: slices in order, one micro-batch of four files each."""
+def _as_stream(df: DataFrame, slices: int) -> DataFrame:
+    """Replay a table as a file stream: slices in order of time, one micro-batch of four files each."""
     spark = df.sparkSession
     folder = f"{staging_root(spark)}/folioscope/replay-{uuid.uuid4().hex}"
-    cuts = df.approxQuantile(order, [i / slices for i in range(1, slices)], 0.01)
+    at = F.unix_micros("ts")
+    cuts = df.select(at.alias("at")).approxQuantile("at", [i / slices for i in range(1, slices)], 0.01)
     bounds = [float("-inf"), *cuts, float("inf")]
     for low, high in zip(bounds, bounds[1:], strict=False):
-        part = df.where((F.col(order) > low) & (F.col(order) <= high))
+        part = df.where((at > low) & (at <= high))
         part.repartition(4).write.mode("append").parquet(folder)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(folder)
 
@@ -92,7 +93,7 @@ def debounced_changes_stream(spark, sf):
     events = _scoped(render_spark(spark, sf, "file_events")).select(
         "event_id", "project", "path", F.col("ts").cast("timestamp").alias("ts")
     )
-    sessions = C.debounce(_as_stream(events, 3, "event_id"), "30 minutes", "1 hour")
+    sessions = C.debounce(_as_stream(events, 3), "30 minutes", "1 hour")
     rows = _drain(sessions, sessions.schema)
     return rows.select("project", F.unix_micros("session_start").alias("session_us"), "path")
 
@@ -111,7 +112,7 @@ def debounced_rows_stream(spark, sf):
         "event_id", "project", "path", F.col("ts").cast("timestamp").alias("ts")
     )
     use_state_store(spark)
-    sessions = debounced_rows(_as_stream(events, 3, "event_id"), 30 * 60, "1 hour")
+    sessions = debounced_rows(_as_stream(events, 3), 30 * 60, "1 hour")
     rows = _drain(sessions, sessions.schema)
     return rows.select("project", F.unix_micros("session_start").alias("session_us"), "path")
 
