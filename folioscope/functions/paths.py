@@ -100,17 +100,18 @@ def is_constant(name: Column) -> Column:
 
 
 def sanitise_filename(name: Column) -> Column:
-    replaced = F.translate(name, INVALID_FILENAME_CHARS, "_" * len(INVALID_FILENAME_CHARS))
-    trimmed = F.regexp_replace(replaced, r"^[. \t\n\r]+|[. \t\n\r]+\z", "")
+    # Trimmed and cut first: an invalid character is one character before and after.
+    trimmed = F.btrim(name, F.lit(". \t\n\r"))
     named = F.when(trimmed == "", F.lit(UNNAMED_FILE)).otherwise(trimmed)
     # Leading dots are gone, so the last dot always starts an extension.
-    extension = F.regexp_extract(named, r"(\.[^.]*)\z", 1)
+    extension = F.when(F.contains(named, F.lit(".")), F.concat(F.lit("."), F.substring_index(named, ".", -1))).otherwise("")
     head = F.substring(
         F.substring(named, F.lit(1), F.length(named) - F.length(extension)),
         F.lit(1),
         F.lit(MAX_FILENAME) - F.length(extension),
     )
-    return F.when(F.length(named) > MAX_FILENAME, F.concat(head, extension)).otherwise(named)
+    cut = F.when(F.length(named) > MAX_FILENAME, F.concat(head, extension)).otherwise(named)
+    return F.translate(cut, INVALID_FILENAME_CHARS, "_" * len(INVALID_FILENAME_CHARS))
 
 
 def backup_name(path: Column, at: Column) -> Column:

@@ -324,3 +324,9 @@ def test_time_doubles_with_the_page(spark, unit, steps):
     once = min(seconds_for(spark, page, steps) for _ in range(2))
     assert min(seconds_for(spark, page * 2, steps) for _ in range(2)) < 2.5 * once + 0.3
     assert once < 10
+
+
+def test_filename_of_long_runs_takes_linear_time(spark):
+    started = time.monotonic()
+    assert one(spark, paths.sanitise_filename(C), v=" a" + " ." * 200_000 + "b.x ") == "a" + (" ." * 124)[:-1] + ".x"
+    assert time.monotonic() - started < 10

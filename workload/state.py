@@ -323,5 +323,5 @@ SELECT doc_id, CASE WHEN length(n) > 250 THEN n[1:250] ELSE n END AS name FROM (
 )
 def sanitised_filenames(spark, sf):
     docs = render_spark(spark, sf, "documents")
-    raw = F.translate("text", ".\n", ":?")
+    raw = F.replace(F.replace("text", F.lit("."), F.lit(":")), F.lit("\n"), F.lit("?"))
     return docs.select("doc_id", paths.sanitise_filename(raw).alias("name"))
