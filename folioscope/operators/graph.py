@@ -107,30 +107,37 @@ def ready_tasks(tasks: DataFrame, deps: DataFrame, done: DataFrame) -> DataFrame
 
 
 def _chains(tasks: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, root, hops): tasks of one dependency each, followed down to a task of none or several.
+    """(id, root, hops, floor): tasks of one dependency each, followed down to a task of none or several.
 
-    Pointer doubling: a chain of n tasks takes log2(n) rounds. Raises if a chain is a circle.
+    Pointer doubling: a chain of n tasks takes log2(n) rounds. Raises if a chain is a circle. Edges may
+    have ``hops`` and tasks a ``floor``; the level of a task is that of its root and the hops, but its
+    floor at least.
     """
     table = Stage(tasks.sparkSession, "chains")
-    single = edges.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("dep").alias("up"))
-    single = single.where("n = 1").select("id", "up")
-    known = table.write(
-        tasks.join(single, "id", "left").select("id", "up", F.when(F.col("up").isNull(), 0).otherwise(1).alias("hops"))
-    )
+    if "hops" not in edges.columns:
+        edges = edges.withColumn("hops", F.lit(1))
+    if "floor" not in tasks.columns:
+        tasks = tasks.withColumn("floor", F.lit(0))
+    single = edges.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("dep").alias("up"), F.max("hops").alias("hops"))
+    single = single.where("n = 1").select("id", "up", "hops")
+    known = table.write(tasks.join(single, "id", "left").select("id", "up", F.coalesce("hops", F.lit(0)).alias("hops"), "floor"))
     length, total = 1, known.count()
     while True:
         ahead = known.where(F.col("up").isNotNull()).select(
-            F.col("id").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("more")
+            F.col("id").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("more"), F.col("floor").alias("floor2")
         )
         if known.join(ahead.select("up"), "up", "left_semi").isEmpty():
-            return known.select("id", F.coalesce("up", "id").alias("root"), "hops")
+            return known.select("id", F.coalesce("up", "id").alias("root"), "hops", "floor")
         if length > total:
             raise UnresolvedTasksError(edges)
         length *= 2
         moved = lookup_join(known, ahead, "up", "left", staged=True)
         known = table.write(
             moved.select(
-                "id", F.coalesce("up2", "up").alias("up"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")
+                "id",
+                F.coalesce("up2", "up").alias("up"),
+                (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"),
+                F.greatest("floor", F.col("hops") + F.col("floor2")).alias("floor"),
             )
         )
 
@@ -138,9 +145,11 @@ def _chains(tasks: DataFrame, edges: DataFrame) -> DataFrame:
 def dependency_levels(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     """Execution level per task, from 0; raises on a cycle or a missing task.
 
-    Chains of tasks that wait for one task each are folded by pointer doubling. What is left are
-    tasks of several dependencies, which are placed in rounds, as many as there are of them on
-    the longest path; each round keeps only the open dependencies.
+    Each round folds chains of tasks that wait for one task each by pointer doubling, merges what
+    then are several ways to the same task, and places tasks that wait for none; a dependency that
+    is placed becomes a floor under the level, so that its task may be in a chain of the next round.
+    Long ladders so take few rounds; at most there are as many as tasks of several dependencies on
+    the longest path. Levels of folded tasks follow from their roots, last fold first.
     """
     spark = tasks.sparkSession
     tasks = stage(tasks.select("id").distinct(), "tasks")
@@ -148,41 +157,39 @@ def dependency_levels(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     lost = edges.join(tasks.select(F.col("id").alias("dep")), "dep", "left_anti").select("id", "dep")
     if not lost.isEmpty():
         raise UnresolvedTasksError(lost)
-    chains = stage(_chains(tasks, edges), "chains")
-    roots = chains.where("id = root").select("id")
-    folded = lookup_join(
-        edges.join(roots, "id", "left_semi"),
-        chains.select(F.col("id").alias("dep"), "root", "hops"),
-        "dep",
-        "inner",
-    )
-    edge_table, open_table, placed_table = (Stage(spark, n) for n in ("open-deps", "open-tasks", "placed"))
-    waiting = edge_table.write(folded.groupBy("id", "root").agg((F.max("hops") + 1).alias("hops")))
-    # Of each open task, the level that the dependencies placed so far call for.
-    several = waiting.select("id").distinct()
-    placed = placed_table.write(roots.join(several, "id", "left_anti").withColumn("level", F.lit(0)))
-    fresh = placed
-    open_tasks = open_table.write(several.withColumn("level", F.lit(0)))
-    while not open_tasks.isEmpty():
-        level = fresh.select(F.col("id").alias("root"), F.col("level").alias("below"))
-        joined = stage(lookup_join(waiting, level, "root", "left", staged=True), "placing")
-        called = joined.where(F.col("below").isNotNull()).groupBy("id").agg(F.max(F.col("below") + F.col("hops")).alias("called"))
-        waiting = edge_table.write(joined.where(F.col("below").isNull()).drop("below").select("id", "root", "hops"))
-        raised = stage(
-            open_tasks.join(called, "id", "left")
-            .select("id", F.greatest("level", F.coalesce("called", F.lit(0))).alias("level"))
-            .join(waiting.select("id", F.lit(True).alias("still")).distinct(), "id", "left"),
-            "placing",
+    task_table, edge_table, level_table = (Stage(spark, n) for n in ("open-tasks", "open-deps", "levels"))
+    waiting = edge_table.write(edges.withColumn("hops", F.lit(1)))
+    open_tasks = task_table.write(tasks.withColumn("floor", F.lit(0)))
+    left, folds, levels = open_tasks.count(), [], None
+    while left:
+        chains = stage(_chains(open_tasks, waiting), "chains")
+        roots = chains.where("id = root").select("id", "floor")
+        below = chains.select(F.col("id").alias("dep"), "root", F.col("hops").alias("more"), F.col("floor").alias("least"))
+        ways = stage(
+            lookup_join(waiting.join(roots.select("id"), "id", "left_semi"), below, "dep", "inner")
+            .groupBy("id", "root")
+            .agg(F.max(F.col("hops") + F.col("more")).alias("hops"), F.max(F.col("hops") + F.col("least")).alias("least")),
+            "ways",
         )
-        fresh = stage(raised.where(F.col("still").isNull()).select("id", F.col("level").cast("int").alias("level")), "placing")
-        if fresh.isEmpty():
-            raise UnresolvedTasksError(waiting.select("id", F.col("root").alias("dep")))
-        placed = placed_table.write(placed.unionByName(fresh))
-        open_tasks = open_table.write(raised.where("still").select("id", "level"))
-    level = placed.select(F.col("id").alias("root"), "level")
-    return lookup_join(chains, level, "root", "inner", staged=True).select(
-        "id", (F.col("level") + F.col("hops")).cast("int").alias("level")
-    )
+        fresh = stage(roots.join(ways.select("id"), "id", "left_anti").select("id", F.col("floor").alias("level")), "placed")
+        folded = chains.where("id <> root")
+        levels = level_table.write(fresh if levels is None else levels.unionByName(fresh))
+        if not folded.isEmpty():
+            folds.append(folded)
+        placed = fresh.select(F.col("id").alias("root"), F.col("level").alias("placed"))
+        joined = stage(lookup_join(ways, placed, "root", "left", staged=True), "placing")
+        floors = joined.groupBy("id").agg(F.max(F.greatest("least", F.col("placed") + F.col("hops"))).alias("called"))
+        open_tasks = task_table.write(roots.join(floors, "id").select("id", F.greatest("floor", "called").alias("floor")))
+        waiting = edge_table.write(joined.where("placed IS NULL").select("id", F.col("root").alias("dep"), "hops"))
+        before, left = left, open_tasks.count()
+        if left == before:
+            raise UnresolvedTasksError(waiting)
+    for folded in reversed(folds):
+        above = lookup_join(folded, levels.select(F.col("id").alias("root"), "level"), "root", "inner", staged=True)
+        levels = level_table.write(
+            levels.unionByName(above.select("id", F.greatest("floor", F.col("level") + F.col("hops")).alias("level")))
+        )
+    return tasks.withColumn("level", F.lit(0)).limit(0) if levels is None else levels.select("id", F.col("level").cast("int").alias("level"))
 
 
 def order_in_level(tasks: DataFrame, levels: DataFrame) -> DataFrame:

@@ -158,6 +158,19 @@ def test_levels_refuse_cycles_and_missing_tasks(spark, deps):
         G.dependency_levels(tasks, spark.createDataFrame(deps, DEPS))
 
 
+def test_levels_of_a_long_ladder_take_few_rounds(spark, monkeypatch):
+    """Each task waits for the last one, for a leaf of its own and, every fifth, for one further back."""
+    rounds = []
+    chains = G._chains
+    monkeypatch.setattr(G, "_chains", lambda *a: rounds.append(1) or chains(*a))
+    n = 60
+    pairs = [(k, k - 1) for k in range(1, n)] + [(k, 1000 + k) for k in range(1, n)] + [(k, k - 3) for k in range(5, n, 5)]
+    tasks = spark.createDataFrame([(k,) for k in [*range(n), *range(1001, 1000 + n)]], "id long")
+    levels = {r.id: r.level for r in G.dependency_levels(tasks, spark.createDataFrame(pairs, "id long, dep long")).collect()}
+    assert levels == {k: k if k < n else 0 for k in levels} and len(levels) == 2 * n - 1
+    assert len(rounds) < 8
+
+
 def test_operation_tree(spark):
     ops = spark.createDataFrame([("r", None), ("a", "r"), ("b", "a"), ("c", "b"), ("x", "gone")], "name string, parent string")
     tree = G.operation_tree(ops)
