@@ -7,7 +7,9 @@ and contents are read by tasks only where a plan asks for them.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from itertools import islice
 from pathlib import Path
 
 import pyarrow as pa
@@ -31,6 +33,27 @@ def _tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _entries(system, folder: str) -> Iterator[tuple[str, bool, int, int]]:
+    """(name, is_dir, size, mtime in us) of what is in a folder, which may hold any number of files.
+
+    Mounted folders are read entry by entry. Arrow gives the listing of other stores as a whole, so
+    there a task holds its largest folder.
+    """
+    from pyarrow import fs
+
+    if not isinstance(system, fs.LocalFileSystem):
+        for i in system.get_file_info(fs.FileSelector(folder)):
+            yield i.base_name, i.type == fs.FileType.Directory, i.size or 0, (i.mtime_ns or 0) // 1000
+        return
+    with os.scandir(folder or "/") as entries:
+        for entry in entries:
+            try:
+                is_dir, status = entry.is_dir(), entry.stat()
+            except FileNotFoundError:  # a dangling link, or gone since it was listed
+                continue
+            yield entry.name, is_dir, 0 if is_dir else status.st_size, status.st_mtime_ns // 1000
+
+
 def scan_files(
     spark: SparkSession, root: str, suffix: str = "", hidden: bool = False
 ) -> DataFrame:
@@ -46,15 +69,14 @@ def scan_files(
         system, top = fs.FileSystem.from_uri(base)
         for batch in batches:
             for folder in batch["path"].to_pylist():
-                everything = system.get_file_info(fs.FileSelector(f"{top}/{folder}".rstrip("/")))
-                for begin in range(0, len(everything), LISTED_AT_ONCE):
-                    inside = everything[begin : begin + LISTED_AT_ONCE]
-                    times = [(i.mtime_ns or 0) // 1000 for i in inside]
+                entries = _entries(system, f"{top}/{folder}".rstrip("/"))
+                while inside := list(islice(entries, LISTED_AT_ONCE)):
+                    names, folders, sizes, times = zip(*inside, strict=True)
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "path": [f"{folder}/{i.base_name}".lstrip("/") for i in inside],
-                            "is_dir": [i.type == fs.FileType.Directory for i in inside],
-                            "size": [i.size or 0 for i in inside],
+                            "path": [f"{folder}/{name}".lstrip("/") for name in names],
+                            "is_dir": pa.array(folders, pa.bool_()),
+                            "size": pa.array(sizes, pa.int64()),
                             "mtime": pa.array(times, pa.timestamp("us", "UTC")),
                         }
                     )
@@ -112,11 +134,11 @@ def write_files(files: DataFrame, root: str) -> str:
 
         system, top = fs.FileSystem.from_uri(base)
         for batch in batches:
-            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True):
-                target = f"{top}/{path}"
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                target = f"{top}/{path.as_py()}"
                 system.create_dir(target.rpartition("/")[0], recursive=True)
                 with system.open_output_stream(target) as out:
-                    out.write((content or "").encode())
+                    out.write((content.as_py() or "").encode())
             yield batch.select(["path"])
 
     files.select("path", "content").mapInArrow(put, "path string").write.format("noop").mode("overwrite").save()

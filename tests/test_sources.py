@@ -110,3 +110,18 @@ def test_change_stream_reaches_every_callback(spark, tmp_path):
     query.awaitTermination()
     assert seen == [("src/a.py", "modified")]
     assert C.watch_status(query)["is_watching"] is False
+
+
+def test_listing_holds_no_whole_folder(tmp_path):
+    """Entries of a mounted folder come one by one."""
+    from pyarrow import fs
+
+    for i in range(5):
+        (tmp_path / f"_f{i}.py").write_text("x" * i)
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "gone").symlink_to(tmp_path / "nothing")
+    entries = files._entries(fs.LocalFileSystem(), str(tmp_path))
+    first = next(entries)
+    (tmp_path / "later").mkdir()
+    got = {e[:3] for e in [first, *entries]}
+    assert got - {("later", True, 0)} == {(f"_f{i}.py", False, i) for i in range(5)} | {("deep", True, 0)}
