@@ -453,37 +453,28 @@ def operation_tree(operations: DataFrame, root: str | None = None, max_rounds: i
     table = Stage(operations.sparkSession, "tree")
     known = operations.select(F.col("name").alias("parent"), F.lit(True).alias("known")).distinct()
     linked = lookup_join(operations.select("name", "parent"), known, "parent", "left")
-    parent = F.when(F.col("known"), F.col("parent"))
-    at_root = F.lit(False) if root is None else F.coalesce((F.col("name") == root) | (parent == root), F.lit(False))
-    tree = table.write(
-        linked.select(
-            "name",
-            parent.alias("parent"),
-            parent.alias("up"),
-            F.coalesce(parent, F.col("name")).alias("top"),
-            F.when(parent.isNull(), 0).otherwise(1).alias("depth"),
-            at_root.alias("below"),
-        )
-    )
+    linked = stage(linked.select("name", F.when(F.col("known"), F.col("parent")).alias("parent")), "linked")
+    parent = F.col("parent")
+    # Rows that rounds write and shuffle are short: top is as far as is known, and the root once there.
+    columns = {"top": F.coalesce(parent, F.col("name")), "there": parent.isNull(), "depth": F.when(parent.isNull(), 0).otherwise(1)}
+    if root is not None:
+        columns["below"] = F.coalesce((F.col("name") == root) | (parent == root), F.lit(False))
+    tree = table.write(linked.select("name", *(c.alias(n) for n, c in columns.items())))
     for _ in range(max_rounds):
-        rising = tree.where(F.col("up").isNotNull())
+        rising = tree.where("NOT there")
         if rising.isEmpty():
             break
-        above = tree.select(
-            F.col("name").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"),
-            F.col("depth").alias("depth2"), F.col("below").alias("below2"),
-        )
-        moved = lookup_join(rising, above, "up", "inner", staged=True).select(
-            "name", "parent", F.col("up2").alias("up"), F.col("top2").alias("top"),
-            (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("below") | F.col("below2")).alias("below"),
-        )
-        tree = table.write(tree.where(F.col("up").isNull()).unionByName(moved))
+        above = tree.select(F.col("name").alias("top"), *(F.col(c).alias(f"{c}2") for c in columns))
+        moved = {"top": F.col("top2"), "there": F.col("there2"), "depth": F.col("depth") + F.col("depth2")}
+        if root is not None:
+            moved["below"] = F.col("below") | F.col("below2")
+        risen = lookup_join(rising, above, "top", "inner", staged=True).select("name", *(c.alias(n) for n, c in moved.items()))
+        tree = table.write(tree.where("there").unionByName(risen))
     else:
         raise ValueError("operations refer to each other in a circle")
-    out = tree.select("name", F.col("top").alias("root"), "depth", "parent", "below")
-    if root is None:
-        return out.drop("below")
-    return _with_paths(out.where("below").drop("below"), root)
+    out = tree if root is None else tree.where("below")
+    out = out.join(linked, "name").select("name", F.col("top").alias("root"), "depth", "parent")
+    return out if root is None else _with_paths(out, root)
 
 
 def _with_paths(tree: DataFrame, root: str) -> DataFrame:

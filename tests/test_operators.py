@@ -171,6 +171,16 @@ def test_levels_of_a_long_ladder_take_few_rounds(spark, monkeypatch):
     assert len(rounds) < 8
 
 
+def test_rounds_of_a_tree_write_each_name_twice_at_most(spark, monkeypatch):
+    written = []
+    write = G.Stage.write
+    monkeypatch.setattr(G.Stage, "write", lambda self, df: written.append(df.dtypes) or write(self, df))
+    ops = spark.createDataFrame([(f"o{i}", f"o{i - 1}" if i else None) for i in range(9)], "name string, parent string")
+    got = {(r.name, r.root, r.depth, r.parent) for r in G.operation_tree(ops).collect()}
+    assert got == {(f"o{i}", "o0", i, f"o{i - 1}" if i else None) for i in range(9)}
+    assert written and all([t for _, t in columns].count("string") <= 2 for columns in written)
+
+
 def test_operation_tree(spark):
     ops = spark.createDataFrame([("r", None), ("a", "r"), ("b", "a"), ("c", "b"), ("x", "gone")], "name string, parent string")
     tree = G.operation_tree(ops)
