@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.operators.joins import lookup_join, number_rows
@@ -281,9 +281,11 @@ def reduce_transitive(edges: DataFrame) -> DataFrame:
     return base.join(implied, ["source", "target"], "left_anti")
 
 
-def _spread(edges: DataFrame, least: DataFrame) -> DataFrame:
+def _spread(edges: DataFrame, least: DataFrame, named: Column) -> DataFrame:
     """Give every node the least ``label`` of the nodes from which it can be reached, its own included.
 
+    ``named`` is the label that a node starts with.
+
     Each round takes labels over one edge, and then the label of the node that a label names, which
     lies on the way and often knows a lesser one; so far fewer rounds than edges of a path are needed.
     """
@@ -296,7 +298,7 @@ def _spread(edges: DataFrame, least: DataFrame) -> DataFrame:
             .agg(F.min("label").alias("come"))
         )
         stepped = stage(known.join(come, "node", "left").select("node", F.least("label", "come").alias("label"), F.col("label").alias("before")), "stepped")
-        ahead = stepped.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        ahead = stepped.select(named.alias("label"), F.col("label").alias("further"))
         moved = lookup_join(stepped, ahead, "label", "left", staged=True).select(
             "node", F.least("label", "further").alias("label"), "before"
         )
@@ -319,45 +321,99 @@ def _reaching(edges: DataFrame, goals: DataFrame) -> DataFrame:
         found = found_table.write(found.unionByName(fresh))
 
 
+def _trimmed(left: DataFrame, table: Stage) -> tuple[DataFrame, int]:
+    """The edges that stay when nodes without an edge in or out go, again and again, and their number."""
+    rows = left.count()
+    while rows:
+        both = left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
+        left = table.write(both.join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
+        before, rows = rows, left.count()
+        if rows == before:
+            break
+    return left, rows
+
+
+def _circles(links: DataFrame) -> DataFrame:
+    """(node, least): the nodes on circles of (node, up), one row a node, and the least node of their circle.
+
+    Pointer doubling: a node to which no path leads, however long, is on no circle, nor is one whose
+    path ends. So the nodes become fewer until circles are left, after log2 of the longest path; and
+    the least node of a path is known when twice as long a path has no lesser one.
+    """
+    table = Stage(links.sparkSession, "circles")
+    known = table.write(links.select("node", "up", F.col("node").alias("least"), F.lit(True).alias("fell")))
+    rows = known.count()
+    while rows:
+        ahead = known.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("least").alias("further"))
+        led_to = known.select(F.col("up").alias("node")).distinct()
+        known = table.write(
+            lookup_join(known, ahead, "up", "inner", staged=True).join(led_to, "node", "left_semi")
+            .select("node", F.col("up2").alias("up"), F.least("least", "further").alias("least"), (F.col("further") < F.col("least")).alias("fell"))
+        )
+        now = known.agg(F.count(F.lit(1)).alias("n"), F.bool_or("fell").alias("fell")).first()
+        before, rows = rows, now.n
+        if rows == before and not now.fell:
+            break
+    return known.select("node", "least")
+
+
+def _joined(left: DataFrame, into: DataFrame) -> DataFrame:
+    """Edges between what nodes are ``into`` (node, into); a node without a row stays itself."""
+    for end in ("source", "target"):
+        moved = lookup_join(left, into.withColumnRenamed("node", end), end, "left", staged=end == "source")
+        left = moved.withColumn(end, F.coalesce("into", end)).drop("into")
+    return left.where("source <> target").select("source", "target").distinct()
+
+
 def strong_components(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
     """(node, component) of a directed graph: nodes that reach each other, named by the least of them.
 
     Nodes without an edge in or out are components of their own and are trimmed first, again and
-    again. Of the rest each node is labelled with the least node that reaches it; of the nodes of one
-    label, those that reach the labelling node are its component. That settles at least one
-    component of each label, and the edges at settled nodes go. Labels of hot nodes are looked up
-    in salted joins.
+    again. Each node left then follows the edge to its least successor; that makes circles, each of
+    which becomes one node, its least. Where circles leave more than half of the edges, each node is
+    labelled with the first node, by a hash, that reaches it; of the nodes of one label, those that
+    reach the labelling node are its component, and edges between labels go, as no component has two.
+    The hash keeps labels apart from the order of the graph: a label cuts a long path in the middle
+    rather than at its start. Labels of hot nodes are looked up in salted joins.
     """
     spark = edges.sparkSession
     given = stage(edges.select(F.col(source).alias("source"), F.col(target).alias("target")).dropna().distinct(), "graph")
     table, settled_table = Stage(spark, "open-graph"), Stage(spark, "settled")
     ends = lambda df: df.select(F.explode(F.array("source", "target")).alias("node")).distinct()
-    left = table.write(given.where("source <> target"))
+    left, rows = _trimmed(table.write(given.where("source <> target")), table)
     settled = settled_table.write(ends(given).limit(0).withColumn("component", F.col("node")))
-    while True:
-        rows = left.count()
-        while rows:
-            both = left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
-            left = table.write(both.join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
-            before, rows = rows, left.count()
-            if rows == before:
-                break
-        if not rows:
-            break
-        labels = stage(_spread(left, ends(left).withColumn("label", F.col("node"))), "labelled")
+    folds = []
+    while rows:
+        links = left.groupBy(F.col("source").alias("node")).agg(F.min("target").alias("up"))
+        folds.append(stage(_circles(links).where("node <> least").select("node", F.col("least").alias("into")), "folded"))
+        before = rows
+        left, rows = _trimmed(table.write(_joined(left, folds[-1])), table)
+        if rows * 2 <= before:
+            continue
+        named = F.struct(F.xxhash64("node").alias("h"), "node")
+        labels = stage(_spread(left, ends(left).withColumn("label", named), named), "labelled")
         near = lookup_join(left, labels.select(F.col("node").alias("source"), F.col("label").alias("from")), "source", "inner", staged=True)
         alike = stage(
             lookup_join(near, labels.select(F.col("node").alias("target"), F.col("label").alias("to")), "target", "inner")
             .where(F.col("from") == F.col("to")).select("source", "target"),
             "alike",
         )
-        done = stage(_reaching(alike, labels.where("node = label")).join(labels, "node").select("node", F.col("label").alias("component")), "done")
-        settled = settled_table.write(settled.unionByName(done))
+        done = stage(_reaching(alike, labels.where("node = label.node")).join(labels, "node"), "done")
+        least = done.groupBy("label").agg(F.min("node").alias("component"))
+        settled = settled_table.write(settled.unionByName(lookup_join(done, least, "label", "inner", staged=True).select("node", "component")))
         gone = done.select("node")
-        left = table.write(
-            left.join(gone.withColumnRenamed("node", "source"), "source", "left_anti")
-            .join(gone.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target")
+        left, rows = _trimmed(
+            table.write(
+                alike.join(gone.withColumnRenamed("node", "source"), "source", "left_anti")
+                .join(gone.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target")
+            ),
+            table,
         )
+    # What a node was joined into may have been joined into another later on, so the last fold comes first.
+    for folded in reversed(folds):
+        above = lookup_join(folded, settled.withColumnRenamed("node", "into"), "into", "left", staged=True)
+        over = above.select(F.explode(F.array("node", "into")).alias("node"), F.coalesce("component", "into").alias("component"))
+        settled = settled_table.write(settled.unionByName(over).distinct())
     alone = ends(given).join(settled.select("node"), "node", "left_anti")
     return settled.unionByName(alone.withColumn("component", F.col("node")))
 

@@ -507,6 +507,35 @@ def test_cycles_against_closure(spark, seed, n, m):
     }
 
 
+def mutual(pairs):
+    return sorted({*pairs, *((b, a) for a, b in pairs)})
+
+
+@pytest.mark.parametrize("edges", [
+    mutual([(9, leaf) for leaf in range(9)]) + [(20, 21), (21, 3)],
+    [(i, i + 1) for i in range(9)] + [(i, i + 2) for i in range(8)] + [(9, 0), (9, 30), (30, 31), (31, 30)],
+    [(a * 10 + i, a * 10 + (i + 1) % 4) for a in range(5) for i in range(4)] + [(a * 10 + 2, a * 10 - 10) for a in range(1, 5)] + [(1, 33)],
+    mutual([(i * 7 % 16, (i + 1) * 7 % 16) for i in range(12)] + [(0, b) for b in (40, 41, 42)]) + [(40, 50), (50, 51)],
+    random_graph(5, 40, 90, False),
+    [],
+])
+def test_strong_components_of_odd_shapes(spark, edges):
+    reach = {v: reached_from(edges, v) for v in {x for e in edges for x in e}}
+    want = sorted((v, min({v} | {w for w in reach[v] if v in reach[w]})) for v in reach)
+    assert rows(G.strong_components(spark.createDataFrame(edges, "source long, target long"))) == want
+    named = spark.createDataFrame([(f"n{a:03}", f"n{b:03}") for a, b in edges], "source string, target string")
+    assert rows(G.strong_components(named)) == [(f"n{v:03}", f"n{c:03}") for v, c in want]
+
+
+def test_circles_one_behind_the_other_take_few_rounds(spark, monkeypatch):
+    written, write = [], G.Stage.write
+    monkeypatch.setattr(G.Stage, "write", lambda self, df: written.append(1) or write(self, df))
+    edges = [(a * 3 + i, a * 3 + (i + 1) % 3) for a in range(10) for i in range(3)] + [(a * 3, a * 3 + 3) for a in range(9)]
+    got = rows(G.strong_components(spark.createDataFrame(edges, "source long, target long")))
+    assert got == [(v, v - v % 3) for v in range(30)]
+    assert len(written) < 30
+
+
 @pytest.mark.parametrize(("seed", "n", "m"), [(3, 14, 40), (4, 25, 45)])
 def test_full_reduction_against_closure(spark, seed, n, m):
     edges = random_graph(seed, n, m, True)
