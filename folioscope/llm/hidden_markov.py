@@ -168,29 +168,35 @@ def _blocks(bounds: np.ndarray) -> Iterator[np.ndarray]:
 
 #: Steps whose forward values are kept at once on the way back.
 SPAN = 4096
+#: Steps after which forward values are scaled to a sum of 1; a divisor of SPAN. In a step the sum falls to
+#: the least transition at worst, 1 by the training tokens, as emissions are divided by their class's greatest.
+RESCALE = 16
 
 
 class _Span(NamedTuple):
-    """Steps of a group, one after the other: step t has the columns first[t] to first[t + 1]."""
+    """Steps of a group, one after the other: step t has the rows first[t] to first[t + 1]."""
 
     first: np.ndarray
-    #: Sequence of each column, its class, what its states emit there, and forward values with their scales.
+    #: Sequence of each row, its class, what its states emit there, and forward values.
     of: np.ndarray
     cls: np.ndarray
     seen: np.ndarray
     alpha: np.ndarray
+    #: Rows where sequences end, rows where forward values were scaled, and what they were divided by.
+    ends: np.ndarray
+    scaled: np.ndarray
     scale: np.ndarray
 
 
 class _Group:
-    """Sequences side by side: states in rows, sequences in columns, longest first."""
+    """Sequences side by side: a row for each sequence and step, states in columns, longest sequences first."""
 
     def __init__(self, model: Hmm, cls: np.ndarray, bounds: np.ndarray, members: np.ndarray):
         self.members = members[::-1]
         self._size = (bounds[self.members + 1] - bounds[self.members])[::-1]
         self._base, self._cls, self._model = bounds[self.members], cls, model
         self.longest = int(self._size[-1]) if len(self._size) else 0
-        self._emit, self._onward = model.emit.T.copy(), np.ascontiguousarray(model.step.T)
+        self._emit = np.ascontiguousarray((model.emit / model.emit.max(axis=0)).T)
 
     def ahead(self, begin: int, alpha: np.ndarray | None) -> _Span:
         """The SPAN steps from ``begin`` on, after the forward values ``alpha`` of the step before."""
@@ -198,34 +204,43 @@ class _Group:
         live = len(self._size) - np.searchsorted(self._size, steps, "right")
         first = np.concatenate(([0], np.cumsum(live)))
         of = np.arange(first[-1]) - np.repeat(first[:-1], live)
-        cls = self._cls[self._base[of] + np.repeat(steps, live)]
-        seen = np.ascontiguousarray(self._emit[cls].T)
-        out, scale = np.empty_like(seen), np.empty(len(cls))
-        at = first.tolist()
+        cls = self._cls[self._base[of] + np.repeat(steps, live)].astype(np.intp)
+        seen = np.take(self._emit, cls, axis=0)
+        out, scale = np.empty_like(seen), np.ones(len(cls))
+        at, each = first.tolist(), np.ones(seen.shape[1])
         for i in range(len(steps)):
-            here = slice(at[i], at[i + 1])
-            a, c = out[:, here], scale[here]
+            a = out[at[i] : at[i + 1]]
             if alpha is None:
-                a[:] = self._model.start[:, None]
+                a[:] = self._model.start
             else:
-                np.matmul(self._onward, alpha[:, : at[i + 1] - at[i]], out=a)
-            a *= seen[:, here]
-            np.add.reduce(a, axis=0, out=c)
-            a /= c
+                np.matmul(alpha[: len(a)], self._model.step, out=a)
+            a *= seen[at[i] : at[i + 1]]
+            if i % RESCALE == RESCALE - 1:
+                c = scale[at[i] : at[i + 1]]
+                np.matmul(a, each, out=c)
+                a /= c[:, None]
             alpha = a
-        return _Span(first, of, cls, seen, out, scale)
+        # Sequences that end in this span are in a row, as they are in order of length.
+        ended = np.arange(len(self._size) - np.searchsorted(self._size, begin + len(steps), "right"), live[0])
+        ends = first[self._size[::-1][ended] - 1 - begin] + ended
+        c = out[ends] @ each
+        out[ends] /= c[:, None]
+        scale[ends] *= c
+        scaled = np.flatnonzero(scale != 1)
+        return _Span(first, of, cls, seen, out, ends, scaled, scale[scaled])
 
 
 def forward(model: Hmm, cls: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Natural log likelihood of each class sequence cls[bounds[i]:bounds[i + 1]], by the scaled forward recursion."""
-    out = np.zeros(len(bounds) - 1)
+    out, greatest = np.zeros(len(bounds) - 1), np.log(model.emit.max(axis=0))
     for members in _blocks(bounds):
         group = _Group(model, cls, bounds, members)
         alpha, total = None, np.zeros(len(members))
         for begin in range(0, group.longest, SPAN):
             span = group.ahead(begin, alpha)
-            total += np.bincount(span.of, weights=np.log(span.scale), minlength=len(members))
-            alpha = span.alpha[:, span.first[-2] :].copy()
+            total += np.bincount(span.of, weights=greatest[span.cls], minlength=len(members))
+            total += np.bincount(span.of[span.scaled], weights=np.log(span.scale), minlength=len(members))
+            alpha = span.alpha[span.first[-2] :].copy()
         out[group.members] = total
     return out
 
@@ -242,10 +257,13 @@ def expected(model: Hmm, cls: np.ndarray, bounds: np.ndarray) -> Expected:
 
     The forward pass keeps its values at every SPAN-th step only and is run again within each
     span on the way back, so that a very long text takes little more memory than a short one.
+    Forward times backward values need no scaling: those of a row add up to 1.
     """
     k = len(model.start)
     out = Expected(np.zeros(k), np.zeros((k, k)), np.zeros((CLASSES, k)), 0.0)
-    loglik = 0.0
+    times = np.bincount(cls, minlength=CLASSES)
+    loglik = float(times[times > 0] @ np.log(model.emit.max(axis=0)[times > 0]))
+    back = np.ascontiguousarray(model.step.T)
     for members in _blocks(bounds):
         group = _Group(model, cls, bounds, members)
         marks: dict[int, np.ndarray | None] = {0: None}
@@ -254,38 +272,38 @@ def expected(model: Hmm, cls: np.ndarray, bounds: np.ndarray) -> Expected:
             span = None
             span = group.ahead(begin, marks[begin])
             if begin + SPAN < group.longest:
-                marks[begin + SPAN] = span.alpha[:, span.first[-2] :].copy()
-        beta = np.ones((k, len(members)))
+                marks[begin + SPAN] = span.alpha[span.first[-2] :].copy()
+        beta = np.ones((len(members), k))
         for begin in sorted(marks, reverse=True) if span else ():
             if begin + SPAN < group.longest:
                 span = None
                 span = group.ahead(begin, marks[begin])
             loglik += float(np.log(span.scale).sum())
             at = span.first.tolist()
-            betas, onward = np.ones_like(span.alpha), span.seen
-            betas[:, at[-2] :] = beta[:, : at[-1] - at[-2]]
-            onward /= span.scale
+            betas, onward = np.empty_like(span.alpha), span.seen
+            betas[span.ends] = 1
+            betas[at[-2] :] = beta[: at[-1] - at[-2]]
+            onward[span.scaled] /= span.scale[:, None]
             for i in range(len(at) - 2, -1, -1):
-                here = onward[:, at[i] : at[i + 1]]
-                here *= betas[:, at[i] : at[i + 1]]
-                to = betas[:, at[i - 1] : at[i - 1] + here.shape[1]] if i else beta[:, : here.shape[1]]
-                np.matmul(model.step, here, out=to)
-            # Pairs of steps: the forward value before each column with what came onward to it.
+                here = onward[at[i] : at[i + 1]]
+                here *= betas[at[i] : at[i + 1]]
+                to = betas[at[i - 1] : at[i - 1] + len(here)] if i else beta[: len(here)]
+                np.matmul(here, back, out=to)
+            # Pairs of steps: the forward value before each row with what came onward to it.
             if marks[begin] is not None:
-                out.step[:] += model.step * (marks[begin][:, : at[1]] @ onward[:, : at[1]].T)
+                out.step[:] += model.step * (marks[begin][: at[1]].T @ onward[: at[1]])
             before = np.repeat(span.first[:-2], np.diff(span.first)[1:]) + span.of[at[1] :]
-            out.step[:] += model.step * (span.alpha[:, before] @ onward[:, at[1] :].T)
+            out.step[:] += model.step * (np.take(span.alpha, before, axis=0).T @ onward[at[1] :])
             betas *= span.alpha
-            betas /= betas.sum(axis=0)
             if begin == 0:
-                out.start[:] += betas[:, : at[1]].sum(axis=1)
+                out.start[:] += betas[: at[1]].sum(axis=0)
             _added(out.emit, span.cls, betas)
     return out._replace(loglik=loglik)
 
 
-def _added(to: np.ndarray, at: np.ndarray, columns: np.ndarray) -> None:
-    for j in range(len(columns)):
-        to[:, j] += np.bincount(at, weights=columns[j], minlength=len(to))
+def _added(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    for j, column in enumerate(np.ascontiguousarray(rows.T)):
+        to[:, j] += np.bincount(at, weights=column, minlength=len(to))
 
 
 def updated(parts: Expected, counts: Counts) -> Hmm:

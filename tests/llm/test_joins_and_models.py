@@ -195,6 +195,31 @@ def test_likelihood_and_counts_over_all_paths(monkeypatch):
     assert got.start == pytest.approx(start) and got.step == pytest.approx(step) and got.emit == pytest.approx(emit)
 
 
+def test_forward_values_are_scaled_at_few_steps_and_stay_in_range(monkeypatch):
+    monkeypatch.setattr(hidden_markov, "CLASSES", 3)
+    # Each step asks for the least transition, and one class is nearly never emitted.
+    rare, seldom = 1e-12, 1e-200
+    model = hidden_markov.Hmm(
+        np.array([0.5, 0.5]), np.array([[1 - rare, rare], [rare, 1 - rare]]),
+        np.array([[1 - 1e-30, 1e-30, seldom], [1e-30, 1 - 1e-30, seldom]]),
+    )
+    sequences = [np.arange(n) % 2 for n in (1, 16, 17, 700, 9000)] + [np.full(40, 2)]
+    bounds = np.concatenate(([0], np.cumsum([len(s) for s in sequences])))
+    flat = np.concatenate(sequences)
+    want = []
+    for s in sequences:
+        logs = np.log(model.start) + np.log(model.emit[:, s[0]])
+        for c in s[1:]:
+            logs = np.logaddexp(logs[0] + np.log(model.step[0]), logs[1] + np.log(model.step[1])) + np.log(model.emit[:, c])
+        want.append(np.logaddexp(*logs))
+    assert hidden_markov.forward(model, flat, bounds) == pytest.approx(want)
+    got = hidden_markov.expected(model, flat, bounds)
+    assert got.loglik == pytest.approx(sum(want))
+    assert got.emit.sum(axis=1) == pytest.approx(np.bincount(flat)) and got.step.sum() == pytest.approx(len(flat) - 6)
+    span = hidden_markov._Group(model, flat, bounds, np.argsort(np.diff(bounds), kind="stable")).ahead(0, None)
+    assert len(span.scaled) < len(span.cls) / 8
+
+
 def test_the_end_counts_where_words_are_more_frequent(spark, monkeypatch):
     docs = spark.createDataFrame(
         [(1, "a b c " * 50, False), (2, "a b b a", True), (3, "", True)], "doc_id long, text string, held boolean"
