@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -92,18 +93,20 @@ class Shard:
 
 
 def _packed(rows: DataFrame, groups: int, name: str) -> DataFrame:
-    """Rows (vec_id, v) in ``groups`` even groups, each as two arrays of binary columns."""
+    """Rows (vec_id, v) in ``groups`` even groups, each as binary columns; components take the least width."""
 
     def pack(batch: pa.Table) -> pa.Table:
         ids = batch.column("vec_id").to_numpy()
-        flat = np.concatenate([np.asarray(v, np.int64) for v in batch.column("v").to_pylist()])
-        sizes = np.array([len(v) for v in batch.column("v").to_pylist()])
+        v = batch.column("v").combine_chunks()
+        flat, sizes = pc.list_flatten(v).to_numpy(), pc.list_value_length(v).to_numpy()
+        reach = max(int(flat.max(initial=0)), -1 - int(flat.min(initial=0)))
+        kind = np.min_scalar_type(-1 - reach)
         return pa.table(
             {
                 name: pa.array([batch.column(name)[0].as_py()], pa.int64()),
                 "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()),
                 "sizes": pa.array([sizes.astype("<i4").tobytes()], pa.binary()),
-                "flat": pa.array([flat.astype("<i8").tobytes()], pa.binary()),
+                "flat": pa.array([flat.astype(kind.newbyteorder("<")).tobytes()], pa.binary()),
             }
         )
 
@@ -116,8 +119,9 @@ def _packed(rows: DataFrame, groups: int, name: str) -> DataFrame:
 
 def _unpacked(ids: bytes, sizes: bytes, flat: bytes) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Ids and matrix of the vectors of each length."""
-    i, s, f = np.frombuffer(ids, "<i8"), np.frombuffer(sizes, "<i4"), np.frombuffer(flat, "<i8")
+    i, s = np.frombuffer(ids, "<i8"), np.frombuffer(sizes, "<i4")
     at = np.concatenate(([0], np.cumsum(s)))
+    f = np.frombuffer(flat, f"<i{len(flat) // at[-1] if flat else 8}")
     out = {}
     for n in np.unique(s):
         of = np.flatnonzero(s == n)
@@ -152,7 +156,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     Vectors form shards of some 4,096 rows and queries blocks of some 1,024, both packed into
     one row each. Every block meets every shard in a task step that holds one of each and
     computes in doubles, which are exact up to 2**53; it
-    returns k rows per query and shard, which are merged, first in part, by query.
+    returns k rows per query and shard, which are merged, first in part, by query. Blocks are
+    shuffled to the shards, never broadcast: there is a copy of each for every shard.
     """
     n, m = vectors.count(), queries.count()
     spark = vectors.sparkSession
@@ -165,16 +170,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         .withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
         .select("shard", *(F.col(c).alias(f"q_{c}") for c in ("ids", "sizes", "flat")))
     )
-    meetings = packed.repartition(min(shards, spread), "shard").join(asked, "shard")
+    # Blocks are small before they are repeated for each shard, so Spark would broadcast them.
+    meetings = asked.join(packed.repartition(min(shards, spread), "shard").hint("merge"), "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, mine = None, {}
         for batch in batches:
             for row in range(batch.num_rows):
                 here = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
-                mine = {
-                    size: Shard(*part)
-                    for size, part in _unpacked(here["ids"], here["sizes"], here["flat"]).items()
-                }
+                # The meetings of a shard follow each other.
+                if here["shard"] != at:
+                    at = here["shard"]
+                    mine = {
+                        size: Shard(*part)
+                        for size, part in _unpacked(here["ids"], here["sizes"], here["flat"]).items()
+                    }
                 out = [(np.zeros(0, np.int64),) * 3]
                 for size, (ids, vs) in _unpacked(here["q_ids"], here["q_sizes"], here["q_flat"]).items():
                     if size in mine:
@@ -187,7 +197,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                     ["query_id", "vec_id", "score"],
                 )
 
-    found = meetings.drop("shard").mapInArrow(run, "query_id long, vec_id long, score long")
+    found = meetings.mapInArrow(run, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.groupBy("query_id", "vec_id")

@@ -82,6 +82,30 @@ def test_top_k_of_odd_vectors(spark):
     assert maxscore.top_k(clean.limit(0), clean.limit(0)).count() == 0
 
 
+def test_top_k_shuffles_its_blocks(spark, monkeypatch):
+    """Blocks are repeated for each shard: broadcast, they would go through the driver once for each."""
+    monkeypatch.setattr(maxscore, "SHARD_ROWS", 30)
+    monkeypatch.setattr(maxscore, "BLOCK_ROWS", 20)
+    pick = np.random.default_rng(6)
+    vectors = {i: pick.integers(-300, 300, 6).tolist() for i in range(300)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, v array<long>")
+    found = maxscore.top_k(df, df.where("vec_id % 5 = 0"), 3)
+    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in found.collect()}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    for q in range(0, 300, 5):
+        best = sorted((-int(np.dot(vectors[q], v)), i) for i, v in vectors.items() if i != q)[:3]
+        assert {r for r in got if r[0] == q} == {(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)}
+
+
+@pytest.mark.parametrize(("most", "width"), [(127, 1), (-128, 1), (128, 2), (1 << 15, 4), (-(1 << 31), 4), (1 << 31, 8), (-(1 << 63), 8)])
+def test_packed_vectors_take_the_least_width(spark, most, width):
+    df = spark.createDataFrame([(3, [1, most, 0]), (4, [5]), (5, [])], "vec_id long, v array<long>")
+    row = maxscore._packed(df, 1, "shard").first()
+    assert len(row.flat) == 4 * width
+    back = maxscore._unpacked(row["ids"], row.sizes, row.flat)
+    assert {n: (i.tolist(), v.tolist()) for n, (i, v) in back.items()} == {0: ([5], [[]]), 1: ([4], [[5]]), 3: ([3], [[1, most, 0]])}
+
+
 def test_top_k_matches_its_sql(spark):
     import compare
 
