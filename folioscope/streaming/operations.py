@@ -47,68 +47,81 @@ def _value(x):
     return None if pd.isna(x) else x
 
 
+def _kept(values: np.ndarray, given: np.ndarray, before) -> np.ndarray:
+    """The last value given up to each place; ``before`` where there is none yet."""
+    last = np.maximum.accumulate(np.where(given, np.arange(len(given)), -1))
+    out = values[last]
+    out[last < 0] = before
+    return out
+
+
+def _longs(values: np.ndarray, missing: np.ndarray) -> pd.arrays.IntegerArray:
+    return pd.arrays.IntegerArray(np.where(missing, 0, values).astype("int64"), missing)
+
+
 def applied(now: State | None, events: pd.DataFrame) -> tuple[pd.DataFrame, State | None]:
     """One row per event, in the order of seq, with the state after it; and the last state.
 
-    Columns are computed as wholes: what an event leaves behind is the last value set before it.
+    Columns are computed as wholes: what an event leaves behind is the last value set before it. They are
+    plain arrays, since most names have few events.
     """
-    e = events.astype({"seq": "int64", "us": "int64"}).sort_values("seq", kind="stable").reset_index(drop=True)
-    with pd.option_context("future.no_silent_downcasting", True):
-        return _applied(now, e)
-
-
-def _applied(now: State | None, e: pd.DataFrame) -> tuple[pd.DataFrame, State | None]:
-    begins = (e.status == "start").to_numpy()
-    first = -1 if now else int(begins.argmax()) if begins.any() else len(e)
-    exists = np.arange(len(e)) > first
-    outcome = np.where(begins & exists, "already exists", np.where(~begins & ~exists, "not found", "accepted"))
-    out = pd.DataFrame({"seq": e.seq, "outcome": outcome})
-    if first == len(e):
-        return out.reindex(columns=_OUTPUT_COLUMNS[1:]), None
-    if now is None:
-        s = e.iloc[first]
-        total = _value(s.total)
-        now = State("running", 0, int(total or 0), _value(s.message), _value(s.parent), int(s.us), None, 0.0, None)
-    a = e[(outcome == "accepted") & ~begins]
-    update, cancel = a.status == "update", a.status == "cancelled"
-    ended = a.status.isin(["completed", "failed"])
-    stops = ended | cancel
+    seq, us = (events[c].astype("int64").to_numpy() for c in ("seq", "us"))
+    order = np.argsort(seq, kind="stable")
+    n, seq, us = len(order), seq[order], us[order]
+    what, said, parents = (events[c].to_numpy().astype(object)[order] for c in ("status", "message", "parent"))
+    set_to, adds, totals = (events[c].to_numpy().astype("float64")[order] for c in ("current", "increment", "total"))
+    begins = what == "start"
+    first = -1 if now else int(begins.argmax()) if begins.any() else n
+    exists = np.arange(n) > first
+    outcome = np.where(begins & exists, "already exists", np.where(~begins & ~exists, "not found", "accepted")).astype(object)
+    accepted = outcome == "accepted"
+    if now is None and first < n:
+        total = _value(totals[first])
+        now = State("running", 0, int(total or 0), _value(said[first]), _value(parents[first]), int(us[first]), None, 0.0, None)
+    # Texts are objects, also where all are missing: a column of missing numbers is no text.
+    status, message, parent = (np.full(n, None, object) for _ in range(3))
+    current, total, elapsed, left = (np.full(n, np.nan) for _ in range(4))
+    if now is not None:
+        parent[accepted] = now.parent
+        if first >= 0:
+            status[first], current[first], total[first], message[first], elapsed[first] = now.status, now.current, now.total, now.message, 0.0
+        at = np.flatnonzero(accepted & ~begins)
+        if len(at):
+            after, end = _after(now, what[at], us[at], set_to[at], adds[at], said[at])
+            status[at], current[at], total[at], message[at], elapsed[at], left[at] = after
+            z = at[-1]
+            now = State(
+                status[z], int(current[z]), int(total[z]), _value(message[z]), now.parent, now.start_us,
+                end, float(elapsed[z]), None if np.isnan(left[z]) else float(left[z]),
+            )
+    columns = (
+        seq, outcome, status, _longs(current, ~accepted), _longs(total, ~accepted), message, parent, elapsed, left,
+    )
+    return pd.DataFrame(dict(zip(_OUTPUT_COLUMNS[1:], columns, strict=True))), now
+
+
+def _after(
+    now: State, what: np.ndarray, us: np.ndarray, set_to: np.ndarray, adds: np.ndarray, said: np.ndarray
+) -> tuple[tuple[np.ndarray, ...], int | None]:
+    """Status, current, total, message, elapsed and remaining after each event of a known operation; its end."""
+    update, cancel, done = what == "update", what == "cancelled", what == "completed"
+    ended = done | (what == "failed")
     # Only the first event that ends an operation can cancel it.
-    counts = ended | (cancel & (stops.cumsum() == 1) & (now.status == "running"))
-    fills = (a.status == "completed") & ((a.status == "completed").cumsum() == 1) & (now.total == 0)
-    sets = a.current.where(update).astype("float64").mask(fills, 1.0)
-    adds = a.increment.where(update & a.current.isna()).astype("float64").fillna(0.0)
-    current = sets.ffill().fillna(now.current) + adds.groupby(sets.notna().cumsum()).cumsum()
-    total = pd.Series(float(now.total), index=a.index).where(fills.cumsum() == 0, 1.0)
+    counts = ended | (cancel & (np.cumsum(ended | cancel) == 1) & (now.status == "running"))
+    fills = done & (np.cumsum(done) == 1) & (now.total == 0)
+    sets = fills | (update & ~np.isnan(set_to))
+    added = np.cumsum(np.where(update & ~sets & ~np.isnan(adds), adds, 0.0))
+    current = _kept(np.where(fills, 1.0, set_to), sets, float(now.current)) + added - _kept(added, sets, 0.0)
+    total = np.where(np.cumsum(fills) == 0, float(now.total), 1.0)
     touched = update | counts
-    elapsed = ((a.us - now.start_us) / 1e6).where(touched).ffill().fillna(now.elapsed)
+    elapsed = _kept((us - now.start_us) / 1e6, touched, now.elapsed)
     rated = update & (total > 0) & (current > 0) & (elapsed > 0)
-    rate = (current / elapsed).where(rated)
-    left = ((total - current) / rate).ffill()
-    after = pd.DataFrame(
-        {
-            "status": a.status.where(counts).ffill().fillna(now.status),
-            "current": current,
-            "total": total,
-            "message": a.message.where(touched).ffill().fillna(now.message) if now.message is not None else a.message.where(touched).ffill(),
-            "elapsed": elapsed,
-            "estimated_remaining": left if now.remaining is None else left.fillna(now.remaining),
-        },
-        index=a.index,
-    )
-    out = out.join(after)
-    if outcome[first] == "accepted" and first >= 0:
-        for column, value in zip(after.columns, (now.status, now.current, now.total, now.message, 0.0, None), strict=True):
-            out.loc[first, column] = value
-    out["parent"] = pd.Series(np.where(outcome == "accepted", now.parent, None), index=out.index, dtype=object)
-    if len(after):
-        z = after.iloc[-1]
-        end = a.us.where(counts).ffill().iloc[-1]
-        now = State(
-            z.status, int(z.current), int(z.total), _value(z.message), now.parent, now.start_us,
-            now.end_us if pd.isna(end) else int(end), float(z.elapsed), _value(z.estimated_remaining),
-        )
-    return out[_OUTPUT_COLUMNS[1:]], now
+    rate = np.divide(current, elapsed, out=np.ones(len(us)), where=rated)
+    left = _kept((total - current) / rate, rated, np.nan if now.remaining is None else now.remaining)
+    end = int(us[counts][-1]) if counts.any() else now.end_us
+    status = _kept(what, counts, now.status)
+    message = _kept(said, touched & ~pd.isna(said), now.message)
+    return (status, current, total, message, elapsed, left), end
 
 
 class OperationStates(StatefulProcessor):
@@ -135,28 +148,32 @@ class OperationStates(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        state = self._state.get() if self._state.exists() else None
-        now = None if state is None else State(*state)
-        taken = False
+        now, taken = None, False
         for events in self._waiting.due(passed * 1000):
-            taken = True
+            now, taken = now if taken else self._known(), True
             out, now = applied(now, events)
             out.insert(0, "name", key[0])
-            kinds = {"seq": "int64", "current": "Int64", "total": "Int64", "elapsed": "float64", "estimated_remaining": "float64"}
-            yield out.astype(kinds)
+            yield out
         if taken:
             if now is not None:
                 self._state.update(tuple(now))
             first = self._waiting.first()
             if first is not None:
                 self._handle.registerTimer(first // 1000 + 1)
-        if self._keep_ms is not None and now is not None and now.end_us is not None:
+        if self._keep_ms is None:
+            return
+        if not taken:
+            now = self._known()
+        if now is not None and now.end_us is not None:
             forgotten = now.end_us // 1000 + self._keep_ms
             if forgotten < passed:
                 self._state.clear()
             else:
                 self._handle.registerTimer(forgotten + 1)
 
+    def _known(self) -> State | None:
+        return State(*self._state.get()) if self._state.exists() else None
+
     def close(self) -> None:
         pass
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql.streaming import StatefulProcessorHandle
 
 #: Rows that are sorted together before they are cut into chunks, rows of a chunk, and rows given out at a time.
@@ -21,7 +22,7 @@ class Waiting:
     """
 
     def __init__(self, handle: StatefulProcessorHandle, columns: pa.Schema, order: str):
-        self._columns, self._order = columns, order
+        self._columns, self._order, self._first = columns, order, None
         self._chunks = handle.getListState("waiting", "chunk string, low long, first_us long")
         self._rows = handle.getMapState("waiting_rows", "chunk string", "body binary")
 
@@ -29,7 +30,7 @@ class Waiting:
         """Keep rows; gives the time of the first of them."""
         held, rows, entries = [], 0, []
         for batch in batches:
-            held.append(batch[self._columns.names])
+            held.append(pa.table([pa.array(batch[c.name], c.type, from_pandas=True) for c in self._columns], self._columns))
             rows += len(batch)
             if rows >= GATHERED:
                 entries += self._put(held)
@@ -39,12 +40,11 @@ class Waiting:
             self._chunks.appendList(entries)
         return min((first for _, _, first in entries), default=None)
 
-    def _put(self, frames: list[pd.DataFrame]) -> list[tuple]:
-        frames = [f for f in frames if len(f)]
-        if not frames:
+    def _put(self, tables: list[pa.Table]) -> list[tuple]:
+        rows = pa.concat_tables([self._columns.empty_table(), *tables])
+        if not len(rows):
             return []
-        tables = [pa.Table.from_pandas(f, self._columns, preserve_index=False) for f in frames]
-        ordered = pa.concat_tables(tables).sort_by(self._order).combine_chunks()
+        ordered = rows.sort_by(self._order).combine_chunks()
         entries = []
         for begin in range(0, len(ordered), CHUNK):
             part = ordered.slice(begin, CHUNK).combine_chunks().to_batches()[0]
@@ -55,7 +55,7 @@ class Waiting:
 
     def due(self, passed_us: int) -> Iterator[pd.DataFrame]:
         """Take the rows before a time out, in order; the others stay."""
-        entries = [tuple(e) for e in self._chunks.get()] if self._chunks.exists() else []
+        entries = [tuple(e) for e in self._chunks.get()]
         touched = sorted((e for e in entries if e[2] < passed_us), key=lambda e: e[1])
         if not touched:
             return
@@ -63,33 +63,35 @@ class Waiting:
         held, late, rows, late_rows = [], [], 0, 0
         for i, (name, _, _) in enumerate(touched):
             body = self._rows.getValue((name,))[0]
-            batch = pa.ipc.read_record_batch(pa.py_buffer(bytes(body)), self._columns).to_pandas()
+            batch = pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(bytes(body)), self._columns)])
             self._rows.removeKey((name,))
-            early = batch.us < passed_us
-            if not early.all():
-                late.append(batch[~early])
+            early = pc.fill_null(pc.less(batch["us"], passed_us), False)
+            if not pc.all(early).as_py():
+                late.append(batch.filter(pc.invert(early)))
                 late_rows += len(late[-1])
-            held.append(batch[early])
-            rows += len(held[-1])
+                batch = batch.filter(early)
+            held.append(batch)
+            rows += len(batch)
             if late_rows >= GATHERED:
                 kept += self._put(late)
                 late, late_rows = [], 0
             if rows >= PIECE and i + 1 < len(touched):
                 # No later chunk has a row before the first of the next one.
-                whole = pd.concat(held)
-                complete = whole[self._order] < touched[i + 1][1]
-                held = [whole[~complete]]
+                whole = pa.concat_tables(held)
+                complete = pc.fill_null(pc.less(whole[self._order], touched[i + 1][1]), False)
+                held = [whole.filter(pc.invert(complete))]
                 rows = len(held[0])
-                if complete.any():
-                    yield whole[complete].sort_values(self._order, kind="stable")
+                if rows < len(whole):
+                    yield whole.filter(complete).sort_by(self._order).to_pandas()
         kept += self._put(late)
+        self._first = min((e[2] for e in kept), default=None)
         if kept:
             self._chunks.put(kept)
         else:
             self._chunks.clear()
         if rows:
-            yield pd.concat(held).sort_values(self._order, kind="stable")
+            yield pa.concat_tables(held).sort_by(self._order).to_pandas()
 
     def first(self) -> int | None:
-        """The time of the first row that waits."""
-        return min((e[2] for e in self._chunks.get()), default=None) if self._chunks.exists() else None
+        """The time of the first row that still waits after rows of this key were taken."""
+        return self._first

@@ -94,6 +94,15 @@ def test_events_out_of_order(spark, tmp_path):
     ]
 
 
+def test_names_that_never_start(spark, tmp_path):
+    """All that is known of them is missing; a column of missing texts is still one of texts."""
+    first = [event("a", 1, "update", 1, current=1), event("a", 2, "failed", 2), event("b", 3, "start", 1), event("c", 4, "update", 1)]
+    assert run(spark, tmp_path, [first, [event("c", 5, "completed", 3, message="m")]], delay="1 minute") == [
+        ("a", 1, "not found", None, None, None), ("a", 2, "not found", None, None, None),
+        ("b", 3, "accepted", "running", 0, None), ("c", 4, "not found", None, None, None), ("c", 5, "not found", None, None, None),
+    ]
+
+
 def test_finished_names_start_anew(spark, tmp_path):
     first = [event("a", 1, "start", 0), event("a", 2, "failed", 1), event("b", 1, "start", 0)]
     other = [event("c", 1, "start", 100)]
